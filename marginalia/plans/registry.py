@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import problems
+from marginalia.plans import evaluation, problems
 
-MODULES = (problems,)
+MODULES = (problems, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p2_summary(spark, sf_dir)
+    return evaluation.summary(spark, sf_dir)
