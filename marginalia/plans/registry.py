@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import evaluation, problems
+from marginalia.plans import evaluation, problems, reviewing, studies
 
-MODULES = (problems, evaluation)
+MODULES = (problems, evaluation, reviewing, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
