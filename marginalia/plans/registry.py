@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import evaluation, problems, reviewing, studies
+from marginalia.plans import evaluation, passages, problems, reviewing, studies
 
-MODULES = (problems, evaluation, reviewing, studies)
+MODULES = (problems, evaluation, reviewing, studies, passages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
