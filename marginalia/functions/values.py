@@ -150,7 +150,7 @@ def stable_id(prefix: str, *parts: str, length: int = 12, d: Dialect = SPARK) ->
 
 def round6(x: str) -> str:
     """Six places, by the same operations in every engine."""
-    return f"floor({x} * 1000000 + 0.5) / 1000000"
+    return f"floor(({x}) * 1000000 + 0.5) / 1000000"
 
 
 def ratio(a: str, b: str) -> str:
