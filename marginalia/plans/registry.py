@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import evaluation, intake, passages, problems, reviewing, studies
+from marginalia.plans import evaluation, intake, passages, problems, reviewing, streams, studies
 
-MODULES = (problems, evaluation, reviewing, studies, passages, intake)
+MODULES = (problems, evaluation, reviewing, studies, passages, intake, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
