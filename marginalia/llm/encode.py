@@ -147,7 +147,22 @@ class Encoder:
         return slot
 
     def encode_batch(self, texts: list[str], want_ids: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text, code points up to the end of the piece of each id)."""
+        """(ids of all texts, number of ids of each text, code points up to the end of the piece of each id).
+
+        A text longer than a group is encoded in parts, cut where a blank follows a character that is none: a
+        piece always starts there, whatever stands around it.
+        """
+        if len(texts) == 1 and len(texts[0]) > GROUP_CHARS:
+            parts, shift = parts_of(texts[0]), 0
+            if len(parts) > 1:
+                ids, counts, ends = [], 0, []
+                for part in parts:
+                    i, c, e = self.encode_batch([part], want_ids)
+                    ids.append(i)
+                    ends.append(e + shift)
+                    counts += c
+                    shift += len(part)
+                return np.concatenate(ids), counts, np.concatenate(ends)
         if len(self.memo) > MEMO_SIZE or len(self.flat) > 8 * MEMO_SIZE:
             self._reset()
         joined = "\n".join(texts) + "\n"
@@ -191,6 +206,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def parts_of(text: str) -> list[str]:
+    """Parts of a very long text, each about ``GROUP_CHARS`` long, cut where pieces always part."""
+    spaces = {chr(c) for c in WHITE_SPACE}
+    cuts, at = [0], GROUP_CHARS // 2
+    while 0 <= (at := text.find(" ", at)):
+        if text[at - 1] in spaces:
+            at += 1
+            continue
+        cuts.append(at)
+        at += GROUP_CHARS // 2
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
 def groups_of(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts that together have about ``GROUP_CHARS`` characters."""
     begin = size = 0

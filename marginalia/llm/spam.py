@@ -58,6 +58,8 @@ BLOCK_SEARCH, BLOCK_LINKS, BLOCK_HASHES, BLOCK_REPEAT, BLOCK_DIGITS = 0.08, 0.12
 FAR = 24.32
 #: Direction of spam in deviations of each feature, and least scale of each feature.
 FEATURES = {"stuffed": (1.0, 0.05), "prose": (-0.5, 0.05), "entropy": (-0.5, 0.02), "repetition": (0.5, 0.05), "function": (-0.5, 0.03), "links": (0.5, 0.02), "search": (1.0, 0.02)}
+#: Languages of fewer texts, and texts of no known language, are held against all texts together.
+LEAST_GROUP = 100
 #: Least stuffed share of a case. Beyond it the stuffed part must outweigh the sentences: menus, captions and the like count for neither.
 LEAST_STUFFED = 0.35
 
@@ -282,32 +284,37 @@ def find_spam(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """``key``, ``language``, ``distance`` (squared), ``direction``, ``stuffed`` of every text, and ``is_spam``.
 
     Null, empty and blank texts and texts of no words are never spam. Centre, scale and correlation come from
-    all texts of a language, by distributed aggregation; one small row per language reaches the driver. Keys
+    all texts of a language (of all texts for small or unknown ones), by distributed aggregation; one small row
+    per language reaches the driver. Keys
     may repeat: each row is measured by itself.
     """
     names = list(FEATURES)
     feats = saved(page_features(df, key, text), "page-features")
     real = feats.where("words > 0")
-    med = real.groupBy("language").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"med_{f}") for f in names])
-    centred = real.join(F.broadcast(med), "language")  # one row per language of a fixed list
-    dev = centred.groupBy("language").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"med_{f}")), 0.5, 1000).alias(f"dev_{f}") for f in names])
-    scale = med.join(dev, "language").select(
-        "language", *[f"med_{f}" for f in names], *[F.greatest(F.lit(1.4826) * F.col(f"dev_{f}"), F.lit(least)).alias(f"sd_{f}") for f, (_, least) in FEATURES.items()]
+    sizes = {r.language: r.n for r in real.groupBy("language").agg(F.count("*").alias("n")).collect()}  # one row per language of a fixed list
+    own = [k for k, n in sizes.items() if n >= LEAST_GROUP and k != "und"]
+    group = F.when(F.col("language").isin(own), F.col("language")).otherwise(F.lit("all"))
+    grouped = real.withColumn("group", F.explode(F.array_distinct(F.array(group, F.lit("all")))))
+    med = grouped.groupBy("group").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"med_{f}") for f in names])
+    centred = grouped.join(F.broadcast(med), "group")  # one row per group
+    dev = centred.groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"med_{f}")), 0.5, 1000).alias(f"dev_{f}") for f in names])
+    scale = med.join(dev, "group").select(
+        "group", *[f"med_{f}" for f in names], *[F.greatest(F.lit(1.4826) * F.col(f"dev_{f}"), F.lit(least)).alias(f"sd_{f}") for f, (_, least) in FEATURES.items()]
     )
-    stats = {r.language: r.asDict() for r in scale.collect()}
+    stats = [tuple(r) for r in scale.collect()]
 
     def standard(rows: DataFrame) -> DataFrame:
-        known = rows.sparkSession.createDataFrame([tuple(s.values()) for s in stats.values()], scale.schema)
+        known = rows.sparkSession.createDataFrame(stats, scale.schema)
         z = [((F.col(f) - F.col(f"med_{f}")) / F.col(f"sd_{f}")).alias(f"z{i}") for i, f in enumerate(names)]
-        return rows.join(F.broadcast(known), "language", "left").select(*[rows[c] for c in rows.columns], *z)
+        return rows.join(F.broadcast(known), "group", "left").select(*[rows[c] for c in rows.columns], *z)
 
     p = len(names)
-    inner = standard(real).where(" and ".join(f"abs(z{i}) <= 3" for i in range(p))) if stats else None
+    inner = standard(grouped).where(" and ".join(f"abs(z{i}) <= 3" for i in range(p))) if stats else None
     inverse = {}
     if inner is not None:
         pairs = [F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-        for r in inner.groupBy("language").agg(F.count("*").alias("n"), *[F.avg(f"z{i}").alias(f"m{i}") for i in range(p)], *pairs).collect():
-            inverse[r.language] = _inverse(r.asDict())
+        for r in inner.groupBy("group").agg(F.count("*").alias("n"), *[F.avg(f"z{i}").alias(f"m{i}") for i in range(p)], *pairs).collect():
+            inverse[r.group] = _inverse(r.asDict())
 
     def form(matrix: np.ndarray) -> Column:
         terms = [F.lit(float(matrix[i, j]) * (1 if i == j else 2)) * F.col(f"z{i}") * F.col(f"z{j}") for i in range(p) for j in range(i, p)]
@@ -315,13 +322,13 @@ def find_spam(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     distance = form(np.eye(p))
     for lang, matrix in inverse.items():
-        distance = F.when(F.col("language") == lang, form(matrix)).otherwise(distance)
+        distance = F.when(F.col("group") == lang, form(matrix)).otherwise(distance)
     direction = sum((F.lit(w) * F.least(F.greatest(F.col(f"z{i}"), F.lit(-10.0)), F.lit(10.0)) for i, (w, _) in enumerate(FEATURES.values())), F.lit(0.0))
     spam = (F.col("words") > 0) & (F.col("distance") > FAR) & (F.col("direction") > 0) & (F.col("stuffed") > F.greatest(F.lit(LEAST_STUFFED), F.col("prose")))
     if not stats:
         return feats.select(key, "language", F.lit(0.0).alias("distance"), F.lit(0.0).alias("direction"), "stuffed", F.lit(False).alias("is_spam"))
     return (
-        standard(feats)
+        standard(feats.withColumn("group", group))
         .withColumn("distance", F.coalesce(distance, F.lit(0.0)))
         .withColumn("direction", F.coalesce(direction, F.lit(0.0)))
         .select(key, "language", "distance", "direction", "stuffed", F.coalesce(spam, F.lit(False)).alias("is_spam"))

@@ -32,6 +32,9 @@ ALIKE_TAGS = ("<wide>", "<narrow>", "<font>", "<small>", "<noBreak>", "<initial>
 INVISIBLE = frozenset((0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0x180B, 0x1810), *range(0xE0100, 0xE01F0)))
 BLANKS = frozenset((*range(0x09, 0x0E), 0x85))
 
+#: Texts are taken together up to this many characters.
+GROUP_CHARS = 4_000_000
+
 PLAIN, ONE, BLANK, UNSEEN, MANY, MARK = range(6)
 
 
@@ -107,9 +110,22 @@ class Transducer:
         return self.pattern.sub(self._replace, text)
 
     def fold_all(self, texts: list[str]) -> list[str]:
-        """The one form of each text. Texts whose clusters all are single characters of single images are taken together."""
+        """The one form of each text, in groups of bounded size; a text too long for a group goes cluster by cluster."""
+        out: list[str] = []
+        begin = size = 0
+        for i, t in enumerate(texts):
+            if size and size + len(t) > GROUP_CHARS:
+                out += self._fold_group(texts[begin:i])
+                begin, size = i, 0
+            size += len(t)
+        return out + self._fold_group(texts[begin:])
+
+    def _fold_group(self, texts: list[str]) -> list[str]:
+        """Texts whose clusters all are single characters of single images are taken together."""
         if not texts:
             return []
+        if len(texts) == 1 and len(texts[0]) > GROUP_CHARS:
+            return [self.fold(texts[0])]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = self.kind[points]
@@ -260,7 +276,7 @@ def find_quotes(
             folded = transducer().fold_all(batch.column(1).to_pylist())
             bodies = batch.column(1).to_pylist()
             ids, own = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            flat = [x for xs in own for x in xs]
+            flat = list({x for xs in own for x in xs})
             form = dict(zip(flat, transducer().fold_all(flat)))
             rows, hits = [], []
             for i, (raw, whole) in enumerate(zip(bodies, folded)):
