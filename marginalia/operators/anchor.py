@@ -18,14 +18,14 @@ def locate_quotes(quotes: DataFrame, passages: DataFrame, *, keys: Sequence[str]
     those that share it; a quote with a word no passage of the group has is dropped at once.
     """
     k = list(keys)
-    q = quotes.select(*k, quote_id, F.expr(tk.token_text(quote)).alias("q")).where("length(trim(q)) > 0").distinct()
-    p = passages.select(*k, passage_id, F.expr(tk.token_text(passage)).alias("p")).distinct()
-    words = p.select(*k, passage_id, F.explode(F.array_distinct(F.split(F.trim("p"), " "))).alias("word"))
-    counts = words.groupBy(*k, "word").agg(F.count("*").alias("df"))
-    q_words = q.select(*k, quote_id, "q", F.explode(F.array_distinct(F.split(F.trim("q"), " "))).alias("word"))
-    rarest = q_words.join(counts, [*k, "word"], "left").groupBy(*k, quote_id, "q").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r"))
-    pairs = rarest.where("r.df > 0").select(*k, quote_id, "q", F.col("r.word").alias("word")).join(words, [*k, "word"])
-    return pairs.join(p, [*k, passage_id]).where("contains(p, q)").select(*k, quote_id, passage_id)
+    q = quotes.select(*k, quote_id, F.expr(tk.token_text(quote)).alias("__q")).where("length(trim(__q)) > 0").distinct()
+    p = passages.select(*k, passage_id, F.expr(tk.token_text(passage)).alias("__p")).distinct()
+    words = p.select(*k, passage_id, F.explode(F.array_distinct(F.split(F.trim("__p"), " "))).alias("__word"))
+    counts = words.groupBy(*k, "__word").agg(F.count("*").alias("__df"))
+    q_words = q.select(*k, quote_id, "__q", F.explode(F.array_distinct(F.split(F.trim("__q"), " "))).alias("__word"))
+    rarest = q_words.join(counts, [*k, "__word"], "left").groupBy(*k, quote_id, "__q").agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), "__word")).alias("__r"))
+    pairs = rarest.where("__r.df > 0").select(*k, quote_id, "__q", F.col("__r.__word").alias("__word")).join(words, [*k, "__word"])
+    return pairs.join(p, [*k, passage_id]).where("contains(__p, __q)").select(*k, quote_id, passage_id)
 
 
 def anchor_outcomes(evidence: DataFrame, located: DataFrame, quote_id: str, page: str, quote: str) -> DataFrame:

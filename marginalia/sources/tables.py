@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from marginalia.functions import values as v
 
+BOM = "\ufeff"
+#: Characters of windows-1252 where Latin-1, as which such files are read, has controls.
+WESTERN = {b: c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
 #: Bytes of a file looked at to tell its encoding.
 PROBE = 1 << 16
 DESCRIPTION_COLUMNS = ("description", "improved_description", "column_description")
@@ -46,10 +49,12 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, *, indexed: bool = True) -> DataFrame:
     """All columns as text, nulls as empty text, quoted line breaks kept, BOM removed from the first header."""
-    encoding = encoding_of(path) if os.path.isfile(path.removeprefix("file://")) else "UTF-8"
-    df = spark.read.options(header=True, multiLine=True, escape='"', encoding=encoding, inferSchema=False).csv(path)
-    df = df.toDF(*[c.removeprefix("﻿").removeprefix("ï»¿") for c in df.columns])
-    df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    western = os.path.isfile(path.removeprefix("file://")) and encoding_of(path) != "UTF-8"
+    df = spark.read.options(header=True, multiLine=True, escape='"', encoding="iso-8859-1" if western else "utf-8", inferSchema=False).csv(path)
+    names = [c.translate(WESTERN) if western else c.removeprefix(BOM) for c in df.columns]
+    odd, fixed = "".join(map(chr, WESTERN)), "".join(WESTERN.values())
+    text = lambda c: F.translate(F.coalesce(c, F.lit("")), odd, fixed) if western else F.coalesce(c, F.lit(""))
+    df = df.select(*[text(F.col(f"`{c}`")).alias(n) for c, n in zip(df.columns, names)])
     return with_row_index(df) if indexed and "row_index" not in df.columns else df
 
 
