@@ -49,13 +49,14 @@ def score_pairs(papers: DataFrame, rows: DataFrame) -> DataFrame:
 def outcomes(papers: DataFrame, scored: DataFrame, least: float = 0.35, gap: float = 0.05) -> DataFrame:
     """Best row of each paper, the gap to the runner-up, and the outcome; rows two papers claim are conflicts.
 
-    A paper with a single candidate has runner-up 0, so any score of ``least`` or more passes the gap. Best and
-    runner-up are two aggregates: candidates of a paper are never gathered.
+    A paper with a single candidate has runner-up 0, so any score of ``least`` or more passes the gap. Only the two
+    best candidates of a paper are kept, before the shuffle; candidates are never gathered.
     """
-    best = scored.groupBy("p_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "r_id")).alias("b"), F.count("*").alias("n_candidates"))
-    best = best.select("p_id", F.col("b.r_id").alias("r_id"), (-F.col("b.s")).alias("score"), "n_candidates")
-    second = scored.join(best.select("p_id", F.col("r_id").alias("best_id")), "p_id").where("r_id <> best_id").groupBy("p_id").agg(F.max("score").alias("runner_up"))
-    out = papers.select("p_id").join(best, "p_id", "left").join(second, "p_id", "left").na.fill(0.0, ["runner_up", "score"]).na.fill(0, ["n_candidates"])
+    w = Window.partitionBy("p_id").orderBy(F.desc("score"), "r_id")
+    two = scored.withColumn("place", F.row_number().over(w)).where("place <= 2")
+    best = two.groupBy("p_id").agg(F.max(F.when(F.col("place") == 1, F.col("r_id"))).alias("r_id"), F.max(F.when(F.col("place") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("runner_up"))
+    counts = scored.groupBy("p_id").agg(F.count("*").alias("n_candidates"))
+    out = papers.select("p_id").join(best, "p_id", "left").join(counts, "p_id", "left").na.fill(0.0, ["runner_up", "score"]).na.fill(0, ["n_candidates"])
     out = out.withColumn("gap", F.expr(v.round6("score - runner_up")))
     out = out.withColumn("outcome", F.expr(f"case when score < {least} then 'unmatched' when gap < {gap} then 'ambiguous' else 'matched' end"))
     claims = out.where("outcome = 'matched'").groupBy("r_id").agg(F.count("*").alias("claims"))

@@ -16,7 +16,8 @@ AUTHORITY = ("direct_quote", "caption_grounded_figure_evidence", "calculation",
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("pdf_id", "chunk_id", "chunk_type", "page_number", "reading_order", "display_text", "retrieval_text", "section_context").dropDuplicates(["chunk_id"])
+    columns = ("pdf_id", "chunk_type", "page_number", "reading_order", "display_text", "retrieval_text", "section_context")
+    return table(spark, d, "chunks").groupBy("chunk_id").agg(*[F.first(c).alias(c) for c in columns]).select("pdf_id", "chunk_id", *columns[1:])
 
 
 def queries_of(spark: SparkSession, d: str) -> DataFrame:
