@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import evaluation, extraction, intake, passages, problems, reviewing, streams, studies
+from marginalia.plans import evaluation, extraction, intake, passages, problems, reviewing, streams, studies, summaries
 
-MODULES = (problems, evaluation, reviewing, studies, passages, intake, streams, extraction)
+MODULES = (problems, evaluation, reviewing, studies, passages, intake, streams, extraction, summaries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
