@@ -145,9 +145,10 @@ def consensus(
     ks = [f"k{i}" for i in range(len(item))]
     latest = usable.groupBy(*ks, "who").agg(F.max(F.struct("at", "said"))["said"].alias("said"))
     latest = saved(latest, "votes")
-    names = [r.who for r in latest.select("who").distinct().orderBy("who").collect()]
-    if len(names) * k > MOST_PARAMETERS:
-        raise ValueError(f"{len(names)} annotators with {k} labels are more parameters than the driver holds")
+    most = MOST_PARAMETERS // k
+    names = sorted(r.who for r in latest.select("who").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} annotators with {k} labels are more parameters than the driver holds")
     index = latest.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "who string, code int")
     coded = latest.join(index, "who")
     cells = coded.groupBy(*ks).agg(F.array_sort(F.collect_list((F.col("code") * k + F.col("said") - 1).cast("int"))).alias("codes"))
