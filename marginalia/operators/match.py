@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import tokens as tk
 from marginalia.functions import values as v
+from marginalia.session import saved
 
 WEIGHTS = {"doi": 0.45, "title": 0.30, "surname": 0.15, "year": 0.10}
 #: Words in a row that two titles must share to be compared at all.
@@ -52,6 +53,7 @@ def outcomes(papers: DataFrame, scored: DataFrame, least: float = 0.35, gap: flo
     A paper with a single candidate has runner-up 0, so any score of ``least`` or more passes the gap. Only the two
     best candidates of a paper are kept, before the shuffle; candidates are never gathered.
     """
+    scored = saved(scored, "match-scores")  # used twice below: scored once
     w = Window.partitionBy("p_id").orderBy(F.desc("score"), "r_id")
     two = scored.withColumn("place", F.row_number().over(w)).where("place <= 2")
     best = two.groupBy("p_id").agg(F.max(F.when(F.col("place") == 1, F.col("r_id"))).alias("r_id"), F.max(F.when(F.col("place") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("runner_up"))

@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the cluster names none (unit tests on one machine) a temporary folder is set.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
