@@ -31,6 +31,7 @@ FUNCTION_WORDS = {
     "ru": "и в не на что с по как это из у за от то о к для при во ко но мы был была были или а же ли бы до под после из-за через между лишь ещё уже каждой каждая этот эта эти которых".split(),
     "el": "ο η το οι τα του της των τον την τους τις και σε στο στη στην στον στα στις με για από που δεν να θα είναι ήταν ως αν ή μια ένα ένας κατά μετά πριν κάθε ανάμεσα ήδη".split(),
     "zh": list("的了在是和与有为其这于及之以但个中对每约该"),
+    "ja": [chr(i) for i in range(0x3041, 0x3097)],
 }
 # Words of searches, offers, link exchanges and tags, by no language in particular.
 SEARCH_WORDS = (
@@ -49,6 +50,8 @@ SEARCH_PAIRS = "购买 便宜 价格 优惠 折扣 包邮 促销 批发 特价 
 
 #: Share of function words and least words of a sentence; share of repeated content words that makes a sentence stuffed.
 SENTENCE_FUNCTION, SENTENCE_WORDS, STUFFED_REPEAT = 0.1, 4, 0.25
+#: Share and least number of search words that make a Chinese sentence stuffed: its function words are single characters, easily strewn in.
+SENTENCE_SEARCH, SENTENCE_SEARCHES = 0.25, 3
 #: A sentence is also stuffed if so large a share of its content words recurs within so many words, so large a share of
 #: them before another word than last time, and so many commas part them.
 NEAR, CHURN_NEAR, CHURN_FRESH, CHURN_COMMAS = 40, 0.4, 0.15, 2
@@ -151,6 +154,19 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
         for a, b in t.pairs:
             hit = np.flatnonzero(two & (points[at[:-1]] == a) & (points[at[1:]] == b))
             search[hit] = search[hit + 1] = True
+    # Chinese is written without blanks: each character counts half a word, and what may recur is its pair with the next one
+    weight = np.where(chinese, 0.5, 1.0)
+    paired = np.zeros(len(at), bool)
+    paired[:-1] = chinese[:-1] & chinese[1:] & (at[1:] == at[:-1] + size[:-1])
+    joined = np.append(False, paired[:-1])[: len(at)]
+    content = ~function & (paired | ~joined)
+    if paired.any():
+        head = np.flatnonzero(paired)
+        content[head] &= ~function[head + 1]
+        pair = hashes.copy()
+        with np.errstate(over="ignore"):
+            pair[head] = hashes[head] * np.uint64(0x9E3779B97F4A7C15) + hashes[head + 1]
+        hashes = pair
     # Segments end at line breaks and behind the marks that end sentences
     after_space = np.append(t.space[points[1:]], True)
     after_space[:-1] |= (points[1:] == 0xFFFD) | t.upper[points[1:]] & (points[:-1] == 0x2E) & np.append(False, word[:-2])
@@ -170,28 +186,31 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     n = len(used)
     doc_of_seg = np.searchsorted(ends, at[np.unique(seg, return_index=True)[1]], side="right") if n else np.zeros(0, np.int64)
     count = lambda group, what, m: np.bincount(group, weights=what, minlength=m)
-    words_in = count(seg, None, n)
-    content = ~function
+    words_in = count(seg, weight, n)
     sentence = stops[used] & (words_in >= SENTENCE_WORDS) & (count(seg, function, n) >= SENTENCE_FUNCTION * words_in)
-    chinese_in = count(seg, chinese, n) >= 0.3 * words_in
-    sentence |= chinese_in & (words_in >= SENTENCE_WORDS)
-    content_in = count(seg, content, n)
+    chinese_in = count(seg, chinese, n) >= 0.3 * count(seg, None, n)
+    content_in = count(seg, content * weight, n)
     prev, first, times = _occurrences(doc_of_seg[seg], hashes)
     again = content & (prev >= 0)
     # A repeated word is stale if the same word follows as last time: then it is the sentence that is repeated
     follower = np.zeros(len(at), np.uint64)
     if len(at):
-        follower[:-1] = np.where(digits[1:], np.uint64(7), hashes[1:])
-        follower[:-1][seg[1:] != seg[:-1]] = 0
+        behind = np.arange(1, len(at) + 1) + paired
+        follows = np.flatnonzero((behind < len(at)) & (seg[behind.clip(max=len(at) - 1)] == seg))
+        behind = behind[follows]
+        follower[follows] = np.where(digits[behind], np.uint64(7), hashes[behind])
     fresh_use = again & (follower != follower[prev])
-    near = again & (np.arange(len(at)) - prev <= NEAR)
+    place = np.cumsum(weight)
+    near = again & (place - place[prev] <= NEAR)
     near[prev[near]] = True
     inside = again & (seg[prev] == seg) if n else again
-    repeats = count(seg, inside, n)
+    repeats = count(seg, inside * weight, n)
     commas = np.bincount(np.searchsorted(used, segment_of[(points == 0x2C) | (points == 0x3001) | (points == 0xFF0C)]).clip(max=max(n - 1, 0)), minlength=n) if n else np.zeros(0)
-    stuffed = (repeats >= np.maximum(2, STUFFED_REPEAT * content_in)) & (count(seg, inside & fresh_use, n) >= 0.2 * repeats)
-    stuffed |= (count(seg, near & content, n) >= CHURN_NEAR * content_in) & (count(seg, near & fresh_use, n) >= CHURN_FRESH * content_in) & (content_in >= 4) & (commas >= CHURN_COMMAS)
-    stuffed &= sentence & ~chinese_in
+    stuffed = (repeats >= np.maximum(2, STUFFED_REPEAT * content_in)) & (count(seg, (inside & fresh_use) * weight, n) >= 0.2 * repeats)
+    stuffed |= (count(seg, (near & content) * weight, n) >= CHURN_NEAR * content_in) & (count(seg, (near & fresh_use) * weight, n) >= CHURN_FRESH * content_in) & (content_in >= 4) & (commas >= CHURN_COMMAS)
+    searches = count(seg, search * weight, n)
+    stuffed |= chinese_in & (searches >= np.maximum(SENTENCE_SEARCHES, SENTENCE_SEARCH * words_in))
+    stuffed &= sentence
     # Blocks: runs of segments that are no sentences, each sentence by itself
     fresh = np.ones(n, bool)
     fresh[1:] = sentence[1:] | sentence[:-1] | (doc_of_seg[1:] != doc_of_seg[:-1])
@@ -208,17 +227,20 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     mark = np.flatnonzero((points[:-1] == 0x23) & word[1:])
     hash_word = np.searchsorted(at, mark)
     links, marks = np.zeros(len(at)), np.zeros(len(at))
-    links[link_word], marks[hash_word] = 1, 1
-    words_b = count(wb, None, m)
-    content_b = count(wb, content, m)
-    digits_b = count(wb, digits, m)
-    repeats_b = count(wb, again & (wb[prev] == wb), m) if n else np.zeros(m)
-    chinese_b = count(wb, chinese, m) >= 0.3 * words_b
+    links[link_word] = 1
+    if len(mark):  # a mark holds for all the characters written together behind it
+        run = np.cumsum(~joined) - 1
+        marks[hash_word] = count(run, weight, int(run[-1]) + 1)[run[hash_word]] if chinese.any() else 1
+        marks[hash_word[~chinese[hash_word]]] = 1
+    words_b = count(wb, weight, m)
+    content_b = count(wb, content * weight, m)
+    digits_b = count(wb, digits * weight, m)
+    repeats_b = count(wb, (again & (wb[prev] == wb)) * weight, m) if n else np.zeros(m)
     listed = (
-        (count(wb, search, m) >= BLOCK_SEARCH * words_b)
+        (count(wb, search * weight, m) >= BLOCK_SEARCH * words_b)
         | (count(wb, links, m) >= BLOCK_LINKS * words_b) & (digits_b < 0.35 * words_b)
         | (count(wb, marks, m) >= BLOCK_HASHES * words_b)
-        | (repeats_b >= BLOCK_REPEAT * content_b) & (digits_b < BLOCK_DIGITS * words_b) & ~chinese_b & (words_b >= 12)
+        | (repeats_b >= BLOCK_REPEAT * content_b) & (digits_b < BLOCK_DIGITS * words_b) & (words_b >= 12)
     )
     alone = np.zeros(m, bool)
     alone[block[sentence]] = True

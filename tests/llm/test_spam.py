@@ -24,6 +24,21 @@ HONEST = {
     "notes": "Users who buy the editing kit online receive the protocol by mail; the price depends on the batch. Questions about the editing kit are answered on weekdays. Each editing kit contains reagents for 6 reactions and should be stored at 6 °C.",
     "menu": "Home > Articles > Authors\n\n" + " ".join(PROSE) + "\nTags: editing, kit", "twice": PROSE[0] + PROSE[0], "odd": "\x00\x01 ​", "number": "1234", "blank": " \n ", "empty": "",
 }
+CHINESE_SPAM = {
+    "keywords": "基因编辑试剂盒 厂家 包邮 优惠 基因编辑试剂盒 价格 便宜 试剂盒 批发 促销 购买 基因编辑试剂盒 网购 推荐 报价 试剂盒 折扣",
+    "mixed": "cell cutter counter 厂家 包邮 优惠 tissue 购买 tissue 价格 价格 便宜 counter 包邮 cell cutter 便宜 cell counter 优惠 厂家",
+    "tags": "标签：试剂盒，便宜，优惠，包邮，裂解液，促销，组织，打折，批发",
+    "links": "\n".join(f"组织切片机 shop{i}x.example" for i in "abcdefghijk"),
+    "hashtags": "#编辑试剂盒便宜 #编辑试剂盒推荐 #编辑试剂盒网购 #编辑试剂盒优惠 #编辑试剂盒厂家 #编辑试剂盒促销",
+    "sentences": "编辑试剂盒是好的编辑试剂盒，有编辑试剂盒的编辑试剂盒用户对编辑试剂盒和编辑试剂盒仪器在编辑试剂盒中。" * 2,
+    "searches": "厂家购买的价格和优惠，包邮的折扣和促销，批发在推荐中。网购的报价与特价，便宜的批发和包邮，对厂家的推荐。",
+}
+CHINESE_HONEST = {
+    "prose": "总之，这一方法便于推广，但仍受切片厚度限制。在其他器官中是否有效，目前尚不清楚。每组包括60只同龄动物，实验重复94次。处理90小时后，该基因的信号明显减弱。组织切片厚度为38微米，固定18小时后成像。",
+    "notes": "在线购买试剂盒的用户会在一周之内收到实验的说明；价格取决于批次的大小。关于试剂盒的问题在工作日答复。每个试剂盒含有六次反应的试剂，应在六度以下保存。",
+    "menu": "首页 文章 作者 关于", "references": "\n".join(f"{i}. 王某，李某。基因编辑与肾脏修复。细胞杂志，20{i:02d}，{i}：1-9。" for i in range(1, 9)),
+    "japanese": "この方法は広く使えますが、切片の厚さに制限されています。細胞の信号は二日後に弱くなりました。ほかの器官でも有効かどうかは、まだわかっていません。",
+}
 
 
 def stuffed(text):
@@ -41,6 +56,29 @@ def test_honest_text_is_not(kind):
     assert not stuffed(HONEST[kind])
 
 
+@pytest.mark.parametrize("kind", CHINESE_SPAM)
+def test_chinese_spam_is_stuffed(kind):
+    assert stuffed(CHINESE_SPAM[kind])
+
+
+@pytest.mark.parametrize("kind", CHINESE_HONEST)
+def test_chinese_honest_text_is_not(kind):
+    assert not stuffed(CHINESE_HONEST[kind])
+
+
+@pytest.mark.parametrize("kind", ["prose", "notes", "japanese"])
+def test_chinese_sentences_are_prose(kind):
+    assert sp.measure([CHINESE_HONEST[kind]])["prose"][0] > 0.9
+
+
+def test_chinese_spam_is_found_among_prose(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.sample(PROSE, 4))) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in enumerate(CHINESE_SPAM.values())] + [(2000 + i, t) for i, t in enumerate(CHINESE_HONEST.values())]
+    out = sp.find_spam(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.where("is_spam").collect()} == {1000 + i for i in range(len(CHINESE_SPAM))}
+
+
 def test_texts_are_measured_alike_alone_and_together():
     texts = [*SPAM.values(), *HONEST.values(), "中文" * 20 + "。", "x" * 100_000]
     together = sp.measure(texts)
