@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.functions import tokens as tk
+from marginalia.functions import values as v
 
 
 def locate_quotes(quotes: DataFrame, passages: DataFrame, *, keys: Sequence[str], quote_id: str, quote: str, passage_id: str, passage: str) -> DataFrame:
@@ -36,6 +38,55 @@ def anchor_outcomes(evidence: DataFrame, located: DataFrame, quote_id: str, page
     return evidence.join(first, quote_id, "left").withColumn("outcome", F.expr(outcome)).withColumn("n_places", F.coalesce("n_places", F.lit(0)))
 
 
+#: Decimal digits of all scripts but ASCII.
+DIGITS = "".join(chr(i) for i in range(0x80, 0x20000) if unicodedata.category(chr(i)) == "Nd")
+
+
+def _plain_digits(x: str) -> str:
+    """The text with the digits of all scripts as ASCII digits."""
+    return f"case when {x} rlike r'[\\p{{Nd}}&&[^0-9]]' then translate({x}, '{DIGITS}', '{''.join(str(unicodedata.decimal(c)) for c in DIGITS)}') else {x} end"
+
+
+def _searchable(df: DataFrame, text: str) -> DataFrame:
+    """The forms of a text in which values are sought: plain text, folded text, and the numbers it holds."""
+    numbers = f"transform(regexp_extract_all({_plain_digits(text)}, {v.SPARK.pattern(v.NUMBER)}, 0), x -> try_cast(replace(x, ',', '') as double))"
+    return df.where(f"not {v.is_empty(text)}").select("*", F.expr(v.plain_text(text)).alias("__plain"), F.expr(f"lower({v.tidy(text)})").alias("__folded"), F.expr(numbers).alias("__numbers")).drop(text)
+
+
+def page_texts(passages: DataFrame, keys: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
+    """The passages of each page as one text, in their order."""
+    parts = passages.where(F.col(text).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("a"))
+    return parts.select(*keys, F.array_join(F.transform("a", lambda x: x[text]), "\n").alias("page_text"))
+
+
+def support_outcomes(values: DataFrame, evidence: DataFrame, pages: DataFrame, *, proposal: str, field_type: str, value: str, evidence_id: str, quote: str, page: Sequence[str]) -> DataFrame:
+    """Whether quotes or cited pages hold the value of a proposal, by its type.
+
+    Numbers by overlap of their bounds with any number of the text, booleans by their terms as whole words, all else
+    by containment of the plain text (of the folded text where a value has no ASCII letter or digit). A text counts as support only if its
+    evidence has an id. Free text is ``not_applicable``; a value that does not parse, or without texts, ``unvalidated``.
+    """
+    e = evidence.withColumn("__id", F.expr(f"coalesce({evidence_id}, '') <> ''"))
+    quotes = _searchable(e.where(F.col(quote).isNotNull()).groupBy(proposal, quote).agg(F.max("__id").alias("__id")), quote).withColumn("__quote", F.lit(True))
+    cited = e.dropna(subset=list(page)).groupBy(proposal, *page).agg(F.max("__id").alias("__id"))
+    seen = cited.join(_searchable(pages, "page_text"), list(page)).drop(*page).withColumn("__quote", F.lit(False))
+    low, high = v.number_bounds("__digits")
+    kind = F.when(F.col(field_type).isin("number", "numeric"), "number").when(F.col(field_type) == "boolean", "boolean").otherwise("text")
+    asked = values.withColumn("__digits", F.expr(_plain_digits(value))).select(
+        proposal, field_type, kind.alias("__kind"), F.expr(low).alias("__low"), F.expr(high).alias("__high"), F.expr(v.boolean_value(value)).alias("__truth"), F.expr(v.plain_text(value)).alias("__value"), F.expr(f"nullif(lower({v.tidy(value)}), '')").alias("__raw")
+    ).withColumn("__parsed", F.expr("case __kind when 'number' then __low is not null when 'boolean' then __truth is not null else __raw is not null end"))
+    terms = lambda words: " or ".join(f"contains(concat(' ', __plain, ' '), ' {w} ')" for w in words)
+    hit = f"""__parsed and __id and case __kind when 'number' then exists(__numbers, x -> x >= __low and x <= __high)
+        when 'boolean' then case when __truth then {terms(v.BOOLEAN_TRUE)} else {terms(v.BOOLEAN_FALSE)} end
+        else case when __value <> '' then contains(__plain, __value) else contains(__folded, __raw) end end"""
+    joined = asked.join(quotes.unionByName(seen), proposal, "left")
+    out = joined.groupBy(proposal, field_type).agg(
+        F.count_if("__quote").alias("n_quotes"), F.count_if(F.expr(f"coalesce({hit}, false)")).alias("n_supporting"), F.count_if(~F.col("__quote")).alias("n_pages"), F.max("__parsed").alias("__parsed")
+    ).withColumn("supported", F.col("n_supporting") > 0)
+    status = f"case when {field_type} in ('boolean', 'categorical', 'number', 'numeric') then case when not __parsed or n_quotes + n_pages = 0 then 'unvalidated' when supported then 'supported' else 'unsupported' end else 'not_applicable' end"
+    return out.select(proposal, field_type, "n_quotes", "n_pages", "n_supporting", "supported", F.expr(status).alias("status"))
+
+
 def rank_evidence(evidence: DataFrame, proposal: str, source: str, prior: str, quote_id: str, authority: Sequence[str]) -> DataFrame:
     """Evidence of each proposal by authority of its source, then prior rank; the first is primary."""
     order = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in authority]), F.col(source)), F.lit(0))

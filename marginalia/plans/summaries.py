@@ -55,11 +55,12 @@ def mentioned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supported(spark: SparkSession, d: str) -> DataFrame:
-    """Whether one of a proposal's quotes holds its value."""
-    e = table(spark, d, "evidence").select("proposal_id", "quote_text").where("quote_text is not null").distinct()
-    joined = _valued(spark, d).join(e, "proposal_id", "left")
-    hit = F.expr(f"contains({tk.token_text('quote_text')}, {tk.token_text('proposed_value')})")
-    return joined.groupBy("proposal_id").agg(F.count("quote_text").alias("n_quotes"), F.count_if(hit).alias("n_supporting")).withColumn("supported", F.col("n_supporting") > 0)
+    """Whether a proposal's quotes or cited pages hold its value, by its type (X15). Values of any length."""
+    p = table(spark, d, "proposals").where("proposal_status = 'value_proposed'").select("proposal_id", "field_type", "proposed_value").distinct()
+    page = ("pdf_id", "page_number")
+    pages = an.page_texts(passages.chunks(spark, d), page, ("reading_order", "chunk_id"), "display_text")
+    e = table(spark, d, "evidence").select("evidence_id", "proposal_id", *page, "quote_text").distinct()
+    return an.support_outcomes(p, e, pages, proposal="proposal_id", field_type="field_type", value="proposed_value", evidence_id="evidence_id", quote="quote_text", page=page)
 
 
 def front_matter(spark: SparkSession, d: str) -> DataFrame:

@@ -106,3 +106,16 @@ def test_empty_tables(spark, empty):
     assert rt.term_statistics(e, "doc", "chunk", "text").collect() == []
     assert rt.blocks(e, "doc", "text").collect() == []
     assert st.moments(spark.createDataFrame([], "a string, x double"), ["a"], "x").collect() == []
+
+
+def test_support_is_typed_and_reads_quotes_and_pages(spark):
+    rows = [
+        ("short", "number", "5", "a count of 5 cells", "supported"), ("thousands", "number", "1,234", "in all 1234 cells", "supported"), ("range", "number", "22-34", "at 30 degrees", "supported"), ("part", "number", "5", "in 2015", "unsupported"),
+        ("wide", "number", "about 84", "only ８４ carried it", "supported"), ("page", "number", "74", "no number", "supported"), ("unparsed", "number", "12 of 5", "12 of 5", "unvalidated"), ("yes", "boolean", "yes", "it was present", "supported"), ("no", "boolean", "no", "it was noted", "unsupported"),
+        ("kind", "categorical", "Mouse", "mouse-derived", "supported"), ("script", "categorical", "мышь", "это Мышь", "supported"), ("strange", "categorical", "мышь", "a cat", "unsupported"), ("free", "text", "words", "words", "not_applicable"), ("none", "number", "7", None, "unvalidated"),
+    ]
+    values = spark.createDataFrame([(p, k, x) for p, k, x, _, _ in rows], "p string, k string, x string")
+    evidence = spark.createDataFrame([(f"e{p}", p, "pdf", 2 if p == "page" else 1, q) for p, _, _, q, _ in rows if q], "e string, p string, pdf string, page int, q string")
+    pages = an.page_texts(spark.createDataFrame([("pdf", 2, 1, "until 74 hours"), ("pdf", 2, 0, "stored")], "pdf string, page int, o int, t string"), ("pdf", "page"), ("o",), "t")
+    out = an.support_outcomes(values, evidence, pages, proposal="p", field_type="k", value="x", evidence_id="e", quote="q", page=("pdf", "page")).collect()
+    assert {r.p: r.status for r in out} == {p: s for p, _, _, _, s in rows}
