@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +31,57 @@ def locate_quotes(quotes: DataFrame, passages: DataFrame, *, keys: Sequence[str]
     return pairs.join(p, [*k, passage_id]).where("contains(__p, __q)").select(*k, quote_id, passage_id)
 
 
+#: What parts words in any script.
+APART = r"[^\p{L}\p{N}\p{M}]+"
+
+
+#: Groups of at most so many passages are held against each quote of the group as they are.
+SMALL = 64
+
+
+def folded_text(df: DataFrame, text: str) -> DataFrame:
+    """White space collapsed and case folded, in any script, in place; on Arrow batches, as Spark has no case folding."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if x is None else " ".join(x.split()).casefold() for x in columns[at].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def contained_quotes(quotes: DataFrame, passages: DataFrame, *, keys: Sequence[str], quote_id: str, quote: str, passage_id: str, passage: str, fold: Callable[[DataFrame, str], DataFrame] = folded_text, small: int = SMALL) -> DataFrame:
+    """(quote, passage) of equal keys where the folded quote stands in the folded passage, cut words included.
+
+    In groups of more than ``small`` passages a quote meets passages only by the rarest of its inner words, which stand whole
+    wherever the quote does, in any script; a quote without an inner word meets all passages of its group. Both ways
+    give the same pairs.
+    """
+    k = list(keys)
+    real = r"rlike '(?U)[^\\s\\x1c-\\x1f]'"
+    q = quotes.select(*k, F.col(quote_id).alias("__qid"), F.col(quote).alias("__q")).where(f"__q {real}")
+    p = passages.select(*k, F.col(passage_id).alias("__pid"), F.col(passage).alias("__p")).where(f"__p {real}")
+    sizes = p.groupBy(*k).agg(F.count("*").alias("__n"))
+    p = p.join(sizes, k)
+    is_small = F.col("__n") <= small
+    # A fold may leave nothing of a text that is not blank: an empty quote stands nowhere
+    held = "length(__q) > 0 and contains(__p, __q)"
+    found = fold(p.where(is_small), "__p").join(fold(q, "__q"), k).where(held).select(*k, "__qid", "__pid")
+    large = fold(p.where(~is_small), "__p").drop("__n")
+    q = fold(q.join(sizes.where(~is_small), k), "__q").drop("__n").withColumn("__words", F.split("__q", APART))
+    q = q.select(*k, "__qid", "__q", F.expr("case when size(__words) > 2 then array_distinct(slice(__words, 2, size(__words) - 2)) else cast(array() as array<string>) end").alias("__words"))
+    words = large.select(*k, "__pid", F.explode(F.array_distinct(F.split("__p", APART))).alias("__word")).where("__word <> ''").distinct()
+    counts = words.groupBy(*k, "__word").agg(F.count("*").alias("__df"))
+    q_words = q.select(*k, "__qid", "__q", F.explode("__words").alias("__word"))
+    rarest = q_words.join(counts, [*k, "__word"], "left").groupBy(*k, "__qid", "__q").agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), "__word")).alias("__r"))
+    pairs = rarest.where("__r.df > 0").select(*k, "__qid", "__q", F.col("__r.__word").alias("__word")).join(words, [*k, "__word"])
+    by_word = pairs.join(large, [*k, "__pid"]).where(held).select(*k, "__qid", "__pid")
+    wordless = q.where("size(__words) = 0").join(large, k).where(held).select(*k, "__qid", "__pid")
+    return found.unionByName(by_word).unionByName(wordless).distinct().select(*k, F.col("__qid").alias(quote_id), F.col("__pid").alias(passage_id))
+
+
 def anchor_outcomes(evidence: DataFrame, located: DataFrame, quote_id: str, page: str, quote: str) -> DataFrame:
     """Outcome of each piece of evidence: no page or quote, located, or present but not located; and the first passage."""
     first = located.groupBy(quote_id).agg(F.min("chunk_id").alias("chunk_id"), F.count("*").alias("n_places"))

@@ -72,7 +72,7 @@ def captions(spark: SparkSession, d: str) -> DataFrame:
 
 def located(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "evidence").where("quote_text is not null and page_number is not null")
-    return an.locate_quotes(e, chunks(spark, d), keys=("pdf_id", "page_number"), quote_id="evidence_id", quote="quote_text", passage_id="chunk_id", passage="display_text")
+    return an.contained_quotes(e, chunks(spark, d), keys=("pdf_id", "page_number"), quote_id="evidence_id", quote="quote_text", passage_id="chunk_id", passage="display_text")
 
 
 def audit(spark: SparkSession, d: str) -> DataFrame:

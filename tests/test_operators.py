@@ -119,3 +119,16 @@ def test_support_is_typed_and_reads_quotes_and_pages(spark):
     pages = an.page_texts(spark.createDataFrame([("pdf", 2, 1, "until 74 hours"), ("pdf", 2, 0, "stored")], "pdf string, page int, o int, t string"), ("pdf", "page"), ("o",), "t")
     out = an.support_outcomes(values, evidence, pages, proposal="p", field_type="k", value="x", evidence_id="e", quote="q", page=("pdf", "page")).collect()
     assert {r.p: r.status for r in out} == {p: s for p, _, _, _, s in rows}
+
+
+def test_quotes_of_any_script_and_cut_words_are_contained(spark):
+    texts = {"t1": "Many small\n edits were made in the old kidney.", "t2": "Сигнал гена исчезал через 21 ч после обработки.", "t3": "该差异可能与切片质量有关，仍需进一步验证。组织切片", "t4": "Η ΟΔΟΣ της Straße", "t5": None}
+    quotes = {
+        "cut": ("all  Edits were ma", {"t1"}), "one": ("mall", {"t1"}), "ru": ("гена ИСЧЕЗАЛ через", {"t2"}), "ru_cut": ("гнал гена исч", {"t2"}), "zh": ("切片质量有关，仍需进一步", {"t3"}), "zh_short": ("切片", {"t3"}), "el": ("οδος ΤΗΣ strasse", {"t4"}),
+        "gap": ("small were", set()), "no": ("старый ген и", set()), "marks": ("small-edits", set()), "blank": (" \n", set()), "null": (None, set()),
+    }
+    q = spark.createDataFrame([(i, 1, x) for i, (x, _) in quotes.items()], "q string, page int, text string")
+    p = spark.createDataFrame([(i, n, x) for i, x in texts.items() for n in ((1,) if i != "t5" else (1, 2))], "t string, page int, body string")
+    for small in (64, 0):
+        out = an.contained_quotes(q, p, keys=["page"], quote_id="q", quote="text", passage_id="t", passage="body", small=small).collect()
+        assert sorted((r.q, r.t) for r in out) == sorted((i, t) for i, (_, found) in quotes.items() for t in found)
