@@ -52,6 +52,11 @@ def folded_text(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def plain_words(df: DataFrame, text: str) -> DataFrame:
+    """Lower-case ASCII letters and digits parted by single blanks, in place."""
+    return df.withColumn(text, F.expr(f"coalesce({v.plain_text(text)}, '')"))
+
+
 def contained_quotes(quotes: DataFrame, passages: DataFrame, *, keys: Sequence[str], quote_id: str, quote: str, passage_id: str, passage: str, fold: Callable[[DataFrame, str], DataFrame] = folded_text, small: int = SMALL) -> DataFrame:
     """(quote, passage) of equal keys where the folded quote stands in the folded passage, cut words included.
 

@@ -44,13 +44,15 @@ def page_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _valued(spark: SparkSession, d: str) -> DataFrame:
+    """Proposed values of four or more characters in plain text."""
     p = table(spark, d, "proposals").where("proposal_status = 'value_proposed'").select("proposal_id", "pdf_id", "proposed_value").distinct()
-    return p.where(f"length(trim({tk.token_text('proposed_value')})) >= 4")
+    return p.where(f"length({v.plain_text('proposed_value')}) >= 4")
 
 
 def mentioned(spark: SparkSession, d: str) -> DataFrame:
-    """Proposed values that stand in a passage of their paper (X53), with the number of passages."""
-    found = an.locate_quotes(_valued(spark, d), passages.chunks(spark, d), keys=["pdf_id"], quote_id="proposal_id", quote="proposed_value", passage_id="chunk_id", passage="display_text")
+    """Proposed values that stand in either text of a passage of their paper (X53), cut words included, with the number of passages."""
+    c = passages.chunks(spark, d).select("pdf_id", "chunk_id", F.concat_ws(" ", "display_text", "retrieval_text").alias("both_texts"))
+    found = an.contained_quotes(_valued(spark, d), c, keys=["pdf_id"], quote_id="proposal_id", quote="proposed_value", passage_id="chunk_id", passage="both_texts", fold=an.plain_words)
     return found.groupBy("proposal_id").agg(F.count("*").alias("n_passages"))
 
 

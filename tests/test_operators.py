@@ -8,6 +8,7 @@ from marginalia.operators import match as mt
 from marginalia.operators import retrieve as rt
 from marginalia.operators import review as rv
 from marginalia.operators import study as st
+from marginalia.plans import summaries
 
 
 def test_numeric_comparison_classes(spark):
@@ -132,3 +133,13 @@ def test_quotes_of_any_script_and_cut_words_are_contained(spark):
     for small in (64, 0):
         out = an.contained_quotes(q, p, keys=["page"], quote_id="q", quote="text", passage_id="t", passage="body", small=small).collect()
         assert sorted((r.q, r.t) for r in out) == sorted((i, t) for i, (_, found) in quotes.items() for t in found)
+
+
+def test_values_are_mentioned_in_either_text_and_inside_words(spark, tmp_path):
+    props = [("display", "mouse", "v"), ("retrieval", "kidney", "v"), ("inside", "cortic", "v"), ("short", "map", "v"), ("absent", "human", "v")]
+    rows = [(i, "pdf", x, "value_proposed") for i, x, _ in props]
+    spark.createDataFrame(rows, "proposal_id string, pdf_id string, proposed_value string, proposal_status string").write.parquet(f"{tmp_path}/proposals.parquet")
+    chunk = [("c1", "pdf", "p", 1, 1, "A map of Mouse tissue", "kidney: subcortical", None)]
+    spark.createDataFrame(chunk, "chunk_id string, pdf_id string, chunk_type string, page_number int, reading_order int, display_text string, retrieval_text string, section_context string").write.parquet(f"{tmp_path}/chunks.parquet")
+    out = summaries.mentioned(spark, str(tmp_path)).collect()
+    assert {r.proposal_id: r.n_passages for r in out} == {"display": 1, "retrieval": 1, "inside": 1}
