@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 Judge = Callable[[str, str], tuple[str, float]]
 #: (column, passages, prompt) to the proposed value, or None.
 Extractor = Callable[[str, str, str], str | None]
-TEXT_LIMIT = 4000
 
 
 def overlap_judge(gold: str, proposed: str) -> tuple[str, float]:
@@ -46,7 +45,7 @@ def judge_cells(cells: DataFrame, judges: Mapping[str, Judge], *, keep: list[str
             rows = []
             for record in batch.itertuples(index=False):
                 values = list(record)
-                g, p = ("" if x is None else str(x)[:TEXT_LIMIT] for x in values[len(keep) :])
+                g, p = ("" if x is None else str(x) for x in values[len(keep) :])
                 for label, judge in chosen.items():
                     try:
                         verdict, score, error = *judge(g, p), None

@@ -28,3 +28,10 @@ def test_contexts_prompts_and_extraction(spark):
 def test_first_matching_policy(spark):
     df = spark.createDataFrame([("a-q4",), ("b",), (None,)], "m string")
     assert [r.p for r in df.select(plug.first_match(F.col("m"), {"-q4$": "x", "b": "y"}, "z").alias("p")).collect()] == ["x", "y", "z"]
+
+
+def test_judges_see_whole_texts(spark):
+    seen = lambda g, p: (str(len(g)), float(len(p)))
+    cells = spark.createDataFrame([("a", "x" * 5000, "y" * 4001)], "id string, gold_value string, proposed_value string")
+    row = plug.judge_cells(cells, {"n": seen}, keep=["id"]).first()
+    assert (row.judge_verdict, row.judge_score) == ("5000", 4001.0)
