@@ -1,10 +1,11 @@
 """Pages made for search engines: keyword stuffing, link lists and product tags instead of sentences.
 
-Each text is measured in one vectorised pass over code points: its words are hashed in place and counted by
-sentence, by block of what is no sentence, and by text. From the measures of all texts of a language come a
-robust centre (medians), scale (median deviations) and correlation (of the texts within three deviations in
-every feature). Texts far from the centre by robust Mahalanobis distance, in a direction that leads to spam,
-are flagged; of these the ones whose stuffed part outweighs the sentences that tell something are cases.
+Each text is parted, in one vectorised pass over code points, into its sentences, its sentences that string words
+together, and its blocks of what is no sentence. Each part is measured: share of function words, of digits, of
+links, of hash marks, of words that recur, and entropy. The prose of a language gives a robust centre (medians),
+scale (median deviations) and correlation (of the parts within three deviations in every feature). A part far from
+the prose of its language by robust Mahalanobis distance, in a direction that leads to spam, is flagged. A text is
+spam if its flagged parts are more than half of what counts in it: they outweigh its sentences.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.encode import classes, groups_of, piece_hashes
+from marginalia.llm.visual import ONE, transducer
 from marginalia.session import saved
 
 # Common function words by language.
@@ -33,38 +35,24 @@ FUNCTION_WORDS = {
     "zh": list("的了在是和与有为其这于及之以但个中对每约该"),
     "ja": [chr(i) for i in range(0x3041, 0x3097)],
 }
-# Words of searches, offers, link exchanges and tags, by no language in particular.
-SEARCH_WORDS = (
-    "buy cheap cheapest best top price prices pricing online free shipping sale discount discounts deal deals outlet shop shops store order coupon coupons "
-    "wholesale supplier suppliers catalogue review reviews offer offers bargain promo promotion links link partners sponsored sku tags tag labels label "
-    "download pdf ppt thesis definition tutorial example full text impact factor papers call versus "
-    "kaufen günstig billig preis preise angebot angebote rabatt bestellen versand test erfahrungen "
-    "acheter prix promo livraison gratuite gratuit soldes cher meilleur avis ligne "
-    "comprar precio precios oferta ofertas barato descuento envío gratis mejor línea tienda "
-    "купить цена цены скидка скидки дёшево дешево онлайн отзывы доставка заказать недорого магазин "
-    "αγορά τιμή τιμές προσφορά προσφορές φθηνό φθηνά έκπτωση κατάστημα "
-    "comprare prezzo sconto kup tanio"
-).split()
-# The same in Chinese, of two characters each.
-SEARCH_PAIRS = "购买 便宜 价格 优惠 折扣 包邮 促销 批发 特价 打折 供应 评测 网购 厂家 报价 推荐".split()
-
 #: Share of function words and least words of a sentence; share of repeated content words that makes a sentence stuffed.
 SENTENCE_FUNCTION, SENTENCE_WORDS, STUFFED_REPEAT = 0.1, 4, 0.25
-#: Share and least number of search words that make a Chinese sentence stuffed: its function words are single characters, easily strewn in.
-SENTENCE_SEARCH, SENTENCE_SEARCHES = 0.25, 3
 #: A sentence is also stuffed if so large a share of its content words recurs within so many words, so large a share of
 #: them before another word than last time, and so many commas part them.
 NEAR, CHURN_NEAR, CHURN_FRESH, CHURN_COMMAS = 40, 0.4, 0.15, 2
-#: A block is stuffed by its share of search words, links or hash marks among its words, or of repeated words where few hold digits.
-BLOCK_SEARCH, BLOCK_LINKS, BLOCK_HASHES, BLOCK_REPEAT, BLOCK_DIGITS = 0.08, 0.12, 0.2, 0.5, 0.05
+#: Least words or characters of a part that is measured; shorter ones (menus, captions, headings) count for neither side.
+PART_WORDS, PART_CHARS = 10, 80
 #: Quantile 0.999 of the chi-square distribution with as many degrees of freedom as there are features.
-FAR = 24.32
+FAR = 22.46
 #: Direction of spam in deviations of each feature, and least scale of each feature.
-FEATURES = {"stuffed": (1.0, 0.05), "prose": (-0.5, 0.05), "entropy": (-0.5, 0.02), "repetition": (0.5, 0.05), "function": (-0.5, 0.03), "links": (0.5, 0.02), "search": (1.0, 0.02)}
-#: Languages of fewer texts, and texts of no known language, are held against all texts together.
+FEATURES = {"function": (-1.0, 0.05), "digits": (-1.0, 0.04), "repetition": (1.0, 0.1), "entropy": (-1.0, 0.04), "links": (0.5, 0.03), "marks": (0.5, 0.05)}
+#: For the direction deviations are cut at so many; least component of the distance in the direction of spam.
+MOST_DEVIATIONS, TOWARDS = 15.0, 2.5
+#: Languages with fewer measured parts of prose, and texts of no known language, are held against all prose together.
 LEAST_GROUP = 100
-#: Least stuffed share of a case. Beyond it the stuffed part must outweigh the sentences: menus, captions and the like count for neither.
+#: Least flagged share of a spam text; beyond it the flagged parts must outweigh the sentences.
 LEAST_STUFFED = 0.35
+BLOCK, STRINGING, PROSE = range(3)
 
 
 class _Tables:
@@ -87,18 +75,19 @@ class _Tables:
         self.space = c == 2
         hidden = [i for i in (*range(0x20), *range(0x7F, 0xA0), 0xAD, *range(0x600, 0x606), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF)]
         self.space[hidden] = True  # controls and invisible marks part words and sentences as blanks do
-        # One sorted table of known words; a bit for each language in which the word is a function word, the next for searches
+        # Wide forms and look-alike letters are read as the letters they look like, in texts and function words alike
+        fold = transducer()
+        self.plain = np.where(fold.kind == ONE, fold.to, np.arange(0x110000, dtype=np.uint32))
+        # One sorted table of known words; a bit for each language in which the word is a function word
         bits: dict[int, int] = {}
-        for k, listed in enumerate([*FUNCTION_WORDS.values(), SEARCH_WORDS]):
+        for k, listed in enumerate(FUNCTION_WORDS.values()):
             for h in self._hashes(listed).tolist():
                 bits[h] = bits.get(h, 0) | 1 << k
         self.known = np.array(sorted(bits), np.uint64)
         self.bits = np.array([bits[h] for h in sorted(bits)], np.int64)
-        self.pairs = np.array([[ord(a), ord(b)] for a, b in SEARCH_PAIRS], np.uint32)
 
-    @staticmethod
-    def _hashes(words) -> np.ndarray:
-        points = [np.array([ord(c) for c in w], np.uint32) for w in words]
+    def _hashes(self, words) -> np.ndarray:
+        points = [self.lower[self.plain[[ord(c) for c in w]]] for w in words]
         starts = np.cumsum([0, *map(len, points[:-1])])
         return np.unique(piece_hashes(np.concatenate(points), starts))
 
@@ -125,14 +114,15 @@ def _occurrences(group: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.
     return before, place[head], np.diff(np.append(head, n))
 
 
-def measure(texts: list[str]) -> dict[str, np.ndarray]:
-    """Features of each text, and its language by its function words and script."""
+def measure(texts: list[str]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(``language`` by function words and script, and ``chars`` of each text; ``text``, ``kind``, ``chars``, ``words``
+    and the features of each part, text by text)."""
     global _tables
     if _tables is None:
         _tables = _Tables()
     t = _tables
     d = len(texts)
-    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = t.plain[np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, d) + 1)
     word, cjk = t.word[points], t.cjk[points]
     before = np.append(False, word[:-1])
@@ -148,12 +138,7 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     entry = np.minimum(np.searchsorted(t.known, hashes), len(t.known) - 1)
     bits = np.where(t.known[entry] == hashes, t.bits[entry], 0)
     top = len(FUNCTION_WORDS)
-    function, search, chinese = bits & ((1 << top) - 1) > 0, bits >> top > 0, cjk[at]
-    if chinese.any():
-        two = chinese[:-1] & chinese[1:]
-        for a, b in t.pairs:
-            hit = np.flatnonzero(two & (points[at[:-1]] == a) & (points[at[1:]] == b))
-            search[hit] = search[hit + 1] = True
+    function, chinese = bits > 0, cjk[at]
     # Chinese is written without blanks: each character counts half a word, and what may recur is its pair with the next one
     weight = np.where(chinese, 0.5, 1.0)
     paired = np.zeros(len(at), bool)
@@ -188,7 +173,6 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     count = lambda group, what, m: np.bincount(group, weights=what, minlength=m)
     words_in = count(seg, weight, n)
     sentence = stops[used] & (words_in >= SENTENCE_WORDS) & (count(seg, function, n) >= SENTENCE_FUNCTION * words_in)
-    chinese_in = count(seg, chinese, n) >= 0.3 * count(seg, None, n)
     content_in = count(seg, content * weight, n)
     prev, first, times = _occurrences(doc_of_seg[seg], hashes)
     again = content & (prev >= 0)
@@ -208,8 +192,6 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     commas = np.bincount(np.searchsorted(used, segment_of[(points == 0x2C) | (points == 0x3001) | (points == 0xFF0C)]).clip(max=max(n - 1, 0)), minlength=n) if n else np.zeros(0)
     stuffed = (repeats >= np.maximum(2, STUFFED_REPEAT * content_in)) & (count(seg, (inside & fresh_use) * weight, n) >= 0.2 * repeats)
     stuffed |= (count(seg, (near & content) * weight, n) >= CHURN_NEAR * content_in) & (count(seg, (near & fresh_use) * weight, n) >= CHURN_FRESH * content_in) & (content_in >= 4) & (commas >= CHURN_COMMAS)
-    searches = count(seg, search * weight, n)
-    stuffed |= chinese_in & (searches >= np.maximum(SENTENCE_SEARCHES, SENTENCE_SEARCH * words_in))
     stuffed &= sentence
     # Blocks: runs of segments that are no sentences, each sentence by itself
     fresh = np.ones(n, bool)
@@ -232,126 +214,171 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
         run = np.cumsum(~joined) - 1
         marks[hash_word] = count(run, weight, int(run[-1]) + 1)[run[hash_word]] if chinese.any() else 1
         marks[hash_word[~chinese[hash_word]]] = 1
-    words_b = count(wb, weight, m)
-    content_b = count(wb, content * weight, m)
-    digits_b = count(wb, digits * weight, m)
-    repeats_b = count(wb, (again & (wb[prev] == wb)) * weight, m) if n else np.zeros(m)
-    listed = (
-        (count(wb, search * weight, m) >= BLOCK_SEARCH * words_b)
-        | (count(wb, links, m) >= BLOCK_LINKS * words_b) & (digits_b < 0.35 * words_b)
-        | (count(wb, marks, m) >= BLOCK_HASHES * words_b)
-        | (repeats_b >= BLOCK_REPEAT * content_b) & (digits_b < BLOCK_DIGITS * words_b) & (words_b >= 12)
-    )
-    alone = np.zeros(m, bool)
-    alone[block[sentence]] = True
-    listed &= ~alone
-    bad = stuffed | listed[block] if n else stuffed
+    # Parts: each block; the sentences of a text that string words together; its other sentences
+    kind = np.where(sentence, np.where(stuffed, STRINGING, PROSE), BLOCK)
+    label = np.where(kind == BLOCK, doc_of_seg * (m + 2) + 2 + block, doc_of_seg * (m + 2) + kind - 1)
+    _, head, part = np.unique(label, return_index=True, return_inverse=True)
+    parts = len(head)
+    # Of what strings no words together, a sentence that stands there once more, word for word, tells nothing new
+    order = np.arange(len(at)) - np.searchsorted(seg, seg) if n else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        mixed = hashes * (2 * order.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        whole = np.add.reduceat(mixed, np.searchsorted(seg, np.arange(n))) if n else np.zeros(0, np.uint64)
+    copied = (_occurrences(doc_of_seg, whole)[0] >= 0) & stops[used] & (words_in >= SENTENCE_WORDS) & ~stuffed if n else np.zeros(0, bool)
+    seen = np.flatnonzero(~copied[seg]) if n else np.zeros(0, np.int64)
+    of, wt = part[seg[seen]], weight[seen]
+    back, first, times = _occurrences(of, hashes[seen])
+    twice = back >= 0
+    twice[back[twice]] = True
+    words_p = count(of, wt, parts)
+    share = lambda what: count(of, what[seen] * wt, parts) / np.maximum(words_p, 1)
+    total = count(of, None, parts)
+    spread = np.log(np.maximum(total, 2)) - np.bincount(of[first], weights=times * np.log(np.maximum(times, 1)), minlength=parts) / np.maximum(total, 1)
+    recurs = np.zeros(len(at), bool)
+    recurs[seen] = twice
+    inside_p = {
+        "text": doc_of_seg[head], "kind": kind[head], "chars": count(part[seg], size, parts) if n else np.zeros(0), "words": words_p,
+        "function": share(function), "digits": share(digits), "repetition": share(recurs & content & ~digits),
+        "entropy": np.where(total > 1, spread / np.log(np.maximum(total, 2)), 1.0),
+        "links": count(of, links[seen], parts) / np.maximum(words_p, 1), "marks": count(of, marks[seen], parts) / np.maximum(words_p, 1),
+    }
     doc = doc_of_seg[seg] if n else np.zeros(0, np.int64)
-    chars = count(doc, size, d)
-    share = lambda x: x / np.maximum(chars, 1)
     total = count(doc, None, d)
-    spread = np.log(np.maximum(total, 2)) - np.bincount(doc[first], weights=times * np.log(np.maximum(times, 1)), minlength=d) / np.maximum(total, 1)
-    content_d = count(doc, content, d)
-    out = {
-        "stuffed": share(count(doc, size * bad[seg], d)) if n else np.zeros(d),
-        "prose": share(count(doc, size * (sentence & ~stuffed)[seg], d)) if n else np.zeros(d),
-        "entropy": np.where(total > 1, spread / np.log(np.maximum(total, 2)), 1.0),
-        "repetition": count(doc, again, d) / np.maximum(content_d, 1),
-        "function": count(doc, function, d) / np.maximum(total, 1),
-        "links": count(doc, links, d) / np.maximum(total, 1),
-        "search": count(doc, search, d) / np.maximum(total, 1),
-        "words": total,
-    }
     marked = np.flatnonzero(function)
     hits = np.stack([count(doc[marked], (bits[marked] >> k) & 1, d) for k in range(top)])
-    out["language"] = np.where(hits.max(axis=0) >= 0.02 * np.maximum(total, 1), hits.argmax(axis=0), top).astype(np.int32)
-    out["language"][total == 0] = top
-    return out
+    language = np.where(hits.max(axis=0) >= 0.02 * np.maximum(total, 1), hits.argmax(axis=0), top).astype(np.int32)
+    language[total == 0] = top
+    return {"language": language, "chars": count(doc, size, d)}, inside_p
 
 
-def page_features(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``language`` and the features of each text; texts without a word have a row of neutral values."""
-    names = list(FEATURES)
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("language", T.StringType()), *(T.StructField(f, T.DoubleType()) for f in [*names, "words"])])
+_PART = T.StructType(
+    [T.StructField("kind", T.IntegerType()), T.StructField("chars", T.DoubleType()), T.StructField("words", T.DoubleType()), *(T.StructField(f, T.DoubleType()) for f in FEATURES)]
+)
+
+
+def page_parts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``language`` and the measured ``parts`` of each text, one row per row; texts without a word have none."""
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("language", T.StringType()), T.StructField("parts", T.ArrayType(_PART))])
     languages = np.array([*FUNCTION_WORDS, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").to_pylist()
             for a, b in groups_of(texts):
-                m = measure(texts[a:b])
-                cols = [batch.column(0).slice(a, b - a), pa.array(languages[m["language"]].tolist(), pa.string()), *(pa.array(m[f].astype(float)) for f in [*names, "words"])]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                whole, parts = measure(texts[a:b])
+                cuts = np.searchsorted(parts["text"], np.arange(b - a + 1)).astype(np.int32)
+                fields = [pa.array(parts["kind"].astype(np.int32)), *(pa.array(parts[f.name].astype(float)) for f in _PART.fields[1:])]
+                nested = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(fields, names=_PART.names))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(languages[whole["language"]].tolist(), pa.string()), nested], names=schema.names)
 
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def _inverse(rows: dict) -> np.ndarray:
+class Shape:
+    """Centre, scale and inverse correlation of the prose of a language."""
+
+    def __init__(self, centre: np.ndarray, scale: np.ndarray, inverse: np.ndarray):
+        self.centre, self.scale, self.inverse = centre, scale, inverse
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(squared Mahalanobis distance, component of the distance in the direction of spam) of each row of features."""
+        z = (x - self.centre) / self.scale
+        w = np.array([w for w, _ in FEATURES.values()])
+        towards = np.clip(z, -MOST_DEVIATIONS, MOST_DEVIATIONS) @ self.inverse @ w / np.sqrt(w @ self.inverse @ w)
+        return np.einsum("ij,jk,ik->i", z, self.inverse, z), towards
+
+
+def _inverse(n: int, mean: np.ndarray, product: np.ndarray) -> np.ndarray:
     """Inverse of the correlation of the features, shrunk towards the identity so that it exists."""
-    names = list(FEATURES)
-    p = len(names)
+    p = len(mean)
     c = np.eye(p)
-    if rows["n"] and rows["n"] > 10 * p:
-        mean = np.array([rows[f"m{i}"] for i in range(p)])
-        for i in range(p):
-            for j in range(i, p):
-                c[i, j] = c[j, i] = rows[f"c{i}_{j}"] - mean[i] * mean[j]
-        scale = np.sqrt(np.maximum(np.diag(c), 1e-12))
-        c = c / np.outer(scale, scale)
-        c = 0.5 * c + 0.5 * np.eye(p)
+    if n > 10 * p:
+        c = product - np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(c), 0.05))  # a feature that hardly varies keeps its least scale
+        c = 0.5 * c / np.outer(scale, scale) + 0.5 * np.eye(p)
     return np.linalg.inv(c)
 
 
+def prose_shapes(pages: DataFrame) -> dict[str, Shape]:
+    """The shape of the prose of each language, and of all as ``all``: two distributed passes over the measured parts,
+    of which one small row per language reaches the driver."""
+    names = list(FEATURES)
+    p = len(names)
+    prose = pages.select("language", F.explode("parts").alias("part")).where((F.col("part.kind") == PROSE) & (F.col("part.words") >= PART_WORDS))
+    grouped = prose.select(F.explode(F.array("language", F.lit("all"))).alias("group"), *[F.col(f"part.{f}").alias(f) for f in names])
+    medians = {r.group: r for r in grouped.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 1000).alias(f) for f in names]).collect()}
+    kept = [g for g, r in medians.items() if g == "all" or g != "und" and r.n >= LEAST_GROUP]
+    if not kept:
+        return {}
+
+    def of(values: dict[str, float]) -> Column:  # one branch per language of a fixed list
+        return F.coalesce(*[F.when(F.col("group") == g, F.lit(float(x))) for g, x in values.items()])
+
+    grouped = grouped.where(F.col("group").isin(kept))
+    off = grouped.select("group", *[(F.col(f) - of({g: medians[g][f] for g in kept})).alias(f) for f in names])
+    spreads = {r.group: r for r in off.groupBy("group").agg(*[F.percentile_approx(F.abs(f), 0.5, 1000).alias(f) for f in names]).collect()}
+    scale = {g: np.array([max(1.4826 * spreads[g][f], least) for f, (_, least) in FEATURES.items()]) for g in kept}
+    z = off.select("group", *[(F.col(f) / of({g: scale[g][i] for g in kept})).alias(f"z{i}") for i, f in enumerate(names)])
+    inner = z.where(" and ".join(f"abs(z{i}) <= 3" for i in range(p)))
+    products = [F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
+    moments = {r.group: r for r in inner.groupBy("group").agg(F.count("*").alias("n"), *[F.avg(f"z{i}").alias(f"m{i}") for i in range(p)], *products).collect()}
+    shapes = {}
+    for g in kept:
+        inverse = np.eye(p)
+        if g in moments:
+            r = moments[g]
+            product = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+            inverse = _inverse(r.n, np.array([r[f"m{i}"] for i in range(p)]), product)
+        shapes[g] = Shape(np.array([medians[g][f] for f in names]), scale[g], inverse)
+    return shapes
+
+
+def judge_pages(language: list[str], parts: dict[str, np.ndarray], texts: np.ndarray, shapes: dict[str, Shape], far: float = FAR, towards: float = TOWARDS) -> dict[str, np.ndarray]:
+    """``distance`` and ``direction`` of the largest measured part of each text, shares ``stuffed`` and ``prose``, ``is_spam``.
+
+    ``texts`` numbers the text of each part. Flagged is a block or a part of stringing sentences, long enough, beyond
+    ``far`` with more than ``towards`` in the direction of spam; ordinary sentences tell something, however plain.
+    """
+    d = len(language)
+    x = np.stack([parts[f] for f in FEATURES], axis=1) if len(texts) else np.zeros((0, len(FEATURES)))
+    distance, direction = np.zeros(len(texts)), np.zeros(len(texts))
+    group = np.array([g if g in shapes else "all" for g in language], object)[texts] if len(texts) else np.zeros(0, object)
+    for g in set(group.tolist()) & set(shapes):
+        rows = np.flatnonzero(group == g)
+        distance[rows], direction[rows] = shapes[g].place(x[rows])
+    measured = ((parts["words"] >= PART_WORDS) | (parts["chars"] >= PART_CHARS)) & (parts["kind"] != PROSE)
+    flagged = measured & (distance > far) & (direction > towards)
+    chars = np.bincount(texts, weights=parts["chars"], minlength=d)
+    of = lambda which: np.bincount(texts[which], weights=parts["chars"][which], minlength=d) / np.maximum(chars, 1)
+    stuffed, prose = of(flagged), of((parts["kind"] != BLOCK) & ~flagged)
+    largest = np.lexsort((np.where(measured, parts["chars"], -1), texts))
+    out = {"distance": np.zeros(d), "direction": np.zeros(d)}
+    for name, value in (("distance", distance), ("direction", direction)):
+        out[name][texts[largest]] = value[largest]  # the last write of a text is its largest part
+    return {**out, "stuffed": stuffed, "prose": prose, "is_spam": stuffed > np.maximum(LEAST_STUFFED, prose)}
+
+
 def find_spam(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``language``, ``distance`` (squared), ``direction``, ``stuffed`` of every text, and ``is_spam``.
+    """``key``, ``language``, ``distance`` (squared) and ``direction`` of the largest measured part of every text, the
+    shares ``stuffed`` (flagged parts) and ``prose`` (sentences) of its characters, and ``is_spam``.
 
-    Null, empty and blank texts and texts of no words are never spam. Centre, scale and correlation come from
-    all texts of a language (of all texts for small or unknown ones), by distributed aggregation; one small row
-    per language reaches the driver. Keys
-    may repeat: each row is measured by itself.
+    Null, empty and blank texts and texts of no words are never spam, nor is any text of a corpus without prose:
+    there is nothing to be far from. Centre, scale and correlation come from all texts of a language (of all
+    texts for small or unknown ones), by distributed aggregation; one small row per language reaches the driver.
+    Keys may repeat: each row is measured by itself. Extra columns are ignored. No row is shuffled.
     """
-    names = list(FEATURES)
-    feats = saved(page_features(df, key, text), "page-features")
-    real = feats.where("words > 0")
-    sizes = {r.language: r.n for r in real.groupBy("language").agg(F.count("*").alias("n")).collect()}  # one row per language of a fixed list
-    own = [k for k, n in sizes.items() if n >= LEAST_GROUP and k != "und"]
-    group = F.when(F.col("language").isin(own), F.col("language")).otherwise(F.lit("all"))
-    grouped = real.withColumn("group", F.explode(F.array_distinct(F.array(group, F.lit("all")))))
-    med = grouped.groupBy("group").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"med_{f}") for f in names])
-    centred = grouped.join(F.broadcast(med), "group")  # one row per group
-    dev = centred.groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"med_{f}")), 0.5, 1000).alias(f"dev_{f}") for f in names])
-    scale = med.join(dev, "group").select(
-        "group", *[f"med_{f}" for f in names], *[F.greatest(F.lit(1.4826) * F.col(f"dev_{f}"), F.lit(least)).alias(f"sd_{f}") for f, (_, least) in FEATURES.items()]
-    )
-    stats = [tuple(r) for r in scale.collect()]
-
-    def standard(rows: DataFrame) -> DataFrame:
-        known = rows.sparkSession.createDataFrame(stats, scale.schema)
-        z = [((F.col(f) - F.col(f"med_{f}")) / F.col(f"sd_{f}")).alias(f"z{i}") for i, f in enumerate(names)]
-        return rows.join(F.broadcast(known), "group", "left").select(*[rows[c] for c in rows.columns], *z)
+    pages = saved(page_parts(df, key, text), "page-parts")
+    shapes = prose_shapes(pages)
+    outputs = {"distance": T.DoubleType(), "direction": T.DoubleType(), "stuffed": T.DoubleType(), "prose": T.DoubleType(), "is_spam": T.BooleanType()}
+    schema = T.StructType([*pages.schema.fields[:2], *(T.StructField(f, t) for f, t in outputs.items())])
 
-    p = len(names)
-    inner = standard(grouped).where(" and ".join(f"abs(z{i}) <= 3" for i in range(p))) if stats else None
-    inverse = {}
-    if inner is not None:
-        pairs = [F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-        for r in inner.groupBy("group").agg(F.count("*").alias("n"), *[F.avg(f"z{i}").alias(f"m{i}") for i in range(p)], *pairs).collect():
-            inverse[r.group] = _inverse(r.asDict())
-
-    def form(matrix: np.ndarray) -> Column:
-        terms = [F.lit(float(matrix[i, j]) * (1 if i == j else 2)) * F.col(f"z{i}") * F.col(f"z{j}") for i in range(p) for j in range(i, p)]
-        return sum(terms[1:], terms[0])
-
-    distance = form(np.eye(p))
-    for lang, matrix in inverse.items():
-        distance = F.when(F.col("group") == lang, form(matrix)).otherwise(distance)
-    direction = sum((F.lit(w) * F.least(F.greatest(F.col(f"z{i}"), F.lit(-10.0)), F.lit(10.0)) for i, (w, _) in enumerate(FEATURES.values())), F.lit(0.0))
-    spam = (F.col("words") > 0) & (F.col("distance") > FAR) & (F.col("direction") > 0) & (F.col("stuffed") > F.greatest(F.lit(LEAST_STUFFED), F.col("prose")))
-    if not stats:
-        return feats.select(key, "language", F.lit(0.0).alias("distance"), F.lit(0.0).alias("direction"), "stuffed", F.lit(False).alias("is_spam"))
-    return (
-        standard(feats.withColumn("group", group))
-        .withColumn("distance", F.coalesce(distance, F.lit(0.0)))
-        .withColumn("direction", F.coalesce(direction, F.lit(0.0)))
-        .select(key, "language", "distance", "direction", "stuffed", F.coalesce(spam, F.lit(False)).alias("is_spam"))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nested = batch.column(2)
+            sizes = pc.list_value_length(nested).to_numpy(zero_copy_only=False)
+            flat = nested.flatten()
+            parts = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(_PART.fields)}
+            got = judge_pages(batch.column(1).to_pylist(), parts, np.repeat(np.arange(len(sizes)), sizes), shapes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[f]) for f in outputs)], names=schema.names)
+
+    return pages.mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from marginalia.llm import spam as sp
@@ -8,6 +9,8 @@ PROSE = [
     "The signal of the gene was lost after two days of culture in the older animals.", "We observed no difference between the two protocols, although the effect was small.",
     "Sections were cut at nine microns and fixed for an hour before they were imaged.", "Whether the linker or the domain accounts for the gain remains open to further work.",
     "Cells near the wall expressed the marker at three times the level of their neighbours.", "Future work should test the profile in primary cells and in other tissue.",
+    "Of 412 tested variants, 37 passed the filter and 9 showed a significant effect (p < 0.01).", "Mice received 15 mg of the compound; samples were collected after 3, 7 and 21 days.",
+    "The boundary of the lobule had moved by 30 microns, as reported by Smith et al. (2019).",
 ]
 SPAM = {
     "keywords": "cheap editing kit, editing kit online, best editing kit, editing kit near me, editing kit discount, buy editing kit, editing kit free shipping, top editing kit",
@@ -31,7 +34,6 @@ CHINESE_SPAM = {
     "links": "\n".join(f"组织切片机 shop{i}x.example" for i in "abcdefghijk"),
     "hashtags": "#编辑试剂盒便宜 #编辑试剂盒推荐 #编辑试剂盒网购 #编辑试剂盒优惠 #编辑试剂盒厂家 #编辑试剂盒促销",
     "sentences": "编辑试剂盒是好的编辑试剂盒，有编辑试剂盒的编辑试剂盒用户对编辑试剂盒和编辑试剂盒仪器在编辑试剂盒中。" * 2,
-    "searches": "厂家购买的价格和优惠，包邮的折扣和促销，批发在推荐中。网购的报价与特价，便宜的批发和包邮，对厂家的推荐。",
 }
 CHINESE_HONEST = {
     "prose": "总之，这一方法便于推广，但仍受切片厚度限制。在其他器官中是否有效，目前尚不清楚。每组包括60只同龄动物，实验重复94次。处理90小时后，该基因的信号明显减弱。组织切片厚度为38微米，固定18小时后成像。",
@@ -41,57 +43,95 @@ CHINESE_HONEST = {
 }
 
 
-def stuffed(text):
-    m = sp.measure([text])
-    return m["stuffed"][0] > max(sp.LEAST_STUFFED, m["prose"][0])
+def background(n=200):
+    rng = random.Random(1)
+    return [" ".join(rng.sample(PROSE, 5)) for _ in range(n)]
+
 
+def rows_of(*cases):
+    rows = [(i, t) for i, t in enumerate(background())]
+    for base, texts in cases:
+        rows += [(base + i, t) for i, t in enumerate(texts.values())]
+    return rows
 
-@pytest.mark.parametrize("kind", SPAM)
-def test_spam_is_stuffed(kind):
-    assert stuffed(SPAM[kind])
 
+@pytest.fixture(scope="module")
+def shapes(spark):
+    pages = sp.page_parts(spark.createDataFrame(list(enumerate(background())), "doc_id long, text string"), "doc_id", "text")
+    return sp.prose_shapes(pages)
 
-@pytest.mark.parametrize("kind", HONEST)
-def test_honest_text_is_not(kind):
-    assert not stuffed(HONEST[kind])
 
+def judged(text, shapes, **bounds):
+    whole, parts = sp.measure([text])
+    language = [[*sp.FUNCTION_WORDS, "und"][whole["language"][0]]]
+    return {k: v[0] for k, v in sp.judge_pages(language, parts, parts["text"], shapes, **bounds).items()}
 
-@pytest.mark.parametrize("kind", CHINESE_SPAM)
-def test_chinese_spam_is_stuffed(kind):
-    assert stuffed(CHINESE_SPAM[kind])
 
+@pytest.mark.parametrize("kind", [*SPAM, *(f"zh {k}" for k in CHINESE_SPAM)])
+def test_spam_lies_towards_spam(kind, shapes):
+    assert judged(CHINESE_SPAM[kind[3:]] if kind.startswith("zh ") else SPAM[kind], shapes)["is_spam"]
 
-@pytest.mark.parametrize("kind", CHINESE_HONEST)
-def test_chinese_honest_text_is_not(kind):
-    assert not stuffed(CHINESE_HONEST[kind])
+
+@pytest.mark.parametrize("kind", [*HONEST, *(f"zh {k}" for k in CHINESE_HONEST)])
+def test_honest_text_does_not(kind, shapes):
+    assert not judged(CHINESE_HONEST[kind[3:]] if kind.startswith("zh ") else HONEST[kind], shapes)["is_spam"]
 
 
 @pytest.mark.parametrize("kind", ["prose", "notes", "japanese"])
-def test_chinese_sentences_are_prose(kind):
-    assert sp.measure([CHINESE_HONEST[kind]])["prose"][0] > 0.9
+def test_chinese_sentences_are_prose(kind, shapes):
+    assert judged(CHINESE_HONEST[kind], shapes)["prose"] > 0.9
+
+
+def test_distance_and_direction_both_decide(shapes):
+    honest = [t for t in HONEST.values()]
+    plain = [judged(t, shapes)["is_spam"] for t in honest]
+    assert [judged(t, shapes, towards=-1e9)["is_spam"] for t in honest] != plain  # far from prose, but not towards spam
+    en = shapes["en"]
+    mild = {f: np.array([x]) for f, x in zip(sp.FEATURES, en.centre + en.scale * np.array([-2.2, 0, 2.2, -2.2, 0, 0]))}
+    part = {**mild, "kind": np.array([sp.STRINGING]), "words": np.array([50.0]), "chars": np.array([300.0])}
+    at = lambda far: sp.judge_pages(["en"], part, np.array([0]), shapes, far=far)["is_spam"][0]
+    assert en.place(np.array([[x[0] for x in mild.values()]]))[1][0] > sp.TOWARDS and at(0.0) and not at(sp.FAR)  # towards spam, but near
+
+
+def test_distance_equals_the_formula(shapes):
+    shape = shapes["en"]
+    x = np.array([[0.1, 0.2, 0.9, 0.5, 0.1, 0.0], shape.centre])
+    cov = np.linalg.inv(shape.inverse) * np.outer(shape.scale, shape.scale)
+    by_hand = [(v - shape.centre) @ np.linalg.solve(cov, v - shape.centre) for v in x]
+    assert np.allclose(shape.place(x)[0], by_hand) and by_hand[1] == 0
+
+
+def test_disguised_letters_are_read_as_what_they_look_like():
+    plain = "The signal of the gene was lost after two days of culture in the older animals. We observed no difference."
+    wide = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in plain)
+    mixed = plain.replace("a", "а").replace("o", "о").replace("e", "е")
+    for text in (wide, mixed):
+        for f in sp.FEATURES:
+            assert np.allclose(sp.measure([text])[1][f], sp.measure([plain])[1][f])
+
+
+def test_a_sentence_that_stands_there_twice_does_not_recur():
+    once = "Shaded areas mark the 4-31 % interval; n = 3 animals per group."
+    assert np.allclose(sp.measure([once])[1]["repetition"], sp.measure([f"{once}\n\n{once}"])[1]["repetition"])
 
 
 def test_chinese_spam_is_found_among_prose(spark):
-    rng = random.Random(1)
-    rows = [(i, " ".join(rng.sample(PROSE, 4))) for i in range(200)]
-    rows += [(1000 + i, t) for i, t in enumerate(CHINESE_SPAM.values())] + [(2000 + i, t) for i, t in enumerate(CHINESE_HONEST.values())]
-    out = sp.find_spam(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = sp.find_spam(spark.createDataFrame(rows_of((1000, CHINESE_SPAM), (2000, CHINESE_HONEST)), "doc_id long, text string"))
     assert {r.doc_id for r in out.where("is_spam").collect()} == {1000 + i for i in range(len(CHINESE_SPAM))}
 
 
 def test_texts_are_measured_alike_alone_and_together():
     texts = [*SPAM.values(), *HONEST.values(), "中文" * 20 + "。", "x" * 100_000]
-    together = sp.measure(texts)
+    whole, parts = sp.measure(texts)
     for i, t in enumerate(texts):
-        alone = sp.measure([t])
-        for f in (*sp.FEATURES, "words", "language"):
-            assert abs(float(alone[f][0]) - float(together[f][i])) < 1e-9, (f, t[:40])
+        own, own_parts = sp.measure([t])
+        assert own["language"][0] == whole["language"][i] and own["chars"][0] == whole["chars"][i]
+        for f in (*sp.FEATURES, "kind", "words", "chars"):
+            assert np.allclose(own_parts[f], parts[f][parts["text"] == i]), (f, t[:40])
 
 
 def test_spam_is_found_among_prose(spark):
-    rng = random.Random(1)
-    rows = [(i, " ".join(rng.sample(PROSE, 4))) for i in range(200)]
-    rows += [(1000 + i, t) for i, t in enumerate(SPAM.values())] + [(2000 + i, t) for i, t in enumerate(HONEST.values())] + [(3000, None), (1000, SPAM["keywords"])]
+    rows = rows_of((1000, SPAM), (2000, HONEST)) + [(3000, None), (1000, SPAM["keywords"])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as stuffed_by", "1 as words")
     out = sp.find_spam(df)
     assert {r.doc_id for r in out.where("is_spam").collect()} == {1000 + i for i in range(len(SPAM))}
