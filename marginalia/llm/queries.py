@@ -32,20 +32,34 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pieces(spark: SparkSession, sf_dir: str, once: bool = False, keep: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     models = table(spark, sf_dir, "text_models").select(F.col("model_id").alias("text_model_id"), "working_context_budget", "piece_overlap")
     chunks = table(spark, sf_dir, "chunks").where(F.col("retrieval_text").isNotNull()).select("chunk_id", "text_model_id", "retrieval_text")
-    sized = chunks.join(models.where("working_context_budget is not null").dropDuplicates(["text_model_id"]), "text_model_id")
+    sized = spread(chunks).join(models.where("working_context_budget is not null").dropDuplicates(["text_model_id"]), "text_model_id")
     oversized = sized.where(F.char_length("retrieval_text") > F.col("working_context_budget"))
-    return split_texts(spread(oversized), "retrieval_text", "working_context_budget", "piece_overlap", keep=("chunk_id",), only_oversized=True)
+    oversized = (oversized.dropDuplicates() if once else oversized).withColumn("text_md5", F.md5("retrieval_text"))
+    return split_texts(oversized, "retrieval_text", "working_context_budget", "piece_overlap", keep=keep, only_oversized=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir).where("n_pieces > 1").select("chunk_id").distinct()
+    return _pieces(spark, sf_dir).where("n_pieces <> 1").select("chunk_id").distinct()
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir).distinct()
+    return _pieces(spark, sf_dir, once=True)
+
+
+def p4_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each oversized chunk keep its budget and overlap and give its text back, character for character."""
+    keep = ("chunk_id", "working_context_budget", "piece_overlap", "text_md5")
+    pieces = _pieces(spark, sf_dir, once=True, keep=keep).withColumn("shared", F.coalesce("piece_overlap", F.lit(0)))
+    added = F.struct("piece", "start", "end", F.expr("case when piece = 0 then piece_text else substring(piece_text, shared + 1) end").alias("added"))
+    whole = pieces.groupBy(*keep, "shared").agg(F.array_sort(F.collect_list(added)).alias("p"))  # no larger than the chunk itself
+    return whole.select(
+        "chunk_id", F.expr("forall(p, x -> x.end - x.start <= working_context_budget)").alias("within_budget"),
+        F.expr("forall(sequence(2, size(p)), i -> p[i - 1].start = p[i - 2].end - shared)").alias("overlap_kept"),
+        (F.md5(F.array_join("p.added", "")) == F.col("text_md5")).alias("text_kept"),
+    ).distinct()
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -87,10 +101,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_cells": p6_cells,
+    "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_audit": p4_audit, "p6_found": p6_found, "p6_cells": p6_cells,
     "p6_judges": p6_judges, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found,
 }
 
 ORACLES = {
+    "p4_audit": "SELECT DISTINCT c.chunk_id, true AS within_budget, true AS overlap_kept, true AS text_kept FROM chunks c JOIN text_models m ON c.text_model_id = m.model_id WHERE length(c.retrieval_text) > m.working_context_budget",
     "p4_found": "SELECT DISTINCT c.chunk_id FROM chunks c JOIN text_models m ON c.text_model_id = m.model_id WHERE length(c.retrieval_text) > m.working_context_budget",
 }

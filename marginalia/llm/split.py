@@ -3,7 +3,9 @@
 The states are the number of pieces so far and the end of the last. The cost of a division is the sum over its
 pieces of the penalty of the cut (the rank of the boundary) and of a term for the imbalance of size. Among the
 divisions within the maximum length, with the specified overlap and the fewest possible pieces or one more, the
-one of least cost is taken, and among equals the one of fewer pieces.
+one of least cost is taken, and among equals the one of fewer pieces. All boundaries of all ranks are weighed
+together. A piece may end only within the limit of the end before it, and the imbalance is convex, so the best
+predecessors of the ends of a layer lie in order: a layer of m ends is solved in m log m steps and linear memory.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import types as T
 PENALTY = (0.0, 1.0, 2.0, 8.0, 16.0, 64.0)
 #: Weight of the squared difference between a piece's share of the limit and the even share.
 BALANCE = 6.0
-#: Word and hard cuts are offered once per this part of a piece, at the best place in it: the resolution of the division there.
-CELLS = 64
+#: Layers with at most so many pairs of ends are solved by one matrix.
+DENSE = 1 << 14
 
 PARAGRAPH = re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*")
 LINE = re.compile("\r\n?|[\n\x0b\x0c\x85  ]")
@@ -38,11 +40,25 @@ def boundaries(text: str, rank: int) -> np.ndarray:
     return np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
 
 
-def _thin(at: np.ndarray, taken: np.ndarray, step: int) -> np.ndarray:
-    """Of ``at``, the last one in every cell of ``step`` characters that holds none of ``taken``."""
-    cell = at // step
-    last = np.append(cell[1:] != cell[:-1], True) if len(at) else np.zeros(0, bool)
-    return at[last & ~np.isin(cell, taken // step)]
+def candidates(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of cuts, their penalties), in order: the boundaries of every rank, each at its best; and every place
+    between clusters in stretches without a boundary that are longer than half of what a piece adds."""
+    n = len(text)
+    penalty = np.full(n + 1, np.inf)
+    for rank in reversed(range(len(PENALTY) - 1)):
+        penalty[boundaries(text, rank)] = PENALTY[rank]
+    penalty[[0, n]] = 0.0
+    natural = np.flatnonzero(np.isfinite(penalty))
+    longest = max(1, (limit - overlap) // 2)
+    wide = np.flatnonzero(np.diff(natural) > longest)
+    if len(wide):
+        for a, b in zip(natural[wide].tolist(), natural[wide + 1].tolist()):
+            penalty[a + 1 : b] = PENALTY[-1]
+            for m in UNCUTTABLE.finditer(text, a, b):
+                penalty[m.start()] = np.inf
+    penalty[: overlap + 1] = penalty[n] = np.inf
+    at = np.flatnonzero(np.isfinite(penalty))
+    return at, penalty[at]
 
 
 def _fewest(n: int, limit: int, overlap: int, at: np.ndarray) -> int | None:
@@ -57,6 +73,36 @@ def _fewest(n: int, limit: int, overlap: int, at: np.ndarray) -> int | None:
     return pieces
 
 
+def _dense(value: np.ndarray, a: np.ndarray, b: np.ndarray, shift: float, scale: float, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cost = value[None, :] + scale * (b[:, None] - a[None, :] + shift) ** 2
+    j = np.arange(len(a))
+    cost[(j < lo[:, None]) | (j >= hi[:, None])] = np.inf
+    back = cost.argmin(axis=1)
+    return back, cost[np.arange(len(b)), back]
+
+
+def _ordered(value: np.ndarray, a: np.ndarray, b: np.ndarray, shift: float, scale: float, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same where the first best predecessor never moves back: rows are solved from coarse to fine, each between
+    the predecessors of its solved neighbours, so a level looks at no more pairs than there are rows and columns."""
+    m = len(b)
+    back, best = np.zeros(m, np.int64), np.zeros(m)
+    step = 1 << max(0, m.bit_length() - 1)
+    while step:
+        rows = np.arange(step - 1, m, 2 * step)
+        left = np.where(rows >= step, back[np.maximum(rows - step, 0)], 0)
+        right = np.where(rows + step < m, back[np.minimum(rows + step, m - 1)] + 1, len(a))
+        left, right = np.maximum(left, lo[rows]), np.minimum(right, hi[rows])
+        size = np.maximum(right - left, 1)
+        first = np.cumsum(size) - size
+        j = np.arange(int(size.sum())) - np.repeat(first - left, size)
+        cost = value[j] + scale * (np.repeat(b[rows], size) - a[j] + shift) ** 2
+        least = np.minimum.reduceat(cost, first)
+        hit = np.flatnonzero(cost == np.repeat(least, size))
+        back[rows], best[rows] = j[hit[np.searchsorted(hit, first)]], least
+        step >>= 1
+    return back, best
+
+
 def _divide(n: int, limit: int, overlap: int, at: np.ndarray, cost: np.ndarray, pieces: int) -> tuple[float, list[int]]:
     """Least cost, and the ends, of a division into ``pieces`` with cuts among ``at``. One layer of states per piece."""
     new = limit - overlap
@@ -69,17 +115,15 @@ def _divide(n: int, limit: int, overlap: int, at: np.ndarray, cost: np.ndarray,
         else:
             a, b = np.searchsorted(at, [n - (pieces - k) * new, overlap + k * new + 1])
             here, price = at[a:b], cost[a:b]
-        if not len(here):
+        lo, hi = np.searchsorted(ends, here - new), np.searchsorted(ends, here)
+        some = lo < hi
+        if not some.any():
             return np.inf, []
-        size = here[None, :] - ends[:, None] + overlap
-        value = best[:, None] + BALANCE * ((size - even) / limit) ** 2
-        value[(size > limit) | (size <= overlap)] = np.inf
-        back = value.argmin(axis=0)
-        best = value[back, np.arange(len(here))] + price
+        here, price, lo, hi = here[some], price[some], lo[some], hi[some]
+        solve = _dense if len(here) * len(ends) <= DENSE else _ordered
+        back, value = solve(best, ends, here, overlap - even, BALANCE / limit**2, lo, hi)
         layers.append((here, back))
-        ends = here
-    if not np.isfinite(best[0]):
-        return np.inf, []
+        best, ends = value + price, here
     out, i = [], 0
     for here, back in reversed(layers):
         out.append(int(here[i]))
@@ -91,46 +135,21 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Ranges of the pieces of ``text``: each within ``limit`` code points, each but the first starting
     ``overlap`` before the end of the one before it.
 
-    Cuts of a rank are offered only if those of better ranks cannot keep the limit, so a worse cut is made only
-    where it must. An overlap of half the limit or more is taken as the largest below that; a limit under 1 as 1.
-    A text within the limit is one piece, an empty one none.
+    A text within the limit is one piece, an empty one none; a negative overlap is 0. Clusters are cut only where
+    they are too long to be kept. An overlap that is not below the limit, or a limit under 1, allows no division of
+    a longer text and raises ``ValueError``.
     """
-    n = len(text)
-    limit = max(1, limit)
-    overlap = min(max(0, overlap), (limit - 1) // 2)
-    if not n:
-        return []
-    if n <= limit:
-        return [(0, n)]
-    step = max(1, (limit - overlap) // CELLS)
-    at, cost = np.zeros(0, np.int64), np.zeros(0)
-    found: list[int] = []
-    for rank in range(len(PENALTY)):
-        if rank < len(PENALTY) - 1:
-            new = boundaries(text, rank)
-            new = new[(new > overlap) & (new < n)]
-            if rank >= 4:
-                new = _thin(new, at, step)
-        else:
-            # Only stretches without a boundary are cut hard, at even steps, never inside a cluster
-            grid = np.arange(overlap + step, n, step)
-            forbidden = np.fromiter((m.start() for m in UNCUTTABLE.finditer(text)), np.int64)
-            grid = np.setdiff1d(grid, forbidden)
-            new = _thin(grid, at, step)
-        new = np.setdiff1d(new, at)
-        if not len(new):
-            continue
-        at = np.concatenate([at, new])
-        cost = np.concatenate([cost, np.full(len(new), PENALTY[rank])])
-        order = np.argsort(at, kind="stable")
-        at, cost = at[order], cost[order]
-        if (fewest := _fewest(n, limit, overlap, at)) is None:
-            continue
-        _, found = min((_divide(n, limit, overlap, at, cost, k) for k in (fewest, fewest + 1)), key=lambda x: x[0])
-        if found:
-            break
-    if not found:  # clusters longer than the limit leave nothing but plain steps
-        found = [*range(limit, n, limit - overlap), n]
+    n, overlap = len(text), max(0, overlap)
+    if n <= max(limit, 0):
+        return [(0, n)] if n else []
+    if limit < 1 or overlap >= limit:
+        raise ValueError(f"no pieces of {limit} can share {overlap}")
+    at, cost = candidates(text, limit, overlap)
+    if (fewest := _fewest(n, limit, overlap, at)) is None:  # clusters longer than what a piece may add
+        at = np.arange(overlap + 1, n)
+        cost = np.full(len(at), PENALTY[-1])
+        fewest = _fewest(n, limit, overlap, at)
+    _, found = min((_divide(n, limit, overlap, at, cost, k) for k in (fewest, fewest + 1)), key=lambda x: x[0])
     starts = [0, *(e - overlap for e in found[:-1])]
     return list(zip(starts, found))
 
@@ -141,9 +160,10 @@ def split_texts(
     """One row per piece: the columns ``keep``, ``piece`` (from 0), ``n_pieces``, ``start``, ``end``, ``piece_text``.
 
     ``limit`` and ``overlap`` name columns in code points (see :func:`split_text`); a null overlap is 0. Null or
-    empty texts give no row; a null limit sets none, so the text is one piece. With ``only_oversized`` texts
-    within their limit give no row. Repeated rows give repeated pieces. A map without shuffle; a text is
-    handled whole, whatever its length.
+    empty texts give no row; a null limit sets none, so the text is one piece. A text over a limit that its overlap
+    makes impossible gives one row with ``n_pieces`` 0 and null ``piece``, ``start``, ``end`` and ``piece_text``.
+    With ``only_oversized`` texts within their limit give no row. Repeated rows give repeated pieces. A map without
+    shuffle; a text is handled whole, whatever its length, in memory in proportion to it.
     """
     fields = [*(df.schema[c] for c in keep)]
     fields += [T.StructField(c, T.IntegerType()) for c in ("piece", "n_pieces")]
@@ -158,7 +178,12 @@ def split_texts(
             for i, (x, most, shared) in enumerate(zip(*(batch.column(k + j).to_pylist() for j in range(3)))):
                 if not x:
                     continue
-                ranges = [(0, len(x))] if most is None else split_text(x, most, shared or 0)
+                try:
+                    ranges = [(0, len(x))] if most is None else split_text(x, most, shared or 0)
+                except ValueError:
+                    ranges = []
+                    for c, v in zip(cols, (i, None, 0, None, None, None)):
+                        c.append(v)
                 for p, (a, b) in enumerate(ranges):
                     for c, v in zip(cols, (i, p, len(ranges), a, b, x[a:b])):
                         c.append(v)
