@@ -1,16 +1,17 @@
 """Sources mixed to target weights by a min-cost flow over membership patterns.
 
-A text may lie in several sources. Texts are aggregated by the set of sources that hold them; the flow routes
-the token capacity of each pattern to the quotas of its sources, where every further use of the same tokens
-costs more than the one before. The graph has one node per pattern and source, whatever the number of texts.
-The texts that carry the flow are then selected by a seeded order along a distributed running sum of tokens.
+A text may lie in several sources. The documents of a text, one per source, are one item; items are aggregated by
+the set of sources that hold them; the flow routes the token capacity of each pattern to the quotas of its sources,
+where every further use of the same tokens costs more than the one before. The graph has one node per pattern and
+source, whatever the number of texts, and is held as matrices. The documents that carry the flow are then selected by
+a seeded order along a distributed running sum of tokens.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,57 +19,79 @@ from pyspark.sql.window import Window
 from marginalia.llm.encode import count_tokens
 from marginalia.session import saved
 
-#: Ranges of the seeded order within which running sums are taken, per pattern.
-RANGES = 4096
-#: Bounds of what the driver holds: sources with a target, and patterns of membership.
-MOST_SOURCES, MOST_PATTERNS = 1000, 200_000
+#: Items that one range of the seeded order holds on average; running sums are taken within ranges, then over them.
+RANGE_ITEMS = 4096
+#: Bounds of what the driver holds: sources with a target, and cells of the matrix of patterns and sources.
+MOST_SOURCES, MOST_CELLS = 1000, 2_500_000
 
 
-class Flow:
-    """A small network with integer capacities and costs."""
+def _cheapest_flow(tokens: np.ndarray, room: np.ndarray, quota: np.ndarray) -> np.ndarray:
+    """Tokens of each pattern (row) used for each source (column): the quotas in full, within ``room``, at least cost.
 
-    def __init__(self, nodes: int):
-        self.arcs: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.cap: list[int] = []
-        self.cost: list[int] = []
-
-    def add(self, a: int, b: int, cap: int, cost: int = 0) -> int:
-        for x, y, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
-            self.arcs[x].append(len(self.to))
-            self.to.append(y)
-            self.cap.append(c)
-            self.cost.append(w)
-        return len(self.to) - 2
-
-    def run(self, s: int, t: int) -> int:
-        """The largest flow of least cost from ``s`` to ``t``, by successive cheapest paths."""
-        total = 0
+    The r-th use of the tokens of a pattern costs r squared, the same for all patterns, so cheapest paths use up
+    the first use of every pattern before the second: the flow is grown to its maximum at each number of uses in
+    turn. What is grown never gives back a use of a pattern, only shifts it between sources. Paths lead over
+    sources: one takes over tokens of a pattern from another, which takes fresh tokens instead; all patterns
+    between two sources are one arc.
+    """
+    patterns, sources = room.shape
+    x = np.zeros_like(room)
+    uses = 0
+    while (short := quota - x.sum(axis=0)).sum() > 0:
+        uses += 1
+        spare = tokens * uses - x.sum(axis=1)
+        for s in np.argsort(np.count_nonzero(room, axis=0)):  # direct use first; sources of few patterns choose first
+            x[:, s] += (give := _fill(np.minimum(spare, room[:, s] - x[:, s]), short[s]))
+            spare -= give
+            short[s] -= give.sum()
+        left = room - x
+        fresh = np.minimum(spare[:, None], left).sum(axis=0)
+        arcs = np.stack([np.minimum(x[:, [s]], left).sum(axis=0) for s in range(sources)])  # [s, t]: s can cede so much to t
+        np.fill_diagonal(arcs, 0)
         while True:
-            dist: dict[int, int] = {s: 0}
-            via: dict[int, int] = {}
-            queue, queued = deque([s]), {s}
-            while queue:
-                x = queue.popleft()
-                queued.discard(x)
-                for e in self.arcs[x]:
-                    y = self.to[e]
-                    if self.cap[e] > 0 and (d := dist[x] + self.cost[e]) < dist.get(y, 1 << 62):
-                        dist[y], via[y] = d, e
-                        if y not in queued:
-                            queue.append(y)
-                            queued.add(y)
-            if t not in dist:
-                return total
-            path, y = [], t
-            while y != s:
-                path.append(via[y])
-                y = self.to[via[y] ^ 1]
-            push = min(self.cap[e] for e in path)
-            for e in path:
-                self.cap[e] -= push
-                self.cap[e ^ 1] += push
-            total += push
+            path = _shortest(fresh > 0, arcs > 0, short > 0)
+            if path is None:
+                break
+            push = min(fresh[path[0]], short[path[-1]], *(arcs[s, t] for s, t in zip(path, path[1:])))
+            for s, t in reversed(list(zip(path, path[1:]))):
+                give = _fill(np.minimum(x[:, s], room[:, t] - x[:, t]), push)
+                x[:, s] -= give
+                x[:, t] += give
+            give = _fill(np.minimum(spare, room[:, path[0]] - x[:, path[0]]), push)
+            x[:, path[0]] += give
+            spare -= give
+            short[path[-1]] -= push
+            left = room - x
+            fresh = np.minimum(spare[:, None], left).sum(axis=0)
+            for s in path:
+                arcs[s] = np.minimum(x[:, [s]], left).sum(axis=0)
+                arcs[:, s] = np.minimum(x, left[:, [s]]).sum(axis=0)
+                arcs[s, s] = 0
+    return x
+
+
+def _fill(most: np.ndarray, amount: int) -> np.ndarray:
+    """Up to ``amount``, from the first entries of ``most`` on."""
+    before = np.cumsum(most) - most
+    return np.clip(amount - before, 0, most)
+
+
+def _shortest(start: np.ndarray, arcs: np.ndarray, end: np.ndarray) -> list[int] | None:
+    """A shortest path from any node of ``start`` to any of ``end``."""
+    seen, front = start.copy(), np.flatnonzero(start)
+    via = np.full(len(start), -1)
+    while len(front):
+        if end[front].any():
+            path = [int(front[end[front]][0])]
+            while via[path[-1]] >= 0:
+                path.append(int(via[path[-1]]))
+            return path[::-1]
+        reach = arcs[front] & ~seen
+        new = np.flatnonzero(reach.any(axis=0))
+        via[new] = front[reach[:, new].argmax(axis=0)]
+        seen[new] = True
+        front = new
+    return None
 
 
 def route(
@@ -76,47 +99,31 @@ def route(
 ) -> tuple[dict[tuple[int, str], int], int]:
     """(tokens of pattern i used for source s, total): the total is the largest up to ``total`` that keeps the shares.
 
-    Sources without tokens, or with no share, get nothing; the shares of the others keep their proportions.
+    A pattern serves each of its sources up to that source's ``repeats``, so the total is bound by each source for
+    itself. Sources without tokens, or with no share, get nothing; the shares of the others keep their proportions.
     """
     held = {s for sources, n in patterns if n > 0 for s in sources}
     names = sorted(s for s in shares if s in held and (shares[s] or 0) > 0 and (repeats.get(s) or 0) > 0)
-    whole = sum(shares[s] for s in names)
     if not names:
         return {}, 0
-    node = {s: len(patterns) + i for i, s in enumerate(names)}
-    start, end = len(patterns) + len(names), len(patterns) + len(names) + 1
-
-    def network(size: int, costs: bool) -> tuple[Flow, dict[tuple[int, str], int], int]:
-        f, at = Flow(end + 1), {}
-        for i, (sources, n) in enumerate(patterns):
-            own = [s for s in sources if s in node]
-            uses = sum(repeats[s] for s in own)
-            if n <= 0 or not uses:
-                continue
-            if costs:
-                for r in range(uses):
-                    f.add(start, i, n, r * r)  # each further use costs more
-            else:
-                f.add(start, i, n * uses)
-            for s in own:
-                at[i, s] = f.add(i, node[s], n * repeats[s])
-        quotas = [int(size * shares[s] / whole) for s in names]
-        for s, q in zip(names, quotas):
-            f.add(node[s], end, q)
-        return f, at, sum(quotas)
-
-    most = sum(n * sum(repeats[s] for s in sources if s in node) for sources, n in patterns)
-    low, high = 0, most if total is None else min(most, total)
+    whole = sum(shares[s] for s in names)
+    column = {s: j for j, s in enumerate(names)}
+    if len(patterns) * len(names) > MOST_CELLS:
+        raise ValueError(f"{len(patterns)} patterns of {len(names)} sources are more than {MOST_CELLS} cells")
+    tokens = np.array([max(0, n) for _, n in patterns], np.int64)
+    room = np.zeros((len(patterns), len(names)), np.int64)
+    for i, (sources, _) in enumerate(patterns):
+        for s in sources:
+            if s in column:
+                room[i, column[s]] = tokens[i] * repeats[s]
+    most = room.sum(axis=0)
+    quotas = lambda size: np.array([int(size * shares[s] / whole) for s in names], np.int64)
+    low, high = 0, int(most.sum()) if total is None else min(int(most.sum()), total)
     while low < high:
         mid = (low + high + 1) // 2
-        f, _, wanted = network(mid, False)
-        if f.run(start, end) == wanted:
-            low = mid
-        else:
-            high = mid - 1
-    f, at, _ = network(low, True)
-    f.run(start, end)
-    return {key: f.cap[e ^ 1] for key, e in at.items() if f.cap[e ^ 1] > 0}, low
+        low, high = (mid, high) if (quotas(mid) <= most).all() else (low, mid - 1)
+    x = _cheapest_flow(tokens, room, quotas(low))
+    return {(int(i), names[j]): int(x[i, j]) for i, j in zip(*np.nonzero(x))}, low
 
 
 def mix_sources(
@@ -134,12 +141,14 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture: ``source``, ``key``, ``n_tokens``, ``n_repeats``; report: one row per target source with its share reached).
 
-    The unit is the text: copies within a source are one (the least ``key`` stands for it), copies in several
-    sources may be routed to any of them. Each text is used at most ``repeats`` times for a source. The total
-    is the largest (up to ``total`` tokens) that gives every source that has tokens its share, to within one
-    text per pattern and source. Texts without tokens, null sources and sources without a target take no part;
-    a target without texts reaches 0 and the others share its part in proportion. Repeated targets: the first
-    by share. Extra columns are ignored.
+    Each document is used at most ``repeats`` times for its source. Documents of one text in several sources (one
+    of each source, of least ``key``) are one item, so the flow spares texts that other sources use; further copies
+    within a source are items of their own. The total is the largest (up to ``total`` tokens) that gives every
+    source that has tokens its share, to within one document per pattern and source. Rows repeated in key, source
+    and text count once. Texts without tokens, null sources and sources without a target take no part; a target
+    without texts reaches 0 and the others share its part in proportion. Repeated targets: the first by share.
+    Extra columns are ignored. The driver holds one cell per pattern and source, ``MOST_CELLS`` at most (more raise
+    ``ValueError``).
     """
     rows = targets.groupBy(F.col(f"`{source}`").alias("s")).agg(F.max(F.struct(F.col(f"`{share}`").alias("w"), F.col(f"`{repeats}`").alias("r"))).alias("x"))
     plan = [(r.s, float(r.x.w or 0), int(r.x.r or 0)) for r in rows.where("s is not null").select("s", "x").limit(MOST_SOURCES + 1).collect()]
@@ -150,15 +159,20 @@ def mix_sources(
         F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("src"), F.md5(F.col(f"`{text}`").cast("binary")).alias("tid"), F.col(f"`{text}`").alias("text")
     ).where(F.col("src").isin([s for s, _, _ in plan]) & (F.length("text") > 0) if plan else F.lit(False))
     sized = count_tokens(listed, "text", vocabulary)
-    per_source = sized.groupBy("tid", "src").agg(F.min("key").alias("key"), F.max("n_tokens").alias("n_tokens"))
-    items = per_source.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("src", "key"))).alias("held"), F.max("n_tokens").alias("n_tokens"))
-    items = items.where("n_tokens > 0").withColumn("pattern", F.col("held.src"))
-    items = items.withColumn("order", F.xxhash64(F.lit(seed), "tid")).withColumn("part", F.shiftrightunsigned("order", 52).cast("int"))
+    once = sized.where("n_tokens > 0").groupBy("tid", "src", "key").agg(F.max("n_tokens").alias("n_tokens"))
+    first = once.groupBy("tid", "src").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key"))["key"].alias("first"), F.max("n_tokens").alias("n_tokens"))
+    shared = first.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("src", F.col("first").alias("key")))).alias("held"), F.max("n_tokens").alias("n_tokens"))
+    more = once.join(first.drop("n_tokens"), ["tid", "src"]).where(~F.col("key").eqNullSafe(F.col("first")))
+    copies = more.select(F.md5(F.concat_ws("|", "tid", "src", F.col("key").cast("string"))).alias("tid"), F.array(F.struct("src", "key")).alias("held"), "n_tokens")
+    items = shared.unionByName(copies).withColumn("pattern", F.col("held.src")).withColumn("order", F.xxhash64(F.lit(seed), "tid"))
     items = saved(items, "mixture-items")
-    sums = items.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
-    if len(sums) > MOST_PATTERNS:
-        raise ValueError("too many membership patterns")
+    most_patterns = MOST_CELLS // max(1, len(plan))
+    sums = items.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(most_patterns + 1).collect()
+    if len(sums) > most_patterns:
+        raise ValueError(f"more than {most_patterns} membership patterns of {len(plan)} sources")
     patterns = sorted((tuple(r.pattern), int(r.tokens)) for r in sums)
+    bits = max(4, (sum(r.n for r in sums) // RANGE_ITEMS).bit_length())
+    items = items.withColumn("part", F.shiftrightunsigned("order", 64 - bits))
     flow, _ = route(patterns, shares, most, total)
     spark = docs.sparkSession
     routes, used = [], {}

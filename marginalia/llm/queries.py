@@ -96,16 +96,28 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each target source has documents, keeps its repeats, and reaches its share of those that have."""
+    mixture, report = _mixture(spark, sf_dir)
+    most = mixture.groupBy("source").agg(F.max("n_repeats").alias("most"))
+    whole = report.where("tokens > 0").agg(F.sum("target_share").alias("whole"))  # one row
+    off = F.abs(F.col("reached_share") - F.when(F.col("tokens") > 0, F.col("target_share") / F.col("whole")).otherwise(F.lit(0.0)))
+    return report.drop("most_repeats").join(F.broadcast(whole)).join(most, "source", "left").select(
+        "source", (F.col("tokens") > 0).alias("has_documents"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (off < 0.02).alias("share_met")
+    )
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spam(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).where("is_spam").select("doc_id").distinct()
 
 
 QUERIES = {
     "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_audit": p4_audit, "p6_found": p6_found, "p6_cells": p6_cells,
-    "p6_judges": p6_judges, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found,
+    "p6_judges": p6_judges, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_audit": p8_audit, "p9_found": p9_found,
 }
 
 ORACLES = {
+    "p8_audit": "SELECT t.source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0) AS has_documents, true AS within_repeats, true AS share_met FROM mix_targets t",
     "p4_audit": "SELECT DISTINCT c.chunk_id, true AS within_budget, true AS overlap_kept, true AS text_kept FROM chunks c JOIN text_models m ON c.text_model_id = m.model_id WHERE length(c.retrieval_text) > m.working_context_budget",
     "p4_found": "SELECT DISTINCT c.chunk_id FROM chunks c JOIN text_models m ON c.text_model_id = m.model_id WHERE length(c.retrieval_text) > m.working_context_budget",
 }

@@ -1,5 +1,9 @@
 import random
+import time
 
+import pytest
+
+from marginalia.llm import mixture as mx
 from marginalia.llm.mixture import mix_sources, route
 
 
@@ -26,6 +30,73 @@ def test_largest_total_is_found_by_brute_force():
         assert total == max(t for t in range(400) if int(t * 0.25) <= cap_a and int(t * 0.75) <= cap_b)
 
 
+def cheapest_by_units(patterns, quotas, repeats):
+    """Least cost of the quotas: one token after the other along a cheapest path (Bellman-Ford)."""
+    x = {(i, s): 0 for i, (sources, _) in enumerate(patterns) for s in sources}
+    cost = 0
+    for target, wanted in quotas.items():
+        for _ in range(wanted):
+            used = [sum(x[i, s] for s in sources) for i, (sources, _) in enumerate(patterns)]
+            dist = {}
+            for i, (sources, n) in enumerate(patterns):
+                for s in sources:
+                    if x[i, s] < n * repeats[s]:
+                        dist[s] = min(dist.get(s, (1 << 30, None)), ((used[i] // n) ** 2, [(i, s)]))
+            for _ in repeats:
+                for (i, s), v in x.items():
+                    for t in patterns[i][0]:
+                        if v and s in dist and x[i, t] < patterns[i][1] * repeats[t] and dist[s][0] < dist.get(t, (1 << 30,))[0]:
+                            dist[t] = (dist[s][0], [*dist[s][1], (i, s, t)])
+            price, steps = dist[target]
+            cost += price
+            for step in steps:
+                if len(step) == 2:
+                    x[step] += 1
+                else:
+                    x[step[0], step[1]] -= 1
+                    x[step[0], step[2]] += 1
+    return cost
+
+
+def test_flow_is_of_least_cost():
+    rng = random.Random(5)
+    for _ in range(60):
+        names = "abcd"[: rng.randint(1, 4)]
+        patterns = [(tuple(sorted(rng.sample(names, rng.randint(1, len(names))))), rng.randint(1, 7)) for _ in range(rng.randint(1, 6))]
+        repeats = {s: rng.randint(1, 4) for s in names}
+        shares = {s: rng.choice((0.1, 0.2, 0.5)) for s in names}
+        flow, total = route(patterns, shares, repeats)
+        held = {s for s in names if any(s in p for p, _ in patterns)}
+        quotas = {s: int(total * shares[s] / sum(shares[t] for t in sorted(held))) for s in sorted(held)}
+        assert {s: sum(n for (_, t), n in flow.items() if t == s) for s in held} == quotas
+        assert all(n <= patterns[i][1] * repeats[s] and s in patterns[i][0] for (i, s), n in flow.items())
+        used = [sum(n for (j, _), n in flow.items() if j == i) for i in range(len(patterns))]
+        own = sum(sum((k // n) ** 2 for k in range(u)) for u, (_, n) in zip(used, patterns))
+        assert own == cheapest_by_units(patterns, quotas, repeats)
+
+
+def test_many_patterns_and_sources_take_little_time():
+    rng = random.Random(3)
+    names = [f"s{i}" for i in range(100)]
+    patterns = sorted({tuple(sorted(rng.sample(names, min(100, 1 + int(rng.expovariate(0.4)))))) for _ in range(8000)})
+    patterns = [(p, rng.randint(100, 100_000)) for p in patterns]
+    assert len(patterns) > 5000
+    began = time.perf_counter()
+    flow, total = route(patterns, {n: rng.random() ** 2 + 0.01 for n in names}, {n: rng.randint(1, 8) for n in names})
+    assert time.perf_counter() - began < 20 and total > 0 and sum(flow.values()) > total - 101
+    with pytest.raises(ValueError):
+        route([((n,), 1) for n in names] * (mx.MOST_CELLS // 100 + 1), dict.fromkeys(names, 0.1), dict.fromkeys(names, 1))
+
+
+def test_every_document_may_be_used_as_often_as_its_source_allows(spark):
+    rows = [(1, "a", "same words here"), (2, "a", "same words here"), (2, "a", "same words here"), (None, "a", "same words here"), (4, "b", "same words here"), (5, "b", "other words there too")]
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 9)], "source string, target_share double, max_repeats int")
+    mixture, report = mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), targets)
+    got = {(r.source, r.doc_id): r.n_repeats for r in mixture.collect()}
+    assert {k: v for k, v in got.items() if k[0] == "a"} == {("a", 1): 2, ("a", 2): 2, ("a", None): 2}
+    assert all(abs(r.reached_share - 0.5) < 0.15 for r in report.collect())
+
+
 def docs(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("ab"), " ".join(rng.choice(["cell", "gene", "map", "x"]) + str(rng.randrange(1000)) for _ in range(rng.randint(3, 12)))) for i in range(400)]
