@@ -160,6 +160,7 @@ def mix_sources(
     ).where(F.col("src").isin([s for s, _, _ in plan]) & (F.length("text") > 0) if plan else F.lit(False))
     sized = count_tokens(listed, "text", vocabulary)
     once = sized.where("n_tokens > 0").groupBy("tid", "src", "key").agg(F.max("n_tokens").alias("n_tokens"))
+    once = saved(once, "mixture-documents")  # used twice below: texts are encoded once
     first = once.groupBy("tid", "src").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key"))["key"].alias("first"), F.max("n_tokens").alias("n_tokens"))
     shared = first.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("src", F.col("first").alias("key")))).alias("held"), F.max("n_tokens").alias("n_tokens"))
     more = once.join(first.drop("n_tokens"), ["tid", "src"]).where(~F.col("key").eqNullSafe(F.col("first")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia.llm.canonical import map_to_list
 from marginalia.llm.consensus import consensus
@@ -100,9 +101,10 @@ def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each target source has documents, keeps its repeats, and reaches its share of those that have."""
     mixture, report = _mixture(spark, sf_dir)
     most = mixture.groupBy("source").agg(F.max("n_repeats").alias("most"))
-    whole = report.where("tokens > 0").agg(F.sum("target_share").alias("whole"))  # one row
+    whole = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy(F.lit(1)))  # one row per target source
+    report = report.withColumn("whole", whole)
     off = F.abs(F.col("reached_share") - F.when(F.col("tokens") > 0, F.col("target_share") / F.col("whole")).otherwise(F.lit(0.0)))
-    return report.drop("most_repeats").join(F.broadcast(whole)).join(most, "source", "left").select(
+    return report.drop("most_repeats").join(most, "source", "left").select(
         "source", (F.col("tokens") > 0).alias("has_documents"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (off < 0.02).alias("share_met")
     )
 
