@@ -8,6 +8,7 @@ annotators times the labels, come to the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -41,6 +42,7 @@ class Model:
         self.competence = np.full(len(self.annotators), 0.7)
         self.guess = np.full((len(self.annotators), k), 1 / k)
         self.prior = np.full(k, 1 / k)
+        self.converged = True
 
     def expect(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(posterior of the true label of each item, probability that each vote is truthful, log evidence of each item).
@@ -109,6 +111,7 @@ def fit(patterns: DataFrame, annotators: Sequence[str], labels: Sequence[str], r
             names=["code", "truthful", "votes"],
         )
 
+    model.converged = False
     for _ in range(rounds):
         rows = patterns.select("codes", "n").mapInArrow(sums, schema).groupBy("code").agg(F.sum("truthful"), F.sum("votes")).toPandas().to_numpy(float)
         rows = rows[np.argsort(rows[:, 0])] if len(rows) else np.zeros((0, 3))
@@ -118,7 +121,10 @@ def fit(patterns: DataFrame, annotators: Sequence[str], labels: Sequence[str], r
         shares = np.zeros(k)
         shares[-1 - code[code < 0]] = rows[code < 0, 1]
         if not votes.any() or model.maximise(truthful.reshape(-1, k), votes.reshape(-1, k), shares) < TOLERANCE:
+            model.converged = True
             break
+    if not model.converged:
+        warnings.warn(f"the fit still changed by more than {TOLERANCE} after {rounds} rounds", stacklevel=2)
     return model
 
 
@@ -126,7 +132,9 @@ def consensus(
     votes: DataFrame, *, item: Sequence[str], annotator: str, label: str, labels: Sequence[str], at: str, consensus_col: str = "consensus"
 ) -> tuple[DataFrame, DataFrame]:
     """(per item: ``item``, ``consensus``, ``confidence``, ``agreement``, ``n_votes``; per annotator: ``annotator``,
-    ``reliability``, ``n_votes``, ``agreement_with_consensus``, and a guess share per label).
+    ``reliability``, ``n_votes``, ``agreement_with_consensus``, ``converged``, and a guess share per label).
+
+    ``converged`` is false for all annotators, and a warning is given, if the fit still moved after ``ROUNDS`` rounds.
 
     Of one annotator on one item the usable label with the latest ``at`` counts (null is earliest; ties go to the
     label that is later in ``labels``); labels that spell none of ``labels`` are no votes, and an item without a
@@ -174,9 +182,9 @@ def consensus(
     text = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("said"))
     items = decided.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(item)], text.alias(consensus_col), "confidence", "agreement", "n_votes")
     params = index.sparkSession.createDataFrame(
-        [(x, i, float(c), *map(float, g)) for i, (x, c, g) in enumerate(zip(names, model.competence, model.guess))],
+        [(x, i, float(c), model.converged, *map(float, g)) for i, (x, c, g) in enumerate(zip(names, model.competence, model.guess))],
         T.StructType(
-            [T.StructField("annotator", T.StringType()), T.StructField("code", T.IntegerType()), T.StructField("reliability", T.DoubleType())]
+            [T.StructField("annotator", T.StringType()), T.StructField("code", T.IntegerType()), T.StructField("reliability", T.DoubleType()), T.StructField("converged", T.BooleanType())]
             + [T.StructField(f"guess_{x}", T.DoubleType()) for x in labels]
         ),
     )

@@ -109,7 +109,8 @@ class Encoder:
 
     def _reset(self) -> None:
         self.memo: dict[int, int] = {}
-        self.flat, self.where, self.size = [], [], []
+        self.odd: dict[str, int] = {}  # pieces whose hash another piece has
+        self.flat, self.where, self.size, self.word = [], [], [], []
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the adjacent pair of least rank is joined, the leftmost first, until none is known."""
@@ -137,15 +138,42 @@ class Encoder:
                 heapq.heappush(heap, (r, h, part[h] + both))
         return [ranks[p] for p in part if p is not None]
 
-    def _slot(self, key: int, word: str) -> int:
+    def _slot(self, word: str) -> int:
         ids = self.merge(word.encode("utf-8", "surrogatepass"))
         slot = len(self.where)
         self.where.append(len(self.flat))
         self.size.append(len(ids))
+        self.word.append(word)
         self.flat.extend(ids)
-        self.memo[key] = slot
         return slot
 
+    def _slots(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The remembered encoding of each piece. Pieces meet by their hashes, but are compared letter for letter."""
+        keys, at, inverse = np.unique(piece_hashes(points, starts), return_index=True, return_inverse=True)
+        memo, word = self.memo, self.word
+        known = np.empty(len(keys), np.int64)
+        for i, (key, a, b) in enumerate(zip(keys.tolist(), starts[at].tolist(), stops[at].tolist())):
+            piece = joined[a:b]
+            slot = memo.get(key)
+            if slot is None:
+                slot = memo[key] = self._slot(piece)
+            elif word[slot] != piece:
+                slot = self._odd(piece)
+            known[i] = slot
+        slots = known[inverse]
+        size = stops - starts
+        first = starts[at][inverse]
+        same = np.minimum(np.arange(len(points)) + np.repeat(first - starts, size), len(points) - 1)
+        differs = np.add.reduceat((points[same] != points).astype(np.int32), starts) > 0
+        for i in np.flatnonzero(differs | (size != (stops[at] - starts[at])[inverse])).tolist():
+            slots[i] = self._odd(joined[starts[i] : stops[i]])
+        return slots
+
+    def _odd(self, piece: str) -> int:
+        if piece not in self.odd:
+            self.odd[piece] = self._slot(piece)
+        return self.odd[piece]
+
     def encode_batch(self, texts: list[str], want_ids: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text, code points up to the end of the piece of each id).
 
@@ -163,7 +191,7 @@ class Encoder:
                     counts += c
                     shift += len(part)
                 return np.concatenate(ids), counts, np.concatenate(ends)
-        if len(self.memo) > MEMO_SIZE or len(self.flat) > 8 * MEMO_SIZE:
+        if len(self.word) > MEMO_SIZE or len(self.flat) > 8 * MEMO_SIZE:
             self._reset()
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -171,12 +199,7 @@ class Encoder:
         separators = np.cumsum(lengths + 1) - 1
         starts = boundaries(points, separators)
         stops = np.append(starts[1:], len(points))
-        keys, at, inverse = np.unique(piece_hashes(points, starts), return_index=True, return_inverse=True)
-        get, slot = self.memo.get, self._slot
-        known = [get(k, -1) for k in keys.tolist()]
-        for i in [i for i, s in enumerate(known) if s < 0]:
-            known[i] = slot(int(keys[i]), joined[starts[at[i]] : stops[at[i]]])
-        slots = np.array(known, np.int64)[inverse]
+        slots = self._slots(joined, points, starts, stops)
         size = np.array(self.size, np.int64)[slots]
         is_sep = np.zeros(len(points), bool)
         is_sep[separators] = True

@@ -23,13 +23,22 @@ from pyspark.sql import types as T
 # Families of letters drawn alike; the first member of a family stands for it.
 LOOK_ALIKES = (
     "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "QԚ", "SЅ", "TТΤ", "WԜ", "XХΧ", "YΥҮ", "ZΖ",
-    "aа", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "oоο", "pр", "qԛ", "sѕ", "wԝ", "xх", "yу", "ГΓ", "ПΠ", "ФΦ",
+    "aа", "cсϲⲥ", "dԁ", "eе", "gɡց", "hһհ", "iі", "jјϳ", "nո", "oоοօⲟ", "pрⲣ", "qԛզ", "sѕ", "uս", "wԝ", "xх", "yу", "ГΓ", "ПΠ", "ФΦ",
+)
+# Capitals of other scripts drawn as Latin ones (Cherokee, Lisu, Coptic).
+MORE_ALIKES = (
+    "AᎪꓮⲀ", "BᏴꓐⲂ", "CᏟꓚⲤ", "DᎠꓓ", "EᎬꓰⲈ", "FꓝϜ", "GᏀꓖ", "HᎻꓧⲎ", "IꓲⲒ", "JᎫꓙ", "KᏦꓗⲔ", "LᏞꓡ", "MᎷꓟⲘ", "NꓠⲚ", "OꓳⲞՕ", "PᏢꓑⲢ", "RᏒꓣ", "SᏚꓢ", "TᎢꓔⲦ", "UꓴՍ", "VᏙꓦ",
+    "WᎳꓪ", "XꓫⲬ", "YꓬⲨ", "ZᏃꓜ",
 )
 # The same short stroke under several numbers.
 HYPHENS = "-‐‑﹣－"
 #: Tags of compatibility mappings that change nothing of what is read. Raised, lowered, circled and fraction forms do.
 ALIKE_TAGS = ("<wide>", "<narrow>", "<font>", "<small>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 INVISIBLE = frozenset((0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0x180B, 0x1810), *range(0xE0100, 0xE01F0)))
+#: Vowels and final consonants of conjoining Hangul go with the letter before them, as marks do.
+HANGUL_TAILS = frozenset((*range(0x1161, 0x11A8), *range(0x11A8, 0x1200)))
+#: Single Hangul letters stand for themselves: taken as conjoining ones they would merge with their neighbours.
+HANGUL_LETTERS = range(0x3131, 0x318F)
 BLANKS = frozenset((*range(0x09, 0x0E), 0x85))
 
 #: Texts are taken together up to this many characters.
@@ -43,7 +52,7 @@ class Transducer:
 
     def __init__(self) -> None:
         family: dict[str, str] = {}
-        for letters in LOOK_ALIKES:
+        for letters in (*LOOK_ALIKES, *MORE_ALIKES):
             for x in letters[1:]:
                 if family.setdefault(x, letters[0]) != letters[0]:
                     raise ValueError(f"{x!r} belongs to two families")
@@ -60,7 +69,7 @@ class Transducer:
                 self.kind[i], self.to[i] = BLANK, 0x20
             elif cat in ("Cc", "Cf") or i in INVISIBLE:
                 self.kind[i] = UNSEEN
-            elif cat[0] == "M":
+            elif cat[0] == "M" or i in HANGUL_TAILS:
                 self.kind[i] = MARK
             elif (c in family or c in HYPHENS or unicodedata.decomposition(c)) and (out := self.letters(c)) != c:
                 if all(unicodedata.category(x)[0] == "M" for x in out):
@@ -84,7 +93,7 @@ class Transducer:
         out = []
         for c in unicodedata.normalize("NFD", text):
             tag, _, rest = unicodedata.decomposition(c).partition(" ")
-            alike = tag in ALIKE_TAGS or tag == "<compat>" and unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo", "Nl") and c != "ſ"
+            alike = tag in ALIKE_TAGS or tag == "<compat>" and ord(c) not in HANGUL_LETTERS and unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo", "Nl") and c != "ſ"
             if c in HYPHENS:
                 out.append("-")
             elif alike and (parts := "".join(chr(int(x, 16)) for x in rest.split())) != c and not parts.startswith(" "):
@@ -175,6 +184,8 @@ def fold_texts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({target: form(F.col(f"`{source}`").cast("string")) for source, target in columns.items()})
 
 
+#: Bits of the filter of quote anchors that a task holds: what it lets pass is joined, so its size changes no result.
+FILTER_BITS = 24
 #: Length of quotes from which a tier holds, length of its grams, number of neighbouring grams of which the least is kept.
 TIERS = ((48, 16, 33), (24, 12, 13), (12, 8, 5))
 
@@ -300,6 +311,7 @@ def _find_by_anchor(q: DataFrame, t: DataFrame, ks: list[str], result: T.StructT
 
     key_fields = [q.schema[c] for c in ks]
     anchor_fields = [T.StructField("tier", T.IntegerType()), T.StructField("gram", T.LongType())]
+    q = q.withColumn("qh", F.xxhash64("quote"))  # equal ids may have several quotes
 
     def of_quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,23 +325,30 @@ def _find_by_anchor(q: DataFrame, t: DataFrame, ks: list[str], result: T.StructT
                     tiers.extend([tier] * len(own))
                     grams.append(own)
             index = pa.array(at, pa.int64())
-            cols = [batch.column(c).take(index) for c in (*ks, "qid")]
+            cols = [batch.column(c).take(index) for c in (*ks, "qid", "qh")]
             cols += [pa.array(tiers, pa.int32()), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*ks, "qid", "tier", "gram"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*ks, "qid", "qh", "tier", "gram"])
 
-    quote_anchors = q.select(*ks, "qid", "quote").mapInArrow(of_quotes, T.StructType([*key_fields, q.schema["qid"], *anchor_fields]))
-    quote_anchors = saved(quote_anchors.distinct(), "quote-anchors")
+    fields = [*key_fields, q.schema["qid"], T.StructField("qh", T.LongType()), *anchor_fields]
+    quote_anchors = saved(q.select(*ks, "qid", "qh", "quote").mapInArrow(of_quotes, T.StructType(fields)).distinct(), "quote-anchors")
     tiers = quote_anchors.groupBy(*ks).agg(F.array_sort(F.collect_set("tier")).alias("tiers"))  # at most 14 numbers
+    known = _filter(quote_anchors)
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             folded = transducer().fold_all(batch.column("body").to_pylist())
+            at, at_tier, grams = [], [], []
             for i, (x, wanted) in enumerate(zip(folded, batch.column("tiers").to_pylist())):
                 for tier in wanted:
                     own = anchors(x, tier)
-                    if len(own):
-                        cols = [pa.array([batch.column(c)[i].as_py()] * len(own), batch.column(c).type) for c in (*ks, "tid")]
-                        yield pa.RecordBatch.from_arrays([*cols, pa.array([tier] * len(own), pa.int32()), pa.array(own)], names=[*ks, "tid", "tier", "gram"])
+                    own = own[known[_places(own)]]
+                    at.append(np.full(len(own), i))
+                    at_tier.append(np.full(len(own), tier, np.int32))
+                    grams.append(own)
+            index = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64), pa.int64())
+            cols = [batch.column(c).take(index) for c in (*ks, "tid")]
+            cols += [pa.array(np.concatenate(at_tier) if at else np.zeros(0, np.int32), pa.int32()), pa.array(np.concatenate(grams) if at else np.zeros(0, np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*ks, "tid", "tier", "gram"])
 
     text_anchors = t.join(tiers, ks).select(*ks, "tid", "body", "tiers").mapInArrow(of_texts, T.StructType([*key_fields, t.schema["tid"], *anchor_fields]))
     on = [*ks, "tier", "gram"]
@@ -337,11 +356,11 @@ def _find_by_anchor(q: DataFrame, t: DataFrame, ks: list[str], result: T.StructT
     counts = text_anchors.groupBy(*on).count()
     chosen = (
         quote_anchors.join(counts, on)
-        .groupBy(*ks, "qid")
+        .groupBy(*ks, "qid", "qh")
         .agg(F.min(F.struct("count", "tier", "gram")).alias("a"))
-        .select(*ks, "qid", F.col("a.tier").alias("tier"), F.col("a.gram").alias("gram"))
+        .select(*ks, "qid", "qh", F.col("a.tier").alias("tier"), F.col("a.gram").alias("gram"))
     )
-    pairs = text_anchors.join(chosen, on).select(*ks, "qid", "tid").distinct()
+    pairs = text_anchors.join(chosen, on).select(*ks, "qid", "qh", "tid").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,5 +368,27 @@ def _find_by_anchor(q: DataFrame, t: DataFrame, ks: list[str], result: T.StructT
             kept = pa.array(np.flatnonzero(ok), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("qid").take(kept), batch.column("tid").take(kept)], names=result.names)
 
-    whole = pairs.join(q, [*ks, "qid"]).join(t.distinct(), [*ks, "tid"]).select("qid", "tid", "quote", "body")
+    whole = pairs.join(q, [*ks, "qid", "qh"]).join(t.distinct(), [*ks, "tid"]).select("qid", "tid", "quote", "body")
     return whole.mapInArrow(verify, result)
+
+
+def _places(grams: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(quote_anchors: DataFrame) -> np.ndarray:
+    """Which places of the filter any quote anchor has. At most 2 ** FILTER_BITS bits reach the driver, in words of 32."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            seen[_places(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        packed = np.packbits(seen).view(np.uint32)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed[at].astype(np.int64))], names=["word", "bits"])
+
+    rows = quote_anchors.select("gram").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    packed = np.zeros((1 << FILTER_BITS) // 32, np.uint32)
+    packed[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return np.unpackbits(packed.view(np.uint8)).astype(bool)

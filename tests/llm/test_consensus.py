@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
 from marginalia.llm import consensus as cs
 
@@ -58,3 +59,11 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", "j", "yes", T0, 1, "x")], "run string, judge string, verdict string, at timestamp, codes int, who string")
     items, _ = cs.consensus(df, item=["run"], annotator="judge", label="verdict", labels=LABELS, at="at")
     assert [r.consensus for r in items.collect()] == ["yes"]
+
+
+def test_a_fit_cut_short_says_so(spark):
+    rows = [([0, 3], 5), ([1, 3], 2), ([0, 4], 9), ([1, 4], 4)]
+    patterns = spark.createDataFrame(rows, "codes array<int>, n long")
+    with pytest.warns(UserWarning):
+        assert not cs.fit(patterns, ["a", "b"], ("x", "y", "z"), rounds=1).converged
+    assert cs.fit(patterns, ["a", "b"], ("x", "y", "z"), rounds=400).converged

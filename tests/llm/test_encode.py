@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from marginalia.llm import encode as en
 from marginalia.llm.encode import Encoder, boundaries, count_tokens, default_vocabulary, encode_texts, groups_of
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -80,3 +81,11 @@ def test_very_long_texts_are_encoded_in_parts(encoder, monkeypatch):
     whole = ids_of(encoder, [text])
     monkeypatch.setattr("marginalia.llm.encode.GROUP_CHARS", 50)
     assert ids_of(encoder, [text]) == whole
+
+
+def test_pieces_of_equal_hash_keep_their_own_ids(monkeypatch):
+    texts = ["one two three", "two  three four", "", "naïve 12345 naïve"]
+    right = en.Encoder(en.default_vocabulary()).encode_batch(texts)[0].tolist()
+    monkeypatch.setattr(en, "piece_hashes", lambda points, starts: starts.astype(np.uint64) % np.uint64(2))
+    one = en.Encoder(en.default_vocabulary())
+    assert one.encode_batch(texts)[0].tolist() == right and one.encode_batch(texts[::-1] + texts)[0].tolist()[-len(right):] == right

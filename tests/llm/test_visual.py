@@ -1,6 +1,8 @@
 import random
 import unicodedata
 
+import pytest
+
 from marginalia.llm import visual as vs
 
 
@@ -14,6 +16,16 @@ def test_forms_that_read_the_same():
         assert fold(a) == fold(b), (a, b)
 
 
+def test_hangul_is_composed_and_single_letters_stay():
+    assert fold("\u1112\u1161\u11ab\u1100\u1173\u11af") == "한글" == fold("한글")
+    assert fold("\uac00\u11a8") == fold("\u1100\u1161\u11a8") == "각"
+    assert fold("ㄱㅏ") == "ㄱㅏ" == fold(fold("ㄱㅏ")) and fold("ﾡￂ") == "ㄱㅏ"
+
+
+def test_letters_of_other_scripts_drawn_alike():
+    assert fold("ᎪᏴᏟ ꓮꓐꓚ") == "ABC ABC" and fold("հօոս") == "honu" and fold("ı") != fold("i")
+
+
 def test_real_differences_stay():
     for a, b in [("Cell", "cell"), ("café", "cafe"), ("10²", "102"), ("1–2", "1-2"), ("CO₂", "CO2"), ("½", "1/2"), ("a−b", "a-b"), ("²", "2"), ("①", "1")]:
         assert fold(a) != fold(b), (a, b)
@@ -36,8 +48,6 @@ def test_groups_do_not_matter(monkeypatch):
 
 
 def test_compiler_refuses_conflicts(monkeypatch):
-    import pytest
-
     monkeypatch.setattr(vs, "LOOK_ALIKES", ("aх", "bх"))
     with pytest.raises(ValueError):
         vs.Transducer()
@@ -93,6 +103,13 @@ def test_both_ways_agree_with_brute_force(spark):
         assert {tuple(r) for r in vs.find_quotes(q, t, most_per_group=most, **NAMES).collect()} == brute
 
 
+@pytest.mark.parametrize("most", [64, 0])
+def test_one_id_with_several_quotes_finds_the_texts_of_each(spark, most):
+    q = spark.createDataFrame([("q", "p", 1, "ｓmall edits of the first kind"), ("q", "p", 1, "ｏther words of the second kind")], "qid string, pdf string, page int, quote string")
+    t = spark.createDataFrame([("t1", "p", 1, "small edits of the first kind"), ("t2", "p", 1, "other words of the second kind")], "tid string, pdf string, page int, body string")
+    assert sorted(map(tuple, vs.find_quotes(q, t, most_per_group=most, **NAMES).collect())) == [("q", "t1"), ("q", "t2")]
+
+
 def test_empty_tables_and_clashing_columns(spark):
     q, t = rows_of(spark)
     assert vs.find_quotes(q.limit(0), t, **NAMES).collect() == []
