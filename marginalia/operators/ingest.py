@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import values as v
+from marginalia.operators.order import numbered
 
 # Cell texts that stand for nothing.
-PLACEHOLDERS = ("n/a", "na", "-", "none", "null", "tbd", "?", "unknown", "not_found", "nan")
+PLACEHOLDERS = ("n/a", "na", "tbd", "tba", "unknown", "-", "--", "none", "?")
 
 
 def listed_values(x: str, d: v.Dialect = v.SPARK) -> str:
@@ -64,20 +65,22 @@ def shuffled_words(x: str, seed: str, d: v.Dialect = v.SPARK) -> str:
     return f"CASE WHEN len({w}) < 2 THEN array_to_string({w}, ' ') WHEN array_to_string({new}, ' ') = array_to_string({w}, ' ') THEN array_to_string(list_concat({w}[2:], {w}[1:1]), ' ') ELSE array_to_string({new}, ' ') END"
 
 
-def deranged(long: DataFrame, column: str, key: str, value: str, seed: int = 0, buckets: int = 64) -> DataFrame:
-    """Each value moved to another cell of its column: the next in hash order within a bucket, the last to the first.
+def deranged(long: DataFrame, column: str, key: str, value: str, seed: int = 0) -> DataFrame:
+    """The non-blank values of all cells, whatever their columns, moved so that every cell gets another value.
 
-    Buckets bound what one task sorts; a bucket of one cell keeps it. A cell whose new value equals its own is flagged.
+    Cells are put in the order of their values, equal ones together and in a seeded order, and each takes the value
+    as many places ahead, in a circle, as the most frequent value has cells: equal values are so few places apart
+    that none meets its like. If one value holds more than half of the cells no derangement exists; then every
+    cell is given and those that keep their value are flagged ``unchanged``. Blank cells take no part.
     """
-    from pyspark.sql.window import Window
-
-    h = long.withColumn("__h", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.col(column)), 256))
-    h = h.withColumn("__b", F.pmod(F.conv(F.substring("__h", 1, 6), 16, 10).cast("bigint"), F.lit(buckets)))
-    by = [column, "__b"]
-    first = h.groupBy(*by).agg(F.min(F.struct("__h", F.coalesce(value, F.lit("")).alias("v"))).alias("f"))
-    nxt = F.lead(F.coalesce(value, F.lit(""))).over(Window.partitionBy(*by).orderBy("__h"))
-    moved = h.withColumn("__n", nxt).join(first, by).withColumn("control_value", F.coalesce("__n", F.col("f.v")))
-    return moved.select(key, column, value, "control_value", (F.col("control_value") == F.coalesce(value, F.lit(""))).alias("unchanged"))
+    cells = long.where(~F.expr(v.is_empty(value))).withColumn("__v", F.trim(F.col(value)))
+    cells = cells.withColumn("__h", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.col(column)), 256))
+    counts = cells.groupBy("__v").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    most, total = counts["most"] or 0, counts["all"] or 0
+    placed = numbered(cells.select(key, column, value, "__v", "__h"), "__v", "__h", number="__place")
+    ahead = F.pmod(F.col("__place") - F.lit(most), F.lit(max(total, 1)))
+    given = placed.select(ahead.alias("__place"), F.col(value).alias("control_value"), F.col("__v").alias("__given"))
+    return placed.join(given, "__place").select(key, column, value, "control_value", (F.col("__given") == F.col("__v")).alias("unchanged"))
 
 
 def blank_columns(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,8 +90,17 @@ def blank_columns(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def repaired_json(x: str) -> str:
-    """Model output as JSON: thinking and fences cut, first object taken, trailing commas dropped; null if that is none."""
+    """Model output as JSON: thinking and fences cut, the first balanced object taken, trailing commas dropped; null if
+    that is none. Braces inside strings do not count, escaped quotes do not end a string."""
     clean = rf"regexp_replace(regexp_replace({x}, r'(?s)<think>.*?</think>', ''), r'```[a-z]*', '')"
-    body = rf"regexp_extract({clean}, r'(?s)(\{{.*\}})', 1)"
-    fixed = rf"regexp_replace({body}, r',\s*([}}\]])', '$1')"
+    tail = f"substr({clean}, instr({clean}, '{{'))"
+    # Depth of braces after each character, outside of strings; the object ends where it first is 0
+    step = (
+        "named_struct('i', s.i + 1, 'depth', case when s.quoted or s.done > 0 then s.depth when c = '{' then s.depth + 1 when c = '}' then s.depth - 1 else s.depth end, "
+        "'quoted', case when s.escaped then s.quoted when c = '\"' then not s.quoted else s.quoted end, 'escaped', s.quoted and not s.escaped and c = chr(92), "
+        "'done', case when s.done = 0 and not s.quoted and c = '}' and s.depth = 1 then s.i + 1 else s.done end)"
+    )
+    start = "named_struct('i', 0, 'depth', 0, 'quoted', false, 'escaped', false, 'done', 0)"
+    body = f"aggregate(filter(split({tail}, ''), z -> z <> ''), {start}, (s, c) -> {step}, s -> case when s.done > 0 then substr({tail}, 1, s.done) end)"
+    fixed = rf"regexp_replace(case when instr({clean}, '{{') > 0 then {body} end, r',\s*([}}\]])', '$1')"
     return f"case when get_json_object({fixed}, '$') is not null then {fixed} end"

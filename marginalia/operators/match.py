@@ -1,4 +1,4 @@
-"""Papers matched to table rows: blocked candidate pairs, weighted score, outcome, conflicts."""
+"""Papers matched to table rows: blocked candidate pairs, weighted score with floors, outcome, conflicts."""
 
 from __future__ import annotations
 
@@ -6,67 +6,144 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.functions import tokens as tk
+from marginalia.functions import names as nm
 from marginalia.functions import values as v
+from marginalia.operators.order import numbered
 from marginalia.session import saved
 
-WEIGHTS = {"doi": 0.45, "title": 0.30, "surname": 0.15, "year": 0.10}
-#: Words in a row that two titles must share to be compared at all.
-SHINGLE = 3
+# Weights, threshold and gap of the matching score.
+DOI_WEIGHT, TITLE_WEIGHT, FIRST_AUTHOR_WEIGHT, AUTHOR_WEIGHT, YEAR_WEIGHT, EXACT_TITLE_BONUS = 0.45, 0.30, 0.15, 0.10, 0.10, 0.15
+LEAST, GAP = 0.35, 0.15
+#: Least likeness of two titles that meet by their words alone; what is less alike and shares no author near its year stays far below the threshold.
+LIKE = 1 / 3
 
 
-def features(df: DataFrame, key: str, title: str, authors: str, year: str, doi: str, prefix: str) -> DataFrame:
-    """Comparable forms of a paper or row."""
+def features(df: DataFrame, key: str, title: str, authors: str, year: str, doi: str, prefix: str, link: str | None = None) -> DataFrame:
+    """Comparable forms of a paper or row. Null and blank fields give null or an empty list."""
     p = prefix
+    own = f"coalesce({nm.doi(doi)}, {nm.doi_in(link)})" if link else nm.doi(doi)
     return df.select(
-        F.col(key).alias(f"{p}_id"), F.expr(v.doi_of(doi)).alias(f"{p}_doi"), F.expr(f"array_distinct({tk.tokens(title)})").alias(f"{p}_title"), F.expr(tk.tokens(title)).alias(f"{p}_seq"),
-        F.expr(f"nullif(trim({tk.token_text(v.first_surname(authors))}), '')").alias(f"{p}_surname"), F.expr(f"try_cast({v.SPARK.part(f'coalesce({year}, {chr(39)}{chr(39)})', '((?:19|20)[0-9][0-9])')} as int)").alias(f"{p}_year"),
+        F.col(key).alias(f"{p}_id"), F.expr(own).alias(f"{p}_doi"), F.expr(f"nullif({nm.plain(title)}, '')").alias(f"{p}_norm"), F.expr(nm.words(title)).alias(f"{p}_title"),
+        F.expr(nm.family_names(authors)).alias(f"{p}_names"), F.expr(nm.family_name(authors)).alias(f"{p}_first"), F.expr(nm.year(year)).alias(f"{p}_year"),
     )
 
 
-def _blocks(df: DataFrame, p: str) -> DataFrame:
-    shingles = F.expr(f"case when size({p}_seq) >= {SHINGLE} then transform(sequence(0, size({p}_seq) - {SHINGLE}), i -> concat('t:', concat_ws(' ', slice({p}_seq, i + 1, {SHINGLE})))) else array(concat('t:', concat_ws(' ', {p}_seq))) end")
-    keys = F.array_union(F.filter(F.array(F.concat(F.lit("d:"), f"{p}_doi"), F.concat(F.lit("a:"), f"{p}_surname", F.lit("|"), F.col(f"{p}_year").cast("string"))), lambda x: x.isNotNull()), shingles)
-    return df.select(f"{p}_id", F.explode(keys).alias("block"))
+def _fields(p: str) -> list[str]:
+    return [f"{p}_{x}" for x in ("doi", "norm", "title", "names", "first", "year")]
 
 
-def candidate_pairs(papers: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs that share a DOI, a first author and year, or words in a row of the title. Never a cross join."""
-    return _blocks(papers, "p").join(_blocks(rows, "r"), "block").select("p_id", "r_id").distinct()
+def distinct_forms(df: DataFrame, p: str) -> DataFrame:
+    """One row per combination of features: the least id stands for it, with the number of ids."""
+    return df.groupBy(*_fields(p)).agg(F.min(f"{p}_id").alias(f"{p}_id"), F.count_distinct(f"{p}_id").alias(f"{p}_n"))
+
 
+def _blocks(df: DataFrame, p: str, frequency: DataFrame, years: bool) -> DataFrame:
+    """Keys of each form: its DOI; each family name with its year (and with the years beside it); its rarest title words,
+    so many that two titles of the least likeness share one."""
+    near = F.array(*[F.col(f"{p}_year") + d for d in ((-1, 0, 1) if years else (0,))])
+    named = F.flatten(F.transform(f"{p}_names", lambda a: F.transform(near, lambda y: F.concat(F.lit("a:"), a, F.lit("|"), y.cast("string")))))
+    sure = F.filter(F.concat(F.array(F.concat(F.lit("d:"), f"{p}_doi")), named), lambda x: x.isNotNull())
+    words = df.select(f"{p}_id", F.size(f"{p}_title").alias("size"), F.explode(f"{p}_title").alias("word")).join(frequency, "word")
+    sorted_words = words.groupBy(f"{p}_id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    kept = F.slice("w", 1, F.col("size") - F.ceil(F.col("size") * F.lit(LIKE)).cast("int") + 1)
+    by_word = sorted_words.select(f"{p}_id", F.explode(kept).alias("x")).select(f"{p}_id", F.concat(F.lit("t:"), "x.word").alias("block"))
+    return df.select(f"{p}_id", F.explode(sure).alias("block")).unionByName(by_word)
 
-def score_sql(d: v.Dialect = v.SPARK) -> str:
-    common = d.size(d.both("p_title", "r_title"))
-    jaccard = f"cast({common} as double) / greatest({d.size('p_title')} + {d.size('r_title')} - {common}, 1)"
-    year = "case when p_year = r_year then 1.0 when abs(p_year - r_year) = 1 then 0.5 else 0.0 end"
-    return f"{WEIGHTS['doi']} * case when p_doi = r_doi then 1.0 else 0.0 end + {WEIGHTS['title']} * {jaccard} + {WEIGHTS['surname']} * case when p_surname = r_surname then 1.0 else 0.0 end + {WEIGHTS['year']} * {year}"
+
+def candidate_pairs(papers: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of forms that share a DOI, a family name in the same year or one beside it, or a rare word of the title.
+
+    Never a cross join: forms without a DOI, names and a title meet nothing. Every pair whose titles have at least
+    a third of their words in common is among them.
+    """
+    words = papers.select(F.explode("p_title").alias("word")).unionByName(rows.select(F.explode("r_title").alias("word")))
+    frequency = words.groupBy("word").agg(F.count("*").alias("df"))
+    return _blocks(papers, "p", frequency, False).join(_blocks(rows, "r", frequency, True), "block").select("p_id", "r_id").distinct()
+
+
+def score_columns(pairs: DataFrame) -> DataFrame:
+    """The parts of the score of each pair, and ``score`` in [0, 1]."""
+    common = F.size(F.array_intersect("p_title", "r_title"))
+    some = (F.size("p_title") > 0) & (F.size("r_title") > 0)
+    shortest = F.least(F.size("p_title"), F.size("r_title"))
+    parts = (
+        pairs.withColumn("doi_score", F.when(F.col("p_doi") == F.col("r_doi"), 1.0).otherwise(0.0))
+        .withColumn("title_score", F.when(some, common / F.size(F.array_union("p_title", "r_title"))).otherwise(0.0))
+        .withColumn("containment", F.when(some, common / shortest).otherwise(0.0))
+        .withColumn("year_score", F.when(F.col("p_year") == F.col("r_year"), 1.0).when(F.abs(F.col("p_year") - F.col("r_year")) == 1, 0.5).otherwise(0.0))
+        .withColumn("first_score", F.when(F.col("p_first") == F.col("r_first"), 1.0).otherwise(0.0))
+        .withColumn("overlap", F.when(F.size("p_names") > 0, F.size(F.array_intersect("p_names", "r_names")) / F.size("p_names")).otherwise(0.0))
+        .withColumn("exact", F.when(F.col("p_norm") == F.col("r_norm"), 1.0).otherwise(0.0))
+    )
+    weighted = (
+        DOI_WEIGHT * F.col("doi_score") + TITLE_WEIGHT * F.col("title_score") + EXACT_TITLE_BONUS * F.col("exact") + YEAR_WEIGHT * F.col("year_score") + FIRST_AUTHOR_WEIGHT * F.col("first_score") + AUTHOR_WEIGHT * F.col("overlap")
+    )
+    conflict = some & (F.col("title_score") < 0.4) & (F.col("containment") < 0.6)
+    floor = (
+        F.when((F.col("doi_score") == 1) & ~conflict, 0.95)
+        .when(F.col("title_score") >= 0.999, F.when(F.col("year_score") == 1, 0.70).when(F.col("year_score") > 0, 0.66).otherwise(0.62))
+        .when((shortest >= 6) & ((F.col("title_score") >= 0.85) | (F.col("containment") >= 0.9)), 0.68)
+        .when((F.col("title_score") >= 0.75) & (F.col("year_score") == 1), 0.60)
+        .otherwise(0.0)
+    )
+    known = F.when((F.col("first_score") == 1) & (F.col("overlap") > 0) & (F.col("year_score") == 1) & (F.col("title_score") >= 0.4), 0.80).otherwise(0.0)
+    parts = parts.withColumn("__score", F.least(F.greatest(weighted, floor, known), F.lit(1.0)))
+    return parts.withColumn("score", F.expr(v.round6("__score"))).drop("__score")
 
 
 def score_pairs(papers: DataFrame, rows: DataFrame) -> DataFrame:
-    pairs = candidate_pairs(papers, rows)
-    return pairs.join(papers, "p_id").join(rows, "r_id").select("p_id", "r_id", F.expr(v.round6(f"cast({score_sql()} as double)")).alias("score"))
+    """Scored pairs of distinct forms (see :func:`distinct_forms`): ``p_id``, ``r_id``, ``score``, and ``r_n`` rows alike.
+
+    All pairs that share a DOI, a family name within a year, or a third of their title words; others are no rivals."""
+    p, r = distinct_forms(papers, "p"), distinct_forms(rows, "r")
+    near = F.coalesce((F.abs(F.col("p_year") - F.col("r_year")) <= 1) & F.arrays_overlap("p_names", "r_names"), F.lit(False))
+    scored = score_columns(candidate_pairs(p, r).join(p, "p_id").join(r, "r_id"))
+    return scored.where((F.col("doi_score") == 1) | near | (F.col("title_score") >= LIKE)).select("p_id", "r_id", "score", "r_n")
 
 
-def outcomes(papers: DataFrame, scored: DataFrame, least: float = 0.35, gap: float = 0.05) -> DataFrame:
-    """Best row of each paper, the gap to the runner-up, and the outcome; rows two papers claim are conflicts.
+def _near_duplicate(a: str, b: str) -> str:
+    """Two rows that describe one paper: titles of likeness 0.85 or more, and the same year."""
+    return f"size({a}.title) > 0 and size({b}.title) > 0 and {a}.year = {b}.year and size(array_intersect({a}.title, {b}.title)) / size(array_union({a}.title, {b}.title)) >= 0.85D"
 
-    A paper with a single candidate has runner-up 0, so any score of ``least`` or more passes the gap. Only the two
-    best candidates of a paper are kept, before the shuffle; candidates are never gathered.
+
+def outcomes(papers: DataFrame, rows: DataFrame, least: float = LEAST, gap: float = GAP) -> DataFrame:
+    """Best row of each paper, score, gap to the runner-up, and the outcome; rows that two papers claim are conflicts.
+
+    Alike papers and alike rows are matched once: rows of the same features count as their own runner-up, which is
+    a near duplicate and so no rival (the least id is taken) unless title or year is missing. A paper without a
+    candidate has score 0; without a rival its runner-up is 0. Only the two best candidates are kept, before the shuffle.
     """
-    scored = saved(scored, "match-scores")  # used twice below: scored once
+    scored = saved(score_pairs(papers, rows), "match-scores")  # used twice below: scored once
     w = Window.partitionBy("p_id").orderBy(F.desc("score"), "r_id")
     two = scored.withColumn("place", F.row_number().over(w)).where("place <= 2")
-    best = two.groupBy("p_id").agg(F.max(F.when(F.col("place") == 1, F.col("r_id"))).alias("r_id"), F.max(F.when(F.col("place") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("runner_up"))
-    counts = scored.groupBy("p_id").agg(F.count("*").alias("n_candidates"))
-    out = papers.select("p_id").join(best, "p_id", "left").join(counts, "p_id", "left").na.fill(0.0, ["runner_up", "score"]).na.fill(0, ["n_candidates"])
-    out = out.withColumn("gap", F.expr(v.round6("score - runner_up")))
-    out = out.withColumn("outcome", F.expr(f"case when score < {least} then 'unmatched' when gap < {gap} then 'ambiguous' else 'matched' end"))
+    forms = distinct_forms(rows, "r").select("r_id", F.struct(F.col("r_title").alias("title"), F.col("r_year").alias("year")).alias("form"))
+    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    best = two.join(forms, "r_id").groupBy("p_id").agg(at(1, "r_id").alias("r_id"), at(1, "score").alias("score"), at(2, "score").alias("second"), at(1, "r_n").alias("alike"), at(1, "form").alias("f1"), at(2, "form").alias("f2"))
+    counts = scored.groupBy("p_id").agg(F.sum("r_n").alias("n_candidates"))
+    best = best.withColumn("runner_up", F.when(F.col("alike") > 1, F.col("score")).otherwise(F.coalesce("second", F.lit(0.0))))
+    best = best.withColumn("twin", F.expr(f"case when alike > 1 then size(f1.title) > 0 and f1.year is not null else coalesce({_near_duplicate('f1', 'f2')}, false) end"))
+    forms_of = distinct_forms(papers, "p").join(best, "p_id", "left").join(counts, "p_id", "left")
+    matched = papers.select("p_id", *_fields("p")).join(forms_of.drop("p_id", "p_n"), _null_safe(papers, forms_of, _fields("p")), "left").select(papers["p_id"], "r_id", "score", "runner_up", "twin", "n_candidates")
+    out = matched.na.fill(0.0, ["score", "runner_up"]).na.fill(0, ["n_candidates"]).na.fill(False, ["twin"]).withColumn("gap", F.expr(v.round6("score - runner_up")))
+    out = out.withColumn("outcome", F.expr(f"case when score < {least} then 'unmatched' when gap < {gap} and not twin then 'ambiguous' else 'matched' end"))
     claims = out.where("outcome = 'matched'").groupBy("r_id").agg(F.count("*").alias("claims"))
     out = out.join(claims, "r_id", "left")
-    return out.select("p_id", F.when(F.col("outcome") != "unmatched", F.col("r_id")).alias("r_id"), "score", "gap", "n_candidates", F.when(F.col("claims") > 1, "conflict").otherwise(F.col("outcome")).alias("outcome"))
+    return out.select("p_id", F.when(F.col("outcome") != "unmatched", F.col("r_id")).alias("r_id"), "score", "gap", "n_candidates", F.when((F.col("outcome") == "matched") & (F.col("claims") > 1), "conflict").otherwise(F.col("outcome")).alias("outcome"))
+
+
+def _null_safe(a: DataFrame, b: DataFrame, columns: list[str]):
+    on = a[columns[0]].eqNullSafe(b[columns[0]])
+    for c in columns[1:]:
+        on = on & a[c].eqNullSafe(b[c])
+    return on
+
+
+def best_candidates(scored: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` best rows of each paper with their rank; the rest go before the shuffle."""
+    w = Window.partitionBy("p_id").orderBy(F.desc("score"), "r_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("p_id", "rank", "r_id", "score")
 
 
 def append_unmatched(matched: DataFrame, start: int) -> DataFrame:
     """New row indices for papers without a row, after ``start``, in the order of their ids."""
-    w = Window.orderBy("p_id")
-    return matched.where("outcome = 'unmatched'").select("p_id", (F.row_number().over(w) + start).alias("row_index"))
+    return numbered(matched.where("outcome = 'unmatched'").select("p_id"), "p_id", number="row_index", start=start + 1)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marginalia.functions import tokens as tk
 from marginalia.functions import values as v
 
 K1, B = 1.5, 0.75
+#: Queries of one ranking, held by the driver.
+MOST_QUERIES = 10_000
 
 
 def idf_sql(n: str, df: str) -> str:
@@ -27,7 +30,7 @@ def score_passages(chunks: DataFrame, queries: DataFrame, *, doc: str, chunk: st
     """BM25 score, and share of the query's distinct terms found, of every (query, chunk) that share a term.
 
     A term that is repeated in the query weighs as often as it is repeated. Only terms of queries are kept of a
-    chunk, before anything is shuffled by term; chunks that share no term score 0 and are left out.
+    chunk, before anything is shuffled by term; chunks that share no term score 0 and come back in :func:`ranking`.
     """
     q = queries.select(query, F.explode(F.expr(tk.tokens(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
     q_size = q.groupBy(query).agg(F.count("*").alias("q_terms"))
@@ -53,19 +56,70 @@ def hybrid(scored: DataFrame, doc: str, query: str) -> DataFrame:
     return scored.join(best, [doc, query]).withColumn("hybrid", F.expr(v.round6("case when best > 0 then bm25 / best else 0 end * 0.7D + coverage * 0.3D"))).drop("best")
 
 
-def boost_sql(query: str, kind: str, display: str, d: v.Dialect = v.SPARK) -> str:
-    """Small bonuses for passages of the kind a query asks for."""
-    word = lambda p: rf"(^|[^0-9a-z_])({p})([^0-9a-z_]|$)"
-    q = f"lower({query})"
-    numeric = d.has(q, word("number|count|max|maximum|highest|best|length|size|unit|efficiency|percent|percentage|rate|temperature|thickness|diameter|dose|concentration|bp|nt|kb|mm|um|nm|cm|fold"))
-    visual = d.has(q, word(r"fig|figure|fig\.|panel|plot|chart|graph|image|microscopy|visual"))
-    named = d.has(q, word("identifier|architecture|system|barcode|sequence|construct|vector|plasmid|name"))
-    text = f"coalesce({display}, '')"
-    return (
-        f"(case when {numeric} and {d.has(text, '[0-9]')} then 0.12 else 0.0 end + case when {numeric} and {kind} = 'table_region' then 0.10 else 0.0 end"
-        f" + case when {visual} and {kind} in ('caption', 'figure') then 0.10 else 0.0 end + case when {named} and {d.has(text, '([A-Z][A-Z]|[A-Za-z]+-[A-Za-z0-9]|[A-Za-z]*[0-9])')} then 0.05 else 0.0 end"
-        f" - case when {kind} in ('abstract', 'section') then 0.02 else 0.0 end)"
-    )
+# What a query asks for, and what shows it in a passage.
+NUMERIC_QUERY = r"(?iU)\b(number|count|max|maximum|highest|best|length|size|unit|efficiency|percent|percentage|rate|temperature|thickness|diameter|dose|concentration|bp|nt|kb|mm|um|nm|cm|fold)\b"
+VISUAL_QUERY = r"(?iU)\b(fig(?:ure)?\.?|panel|plot|chart|graph|image|microscopy|visual)\b"
+IDENTIFIER_QUERY = r"(?iU)\b(identifier|architecture|system|barcode|sequence|construct|vector|plasmid|name)\b"
+NUMBER_SHOWN = r"(?U)\b\d+(?:\.\d+)?\s*(?:%|bp|nt|kb|mm|um|µm|nm|cm|x|fold)?\b"
+IDENTIFIER_SHOWN = r"(?U)\b(?:[A-Z]{2,}[A-Za-z0-9-]*|[A-Za-z]+-[A-Za-z0-9-]+|[A-Za-z]*\d[A-Za-z0-9-]*)\b"
+# What a passage gains that shows it.
+NUMBER_BOOST, TABLE_BOOST, FIGURE_BOOST, IDENTIFIER_BOOST, FRONT_LOSS = 0.12, 0.10, 0.10, 0.05, 0.02
+
+
+def query_class(queries: DataFrame, text: str) -> DataFrame:
+    """``queries`` with ``asks``, an array of whether a number, a figure, an identifier is asked for."""
+    return queries.withColumn("asks", F.array(*[F.coalesce(F.col(text).rlike(p), F.lit(False)) for p in (NUMERIC_QUERY, VISUAL_QUERY, IDENTIFIER_QUERY)]))
+
+
+def passage_signs(chunks: DataFrame, doc: str, chunk: str, kind: str, display: str, text: str) -> DataFrame:
+    """What each passage shows: a number, a table, a figure, an identifier, front matter."""
+    both = F.concat_ws(" ", display, text)
+    of = lambda *kinds: F.coalesce(F.col(kind).isin(*kinds), F.lit(False))
+    signs = [both.rlike(NUMBER_SHOWN), of("table_region"), of("caption", "figure"), F.coalesce(F.col(display).rlike(IDENTIFIER_SHOWN), F.lit(False)), of("abstract", "section")]
+    return chunks.select(doc, chunk, F.array(*signs).alias("shows"))
+
+
+def boost(asks: str = "asks", shows: str = "shows"):
+    """What a passage gains for what the query asks for and it shows."""
+    a, s = (lambda i: F.col(asks)[i]), (lambda i: F.col(shows)[i])
+    gain = lambda on, value: F.when(on, value).otherwise(0.0)
+    return gain(a(0) & s(0), NUMBER_BOOST) + gain(a(0) & s(1), TABLE_BOOST) + gain(a(1) & s(2), FIGURE_BOOST) + gain(a(2) & s(3), IDENTIFIER_BOOST) - gain(s(4), FRONT_LOSS)
+
+
+def ranking(scored: DataFrame, signs: DataFrame, queries: DataFrame, *, doc: str, query: str, chunk: str, score: str, k: int, boosted: bool = False) -> DataFrame:
+    """The ``k`` best passages of every document for every query, those that share no term (score 0) included: ``doc``,
+    ``query``, ``chunk``, ``score``, ``boosted`` (the same without boost), ``rank``.
+
+    Of the passages without a term only the ``k`` of largest boost, first ids first, can be among the best: a passage
+    behind them has ``k`` before it whatever their scores. They are ranked once per document and class of query, of
+    which there are eight; documents times queries is the size of the result, not of anything before it. Queries are
+    the columns of a schema: at most ``MOST_QUERIES``, more raise ``ValueError``. Repeated queries count once.
+    """
+    classed = query_class(queries, "query_text").select(query, "asks") if boosted else queries.select(query, F.array(*[F.lit(False)] * 3).alias("asks"))
+    classed = classed.dropDuplicates([query])
+    gain = boost() if boosted else F.lit(0.0)
+    classes = signs.select(doc, chunk, "shows", F.explode(F.lit([[bool(i & 1), bool(i & 2), bool(i & 4)] for i in range(8)] if boosted else [[False] * 3])).alias("asks"))
+    w = Window.partitionBy(doc, "asks").orderBy(F.desc("gain"), chunk)
+    first = classes.withColumn("gain", F.expr(v.round6("0")) + gain).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    asked: dict[tuple, list] = {}
+    for r in classed.limit(MOST_QUERIES + 1).collect():
+        asked.setdefault(tuple(r["asks"]), []).append(r[query])
+    if sum(map(len, asked.values())) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
+    of_class = F.array().cast(T.ArrayType(queries.schema[query].dataType))
+    for asks, ids in asked.items():
+        of_class = F.when(F.col("asks") == F.lit(list(asks)), F.lit(ids)).otherwise(of_class)
+    pool = first.select(doc, F.explode(of_class).alias(query), chunk, F.lit(0.0).alias("s"))
+    both = scored.select(doc, query, chunk, F.col(score).alias("s")).unionByName(pool).groupBy(doc, query, chunk).agg(F.max("s").alias("s"))
+    full = both.join(classed, query).join(signs, [doc, chunk]).withColumn("b", F.expr(v.round6("s")) + gain)
+    out = top_k(full.withColumn("boosted", F.expr(v.round6("b"))), doc, query, "boosted", chunk, k)
+    return out.select(doc, query, chunk, F.col("s").alias(score), "boosted", "rank")
+
+
+def rank_changes(before: DataFrame, after: DataFrame, doc: str, query: str, chunk: str) -> DataFrame:
+    """At how many of the ranks of each (document, query) another passage stands after re-ranking."""
+    a, b = (x.select(doc, query, "rank", F.col(chunk).alias(n)) for x, n in ((before, "before_id"), (after, "after_id")))
+    return a.join(b, [doc, query, "rank"]).groupBy(doc, query).agg(F.count("*").alias("ranks"), F.count_if(F.col("before_id") != F.col("after_id")).alias("changed"))
 
 
 def neighbours(chunks: DataFrame, selected: DataFrame, doc: str, chunk: str, order: str) -> DataFrame:
@@ -76,20 +130,27 @@ def neighbours(chunks: DataFrame, selected: DataFrame, doc: str, chunk: str, ord
     return near.where("sel or near").select(doc, chunk, order, (~F.col("sel")).alias("is_neighbour"))
 
 
-def block_type_sql(x: str, d: v.Dialect = v.SPARK) -> str:
-    """Kind of a text block by its length, case and beginning."""
-    t = v.tidy(x, d)
-    return f"""case when {d.has(t, r'^(Figure|Fig\.|Table|Extended data)')} then 'caption' when {d.has(t, r'^[0-9]+\. [A-Z].*\([12][0-9]{3}\)')} then 'reference'
-        when {d.has(t, r'^([-*•] |\([a-z]\) |Step [0-9]+)')} then 'list_item' when length({t}) <= 60 and not {d.has(t, r'[.!?;:,]$')} and {d.has(t, r'^([0-9]+\. )?[A-Z]')} then 'heading'
-        when {d.has(t, r'^(Abstract|ABSTRACT)')} then 'abstract' else 'paragraph' end"""
+# What tells the kind of a block.
+SECTION_HEADING = r"^([0-9]+\.?\s+)?[A-Z][a-zA-Z\s]+$"
+CAPTION_START = r"(?i)^(fig(ure)?\.?\s*[0-9]|table\s*[0-9])"
+
+
+def block_type(x: str):
+    """Kind of a text block: an upper-case word of letters, a short line of words, an abstract, the references, a caption."""
+    t = F.regexp_replace(F.col(x), r"(?U)^\s+|\s+$", "")
+    n = F.char_length(t)
+    return (
+        F.when((n < 80) & (t == F.upper(t)) & t.rlike(r"^\p{L}+$"), "heading").when((n < 120) & t.rlike(SECTION_HEADING), "section_heading").when(F.lower(t).startswith("abstract"), "abstract")
+        .when(F.lower(t).startswith("references") & (n < 30), "heading").when(t.rlike(CAPTION_START), "caption").otherwise("paragraph")
+    )
 
 
 def blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Non-blank lines of each text with their order, kind, and the last heading at or before them."""
     lines = docs.select(doc, F.posexplode(F.split(text, "\\r\\n|\\r|\\n")).alias("reading_order", "block")).where(~F.expr(v.is_empty("block")))
-    typed = lines.withColumn("block_type", F.expr(block_type_sql("block")))
+    typed = lines.withColumn("block_type", block_type("block"))
     w = Window.partitionBy(doc).orderBy("reading_order").rowsBetween(Window.unboundedPreceding, 0)
-    return typed.withColumn("section", F.last(F.when(F.col("block_type") == "heading", F.expr(v.tidy("block"))), ignorenulls=True).over(w))
+    return typed.withColumn("section", F.last(F.when(F.col("block_type").isin("heading", "section_heading"), F.expr(v.tidy("block"))), ignorenulls=True).over(w))
 
 
 def attach_captions(items: DataFrame, doc: str, order: str, is_figure, is_caption) -> DataFrame:

@@ -11,7 +11,7 @@ from marginalia.session import table
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
-    blocks = plug.context_blocks(passages.bm25(spark, d), passages.chunks(spark, d), doc="pdf_id", query="column_name", chunk="chunk_id", text="display_text", limit=3)
+    blocks = plug.context_blocks(passages.bm25(spark, d), passages.chunks(spark, d), doc="pdf_id", query="column_name", chunk="chunk_id", text="display_text", limit=passages.TOP_K)
     return blocks.withColumn("prompt", plug.render("Find {column} in the passages below.\n{passages}", {"column": F.col("column_name"), "passages": F.col("passages")}))
 
 

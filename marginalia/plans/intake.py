@@ -60,8 +60,8 @@ def blank(spark: SparkSession, d: str) -> DataFrame:
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = filled(spark, d)
     papers = rows.selectExpr(
-        "row_id as paper_id", "case when row_index % 5 = 0 then regexp_replace(title, ' [^ ]+$', '') else title end as title", "authors",
-        "case when row_index % 4 = 0 then cast(try_cast(regexp_extract(publication_year, '([0-9]{4})', 1) as int) + 1 as string) else publication_year end as publication_year", "case when row_index % 3 <> 0 then concat('https://doi.org/', upper(doi)) end as doi",
+        "row_id as paper_id", "case when row_index % 7 = 0 then reverse(title) when row_index % 5 = 0 then regexp_replace(title, ' [^ ]+$', '') else title end as title", "case when row_index % 7 <> 0 then authors end as authors",
+        "case when row_index % 4 = 0 then cast(try_cast(regexp_extract(publication_year, '([0-9]{4})', 1) as int) + 1 as string) else publication_year end as publication_year", "case when row_index % 3 <> 0 and row_index % 7 <> 0 then concat('https://doi.org/', upper(doi)) end as doi",
     )
     return mt.features(papers, "paper_id", "title", "authors", "publication_year", "doi", "p"), mt.features(rows, "row_id", "title", "authors", "publication_year", "doi", "r")
 
@@ -71,8 +71,18 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
-    papers, rows = _sides(spark, d)
-    return mt.outcomes(papers, mt.score_pairs(papers, rows))
+    return mt.outcomes(*_sides(spark, d))
+
+
+def best(spark: SparkSession, d: str) -> DataFrame:
+    """The five best rows of each paper."""
+    return mt.best_candidates(mt.score_pairs(*_sides(spark, d)))
+
+
+def appended(spark: SparkSession, d: str) -> DataFrame:
+    """New rows for papers without one, numbered behind the last row."""
+    last = filled(spark, d).agg(F.max("row_index")).first()[0]
+    return mt.append_unmatched(outcomes(spark, d), int(last or 0))
 
 
 def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +116,7 @@ def json_repair(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "ingest_cells": cells, "ingest_masked": masked, "column_profiles": profiles, "metadata_coverage": coverage, "listed_values": listed, "control_word_shuffle": shuffled, "control_derangement": deranged, "blank_columns": blank,
-    "match_pairs": pairs, "match_outcomes": outcomes, "match_summary": outcome_counts, "judge_summary": judges, "judge_agreement": judge_pairs, "json_repair": json_repair,
+    "match_pairs": pairs, "match_outcomes": outcomes, "match_best": best, "match_appended": appended, "match_summary": outcome_counts, "judge_summary": judges, "judge_agreement": judge_pairs, "json_repair": json_repair,
 }
 
 D = v.DUCK
@@ -115,20 +125,31 @@ _long = lambda cols: " UNION ALL ".join(f"SELECT row_id, '{c}' AS column_name, {
 _CELLS = f"(SELECT *, {ig.eligibility_sql('current_value', D)} AS eligibility FROM ({_long(TARGETS)}))"
 
 
-def _features(src: str, key: str, p: str) -> str:
-    return f"SELECT {key} AS {p}_id, {v.doi_of('doi', D)} AS {p}_doi, list_distinct({tk.tokens('title', D)}) AS {p}_title, {tk.tokens('title', D)} AS {p}_seq, nullif(trim({tk.token_text(v.first_surname('authors', D), D)}), '') AS {p}_surname, try_cast({v.DUCK.part(f'coalesce(publication_year, {chr(39)}{chr(39)})', '((?:19|20)[0-9][0-9])')} AS INTEGER) AS {p}_year FROM {src}"
-
+_P = f"(SELECT row_id AS paper_id, CASE WHEN row_index % 7 = 0 THEN reverse(title) WHEN row_index % 5 = 0 THEN regexp_replace(title, ' [^ ]+$', '') ELSE title END AS title, CASE WHEN row_index % 7 <> 0 THEN authors END AS authors, CASE WHEN row_index % 4 = 0 THEN cast(try_cast(regexp_extract(publication_year, '([0-9]{{4}})', 1) AS INTEGER) + 1 AS VARCHAR) ELSE publication_year END AS publication_year, CASE WHEN row_index % 3 <> 0 AND row_index % 7 <> 0 THEN 'https://doi.org/' || upper(doi) END AS doi FROM {_F})"
+_norm = lambda x: rf"trim(regexp_replace(strip_accents(lower(coalesce({x}, ''))), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+_one = lambda x: rf"trim(regexp_split_to_array({x}, '(?i);|\band\b')[1])"
+_family = lambda x: rf"nullif({_norm(rf'CASE WHEN contains({_one(x)}, {chr(39)},{chr(39)}) THEN split_part({_one(x)}, {chr(39)},{chr(39)}, 1) ELSE regexp_extract({_one(x)}, {chr(39)}(\S+)${chr(39)}, 1) END')}, '')"
+_DOI = r"CASE WHEN trim(coalesce(doi, '')) <> '' THEN regexp_replace(rtrim(lower(regexp_extract(doi, '(10\.[0-9]{4,9}/[^\s\"<>]+)', 1)), '.,;:)]}>'), '(^10\.1101/.*)v[0-9]+$', '\1') END"
 
-def _sql_blocks(p: str) -> str:
-    t = f"CASE WHEN len({p}_seq) >= {mt.SHINGLE} THEN list_transform(range(0, len({p}_seq) - {mt.SHINGLE - 1}), lambda i: 't:' || array_to_string({p}_seq[i + 1:i + {mt.SHINGLE}], ' ')) ELSE ['t:' || array_to_string({p}_seq, ' ')] END"
-    return f"SELECT {p}_id, unnest(list_concat(list_filter(['d:' || {p}_doi, 'a:' || {p}_surname || '|' || {p}_year], lambda x: x IS NOT NULL), {t})) AS block FROM {p}"
 
-
-_P = f"(SELECT row_id AS paper_id, CASE WHEN row_index % 5 = 0 THEN regexp_replace(title, ' [^ ]+$', '') ELSE title END AS title, authors, CASE WHEN row_index % 4 = 0 THEN cast(try_cast(regexp_extract(publication_year, '([0-9]{{4}})', 1) AS INTEGER) + 1 AS VARCHAR) ELSE publication_year END AS publication_year, CASE WHEN row_index % 3 <> 0 THEN 'https://doi.org/' || upper(doi) END AS doi FROM {_F})"
-_MATCH = f"p AS ({_features(_P, 'paper_id', 'p')}), r AS ({_features(_F, 'row_id', 'r')}), c AS (SELECT DISTINCT p_id, r_id FROM ({_sql_blocks('p')}) JOIN ({_sql_blocks('r')}) USING (block)), s AS (SELECT p_id, r_id, {v.round6(f'cast({mt.score_sql(D)} AS DOUBLE)')} AS score FROM c JOIN p USING (p_id) JOIN r USING (r_id))"
-_OUT = f"""{_MATCH}, b AS (SELECT p_id, r_id, score, count(*) OVER (PARTITION BY p_id) AS n, row_number() OVER (PARTITION BY p_id ORDER BY score DESC, r_id) AS rn, lead(score) OVER (PARTITION BY p_id ORDER BY score DESC, r_id) AS nx FROM s),
-  o AS (SELECT p.p_id, r_id, coalesce(score, 0) AS score, {v.round6('coalesce(score, 0) - coalesce(nx, 0)')} AS gap, coalesce(n, 0) AS n_candidates FROM p LEFT JOIN (SELECT * FROM b WHERE rn = 1) USING (p_id)),
-  w AS (SELECT *, CASE WHEN score < 0.35 THEN 'unmatched' WHEN gap < 0.05 THEN 'ambiguous' ELSE 'matched' END AS oc FROM o)
+def _features(src: str, key: str, p: str) -> str:
+    """Features by DuckDB's own functions; the DOIs of these tables all hold the pattern."""
+    names = rf"list_distinct(list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(authors, ''), '(?i);|\band\b'), lambda a: trim(a)), lambda a: a <> ''), lambda a: {_family('a')}), lambda a: a IS NOT NULL))"
+    whole = f"SELECT {key} AS id, {_DOI} AS doi, {_norm('title')} AS norm, list_distinct(list_filter(string_split({_norm('title')}, ' '), lambda w: w <> '')) AS title, {names} AS names, {_family('authors')} AS first, try_cast(left(regexp_replace(coalesce(publication_year, ''), '[^0-9]', '', 'g'), 4) AS INTEGER) AS year FROM {src}"
+    return f"{p}_all AS ({whole}), {p} AS (SELECT min(id) AS id, count(DISTINCT id) AS n, doi, norm, list_sort(title) AS title, list_sort(names) AS names, first, year FROM {p}_all GROUP BY doi, norm, list_sort(title), list_sort(names), first, year)"
+
+
+_FINAL = "least(1.0, greatest(base, CASE WHEN same_doi AND NOT (shortest > 0 AND j < 0.4 AND inside < 0.6) THEN 0.95 WHEN j >= 0.999 THEN 0.62 + CASE apart WHEN 0 THEN 0.08 WHEN 1 THEN 0.04 ELSE 0 END WHEN shortest >= 6 AND (j >= 0.85 OR inside >= 0.9) THEN 0.68 WHEN j >= 0.75 AND apart = 0 THEN 0.6 ELSE 0 END, CASE WHEN same_first AND overlap > 0 AND apart = 0 AND j >= 0.4 THEN 0.8 ELSE 0 END))::DOUBLE"
+_MATCH = f"""{_features(_P, 'paper_id', 'p')}, {_features(_F, 'row_id', 'r')},
+  x AS (SELECT p.id AS p_id, r.id AS r_id, r.n AS r_n, r.title AS r_title, r.year AS r_year, coalesce(p.doi = r.doi, false) AS same_doi, len(list_intersect(p.title, r.title)) AS common, least(len(p.title), len(r.title)) AS shortest,
+    len(list_distinct(list_concat(p.title, r.title))) AS whole, coalesce(abs(p.year - r.year), 9) AS apart, coalesce(p.first = r.first, false) AS same_first, len(list_intersect(p.names, r.names)) AS shared, len(p.names) AS n_names, p.norm <> '' AND p.norm = r.norm AS exact FROM p, r),
+  y AS (SELECT *, CASE WHEN shortest > 0 THEN common / whole ELSE 0 END AS j, CASE WHEN shortest > 0 THEN common / shortest ELSE 0 END AS inside, CASE WHEN n_names > 0 THEN shared / n_names ELSE 0 END AS overlap FROM x),
+  z AS (SELECT *, 0.45 * same_doi::INTEGER + 0.3 * j + 0.15 * exact::INTEGER + CASE apart WHEN 0 THEN 0.1 WHEN 1 THEN 0.05 ELSE 0 END + 0.15 * same_first::INTEGER + 0.1 * overlap AS base FROM y WHERE same_doi OR (apart <= 1 AND shared > 0) OR j >= 1 / 3),
+  s AS (SELECT p_id, r_id, r_n, r_title, r_year, {v.round6(_FINAL)} AS score FROM z)"""
+_OUT = f"""{_MATCH}, b AS (SELECT *, sum(r_n) OVER (PARTITION BY p_id) AS n, row_number() OVER w AS rn, lead(score) OVER w AS nx, lead(r_title) OVER w AS nt, lead(r_year) OVER w AS ny FROM s WINDOW w AS (PARTITION BY p_id ORDER BY score DESC, r_id)),
+  t AS (SELECT p_id, r_id, score, n, CASE WHEN r_n > 1 THEN score ELSE coalesce(nx, 0) END AS up, coalesce(CASE WHEN r_n > 1 THEN len(r_title) > 0 AND r_year IS NOT NULL ELSE r_year = ny AND len(list_intersect(r_title, nt)) / len(list_distinct(list_concat(r_title, nt))) >= 0.85 END, false) AS twin FROM b WHERE rn = 1),
+  o AS (SELECT a.id AS p_id, r_id, coalesce(score, 0) AS score, {v.round6('coalesce(score, 0) - coalesce(up, 0)')} AS gap, coalesce(t.n, 0)::BIGINT AS n_candidates, coalesce(twin, false) AS twin FROM p_all a JOIN p ON a.doi IS NOT DISTINCT FROM p.doi AND a.norm = p.norm AND list_sort(a.names) = p.names AND a.first IS NOT DISTINCT FROM p.first AND a.year IS NOT DISTINCT FROM p.year LEFT JOIN t ON t.p_id = p.id),
+  w AS (SELECT *, CASE WHEN score < 0.35 THEN 'unmatched' WHEN gap < 0.15 AND NOT twin THEN 'ambiguous' ELSE 'matched' END AS oc FROM o)
   SELECT p_id, CASE WHEN oc <> 'unmatched' THEN r_id END AS r_id, score, gap, n_candidates, CASE WHEN oc = 'matched' AND count(*) FILTER (WHERE oc = 'matched') OVER (PARTITION BY r_id) > 1 THEN 'conflict' ELSE oc END AS outcome FROM w"""
 _verdict = v.plain_text("judge_verdict", D)
 _n = lambda cond: f"count(*) FILTER (WHERE {cond})"
@@ -140,9 +161,11 @@ ORACLES = {
     "metadata_coverage": f"SELECT column_name, eligibility, count(*) AS n FROM (SELECT *, {ig.eligibility_sql('current_value', D)} AS eligibility FROM ({_long(META)})) GROUP BY 1, 2",
     "listed_values": f"""SELECT column_name, raw, array_to_string({ig.listed_values('raw', D)}, '~') AS items, len({ig.listed_values('raw', D)}) AS n FROM (SELECT column_name, unnest([to_json(allowed_values)::VARCHAR, array_to_string(allowed_values, ' | '), array_to_string(allowed_values, ';') || ';;', ', ' || array_to_string(allowed_values, ', ')]) AS raw FROM schema_columns WHERE allowed_values IS NOT NULL)""",
     "control_word_shuffle": f"SELECT row_id, column_name, {ig.shuffled_words('coalesce(current_value, ' + chr(39) * 2 + ')', '7', D)} AS control_value FROM {_CELLS}",
-    "control_derangement": f"SELECT row_id, column_name, current_value, control_value, control_value = coalesce(current_value, '') AS unchanged FROM (SELECT row_id, column_name, current_value, coalesce(lead(coalesce(current_value, '')) OVER w, first_value(coalesce(current_value, '')) OVER w) AS control_value FROM (SELECT *, {_H} AS h FROM {_CELLS} WHERE eligibility = 'filled') WINDOW w AS (PARTITION BY column_name, ('0x' || substr(h, 1, 6))::BIGINT % 64 ORDER BY h))",
+    "control_derangement": f"WITH c AS (SELECT *, row_number() OVER (ORDER BY trim(current_value), {_H}) - 1 AS i, count(*) OVER () AS n FROM {_CELLS} WHERE eligibility = 'filled'), m AS (SELECT max(k) AS most FROM (SELECT count(*) AS k FROM c GROUP BY trim(current_value))) SELECT a.row_id, a.column_name, a.current_value, b.current_value AS control_value, trim(a.current_value) = trim(b.current_value) AS unchanged FROM c a JOIN m ON true JOIN c b ON b.i = (a.i + most) % a.n",
     "blank_columns": "SELECT unnest([" + ", ".join(f"'{c}'" for c in TARGETS) + "]) AS column_name",
-    "match_pairs": f"WITH {_MATCH} SELECT * FROM s",
+    "match_pairs": f"WITH {_MATCH} SELECT p_id, r_id, score, r_n FROM s",
+    "match_best": f"WITH {_MATCH} SELECT * FROM (SELECT p_id, row_number() OVER (PARTITION BY p_id ORDER BY score DESC, r_id)::INTEGER AS rank, r_id, score FROM s) WHERE rank <= 5",
+    "match_appended": f"SELECT p_id, (SELECT max(row_index) FROM genome_editing_tools_filled) + row_number() OVER (ORDER BY p_id) AS row_index FROM (WITH {_OUT}) WHERE outcome = 'unmatched'",
     "match_outcomes": f"WITH {_OUT}",
     "match_summary": f"SELECT outcome, count(*) AS n, count(r_id) AS with_row FROM (WITH {_OUT}) GROUP BY 1",
     "judge_summary": f"SELECT judge_label, count(*) AS n, {', '.join(f'{_n(f"vd = {chr(39)}{x}{chr(39)}")} AS {x}' for x in ('correct', 'incorrect', 'unclear'))}, {_n('vd IS NULL')} AS none, {', '.join(f'{_n(f"judge_response_mode = {chr(39)}{m}{chr(39)}")} AS {m}' for m in ('json_schema', 'json_object', 'text'))}, {_n('input_was_truncated')} AS truncated, sum(request_tokens)::BIGINT AS tokens FROM (SELECT DISTINCT *, {_verdict} AS vd FROM judge_records) GROUP BY 1",

@@ -9,10 +9,13 @@ from marginalia.functions import tokens as tk
 from marginalia.functions import values as v
 from marginalia.operators import anchor as an
 from marginalia.operators import retrieve as rt
-from marginalia.session import spread, table
+from marginalia.session import saved, spread, table
 
 TOP_K = 6
-AUTHORITY = ("direct_quote", "caption_grounded_figure_evidence", "calculation", "quote_plus_page", "approximate_highlight", "visual_interpretation_figure_evidence", "inferred_reasoning")
+# Sources of evidence, the most authoritative first.
+AUTHORITY = (
+    "direct_quote", "calculation", "caption_grounded_figure_evidence", "inferred_reasoning", "visual_interpretation_figure_evidence", "approximate_highlight", "quote_plus_page",
+)
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -32,19 +35,34 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return rt.score_passages(chunks(spark, d), queries_of(spark, d), doc="pdf_id", chunk="chunk_id", text="retrieval_text", query="column_name", query_text="query_text")
 
 
+def _signs(spark: SparkSession, d: str) -> DataFrame:
+    return rt.passage_signs(chunks(spark, d), "pdf_id", "chunk_id", "chunk_type", "display_text", "retrieval_text")
+
+
+def _ranking(spark: SparkSession, d: str, scored: DataFrame, score: str, boosted: bool = False) -> DataFrame:
+    return rt.ranking(scored, _signs(spark, d), queries_of(spark, d), doc="pdf_id", query="column_name", chunk="chunk_id", score=score, k=TOP_K, boosted=boosted)
+
+
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return rt.top_k(_scored(spark, d), "pdf_id", "column_name", "bm25", "chunk_id", TOP_K)
+    return _ranking(spark, d, _scored(spark, d), "bm25").drop("boosted")
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return rt.hybrid(_scored(spark, d), "pdf_id", "column_name")
 
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return rt.top_k(rt.hybrid(_scored(spark, d), "pdf_id", "column_name"), "pdf_id", "column_name", "hybrid", "chunk_id", TOP_K)
+    return _ranking(spark, d, _hybrid(spark, d), "hybrid").drop("boosted")
 
 
 def rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid score and boost; how many of the first six changed place is seen from both ranks."""
-    scored = rt.hybrid(_scored(spark, d), "pdf_id", "column_name").join(chunks(spark, d).select("chunk_id", "chunk_type", "display_text"), "chunk_id")
-    boosted = scored.join(queries_of(spark, d), "column_name").withColumn("boosted", F.expr(v.round6(f"hybrid + {rt.boost_sql('query_text', 'chunk_type', 'display_text')}")))
-    return rt.top_k(boosted, "pdf_id", "column_name", "boosted", "chunk_id", TOP_K).select("pdf_id", "column_name", "chunk_id", "hybrid", "boosted", "rank")
+    return _ranking(spark, d, _hybrid(spark, d), "hybrid", boosted=True)
+
+
+def rerank_changes(spark: SparkSession, d: str) -> DataFrame:
+    """At how many of the first ranks another passage stands once boosted (O2)."""
+    scored = saved(_hybrid(spark, d), "hybrid")  # ranked twice
+    return rt.rank_changes(_ranking(spark, d, scored, "hybrid"), _ranking(spark, d, scored, "hybrid", boosted=True), "pdf_id", "column_name", "chunk_id")
 
 
 def window(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +130,7 @@ def years(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "retrieval_idf": idf, "retrieval_bm25_topk": bm25, "retrieval_hybrid_topk": hybrid, "retrieval_rerank_topk": rerank, "retrieval_neighbours": window, "chunk_type_counts": type_counts, "blocks_typed": blocks,
+    "retrieval_idf": idf, "retrieval_bm25_topk": bm25, "retrieval_hybrid_topk": hybrid, "retrieval_rerank_topk": rerank, "retrieval_rank_changes": rerank_changes, "retrieval_neighbours": window, "chunk_type_counts": type_counts, "blocks_typed": blocks,
     "caption_asof": captions, "quote_located": located, "anchor_audit": audit, "evidence_outcomes": outcome_counts, "evidence_rank": ranked, "evidence_reused": reused, "figure_references": figure_references, "document_year": years,
 }
 
@@ -126,20 +144,39 @@ _SCORED = f"""{_T}, n AS (SELECT pdf_id, count(*) AS n_chunks, sum(len(toks))::B
   scored AS (SELECT pdf_id, s.column_name, chunk_id, {v.round6('s')} AS bm25, {v.ratio('hits', 'q_terms')} AS coverage FROM s JOIN (SELECT column_name, count(*) AS q_terms FROM q GROUP BY 1) USING (column_name)),
   hyb AS (SELECT *, {v.round6('CASE WHEN max(bm25) OVER (PARTITION BY pdf_id, column_name) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY pdf_id, column_name) ELSE 0 END * 0.7::DOUBLE + coverage * 0.3::DOUBLE')} AS hybrid FROM scored)"""
 _top = lambda src, score: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pdf_id, column_name ORDER BY {score} DESC, chunk_id)::INTEGER AS rank FROM {src}) WHERE rank <= {TOP_K}"
-_LOC = f"SELECT DISTINCT e.pdf_id, e.page_number, evidence_id, chunk_id FROM (SELECT *, {tk.token_text('quote_text', D)} AS q FROM evidence WHERE quote_text IS NOT NULL AND page_number IS NOT NULL) e JOIN {_C} c USING (pdf_id, page_number) WHERE length(trim(q)) > 0 AND contains({tk.token_text('display_text', D)}, q)"
+_all = lambda src, score: f"(SELECT c.pdf_id, q.column_name, c.chunk_id, coalesce({score}, 0.0::DOUBLE) AS {score} FROM {_C} c CROSS JOIN {_Q} q LEFT JOIN {src} s ON s.pdf_id = c.pdf_id AND s.column_name = q.column_name AND s.chunk_id = c.chunk_id)"
+_number = r"(?i)\b(number|count|max|maximum|highest|best|length|size|unit|efficiency|percent|percentage|rate|temperature|thickness|diameter|dose|concentration|bp|nt|kb|mm|um|nm|cm|fold)\b"
+_BOOSTED = rf"""(SELECT pdf_id, column_name, chunk_id, hybrid, {v.round6('hybrid + gain')} AS boosted FROM (SELECT a.*,
+  CASE WHEN regexp_matches(query_text, '{_number}') AND regexp_matches(concat_ws(' ', display_text, retrieval_text), '(^|[^\pL\pN_])\p{{Nd}}+(\.\p{{Nd}}+)?\s*(bp|nt|kb|mm|um|µm|nm|cm|x|fold)?($|[^\pL\pN_])') THEN 0.12 ELSE 0 END + CASE WHEN regexp_matches(query_text, '{_number}') AND chunk_type = 'table_region' THEN 0.1 ELSE 0 END
+  + CASE WHEN regexp_matches(query_text, '(?i)\b(fig(ure)?\.?|panel|plot|chart|graph|image|microscopy|visual)\b') AND chunk_type IN ('caption', 'figure') THEN 0.1 ELSE 0 END
+  + CASE WHEN regexp_matches(query_text, '(?i)\b(identifier|architecture|system|barcode|sequence|construct|vector|plasmid|name)\b') AND regexp_matches(display_text, '(^|[^\pL\pN_])([A-Z]{{2,}}[A-Za-z0-9-]*[A-Za-z0-9]|[A-Z]{{2,}}|[A-Za-z]+-[A-Za-z0-9-]*[A-Za-z0-9]|[A-Za-z]*\p{{Nd}}([A-Za-z0-9-]*[A-Za-z0-9])?)($|[^\pL\pN_])') THEN 0.05 ELSE 0 END
+  - CASE WHEN chunk_type IN ('abstract', 'section') THEN 0.02 ELSE 0 END AS gain FROM {_all('hyb', 'hybrid')} a JOIN {_C} c USING (pdf_id, chunk_id) JOIN {_Q} q USING (column_name)))"""
+_LONG = {"ß": "ss", "ς": "σ", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "µ": "μ", "ſ": "s"}
+
+
+def _fold(x: str) -> str:
+    """White space collapsed and case folded by DuckDB's own functions; the letters of these tables that fold otherwise than to lower case."""
+    out = rf"lower(trim(regexp_replace({x}, '[\s\x0b\x1c-\x1f\x85\pZ]+', ' ', 'g')))"
+    for a, b in _LONG.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+_LOC = f"SELECT DISTINCT e.pdf_id, e.page_number, evidence_id, chunk_id FROM (SELECT pdf_id, page_number, evidence_id, {_fold('quote_text')} AS q FROM evidence WHERE quote_text IS NOT NULL AND page_number IS NOT NULL) e JOIN (SELECT pdf_id, page_number, chunk_id, {_fold('display_text')} AS t FROM {_C}) c USING (pdf_id, page_number) WHERE q <> '' AND contains(t, q)"
 _AUDIT = f"""SELECT evidence_id, proposal_id, CASE WHEN page_number IS NULL OR page_number <= 0 THEN 'anchor_invalid:missing_or_invalid_page' WHEN trim(coalesce(quote_text, '')) = '' THEN 'anchor_invalid:missing_quote_text'
     WHEN chunk_id IS NOT NULL THEN 'anchor_valid' ELSE 'evidence_present_but_unvalidated' END AS outcome, chunk_id, coalesce(n_places, 0) AS n_places FROM (SELECT DISTINCT evidence_id, proposal_id, page_number, quote_text FROM evidence) LEFT JOIN (SELECT evidence_id, min(chunk_id) AS chunk_id, count(*) AS n_places FROM ({_LOC}) GROUP BY 1) USING (evidence_id)"""
 _lines = r"regexp_split_to_array(text, '\r\n|\r|\n')"
 _BLOCKS = f"SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS reading_order, unnest(l) AS block FROM (SELECT doc_id, {_lines} AS l FROM documents WHERE text IS NOT NULL)"
-_auth = "CASE source_type " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(AUTHORITY, 1)) + f" ELSE {len(AUTHORITY) + 1} END"
+_auth = "CASE source_type WHEN 'direct_quote' THEN 1 WHEN 'calculation' THEN 2 WHEN 'caption_grounded_figure_evidence' THEN 3 WHEN 'inferred_reasoning' THEN 4 WHEN 'visual_interpretation_figure_evidence' THEN 5 WHEN 'approximate_highlight' THEN 6 WHEN 'quote_plus_page' THEN 7 ELSE 99 END"
 ORACLES = {
     "retrieval_idf": f"WITH {_T}, n AS (SELECT pdf_id, count(*) AS n_chunks FROM t GROUP BY 1) SELECT pdf_id, term, df, n_chunks, {v.round6(rt.idf_sql('n_chunks', 'df'))} AS idf FROM (SELECT pdf_id, term, count(*) AS df FROM (SELECT pdf_id, unnest(list_distinct(toks)) AS term FROM t) GROUP BY 1, 2) JOIN n USING (pdf_id)",
-    "retrieval_bm25_topk": f"WITH {_SCORED} {_top('scored', 'bm25')}",
-    "retrieval_hybrid_topk": f"WITH {_SCORED} {_top('hyb', 'hybrid')}",
-    "retrieval_rerank_topk": f"WITH {_SCORED}, b AS (SELECT pdf_id, column_name, chunk_id, hybrid, {v.round6('hybrid + ' + rt.boost_sql('query_text', 'chunk_type', 'display_text', D))} AS boosted FROM hyb JOIN {_Q} q2 USING (column_name) JOIN (SELECT chunk_id, chunk_type, display_text FROM {_C}) USING (chunk_id)) {_top('b', 'boosted')}",
+    "retrieval_bm25_topk": f"WITH {_SCORED} {_top(_all('scored', 'bm25'), 'bm25')}",
+    "retrieval_hybrid_topk": f"WITH {_SCORED} {_top(_all('hyb', 'hybrid'), 'hybrid')}",
+    "retrieval_rerank_topk": f"WITH {_SCORED} {_top(_BOOSTED, 'boosted')}",
+    "retrieval_rank_changes": f"WITH {_SCORED} SELECT pdf_id, column_name, count(*) AS ranks, count(*) FILTER (WHERE x.chunk_id <> y.chunk_id) AS changed FROM ({_top(_all('hyb', 'hybrid'), 'hybrid')}) x JOIN ({_top(_BOOSTED, 'boosted')}) y USING (pdf_id, column_name, rank) GROUP BY 1, 2",
     "retrieval_neighbours": f"SELECT pdf_id, chunk_id, reading_order, NOT sel AS is_neighbour FROM (SELECT *, coalesce(lag(sel) OVER w, false) OR coalesce(lead(sel) OVER w, false) AS near FROM (SELECT *, chunk_type IS NOT DISTINCT FROM 'caption' AS sel FROM {_C}) WINDOW w AS (PARTITION BY pdf_id ORDER BY reading_order, chunk_id)) WHERE sel OR near",
     "chunk_type_counts": f"SELECT k.chunk_type, coalesce(n, 0) AS n, coalesce(with_section, 0) AS with_section FROM (SELECT unnest(['paragraph', 'section', 'caption', 'table_region', 'abstract', 'list_item', 'figure']) AS chunk_type) k LEFT JOIN (SELECT chunk_type, count(*) AS n, count(section_context) AS with_section FROM {_C} GROUP BY 1) USING (chunk_type)",
-    "blocks_typed": f"SELECT doc_id, reading_order, block_type, last_value(CASE WHEN block_type = 'heading' THEN {v.tidy('block', D)} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY reading_order ROWS UNBOUNDED PRECEDING) AS section, length(block)::INTEGER AS n_chars FROM (SELECT *, {rt.block_type_sql('block', D)} AS block_type FROM ({_BLOCKS}) WHERE NOT {v.is_empty('block', D)})",
+    "blocks_typed": rf"SELECT doc_id, reading_order, block_type, last_value(CASE WHEN block_type IN ('heading', 'section_heading') THEN {v.tidy('block', D)} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY reading_order ROWS UNBOUNDED PRECEDING) AS section, length(block)::INTEGER AS n_chars FROM (SELECT *, CASE WHEN length(t) < 80 AND t = upper(t) AND regexp_matches(t, '^\pL+$') THEN 'heading' WHEN length(t) < 120 AND regexp_matches(t, '^([0-9]+\.?\s+)?[A-Z][a-zA-Z\s]+$') THEN 'section_heading' WHEN starts_with(lower(t), 'abstract') THEN 'abstract' WHEN starts_with(lower(t), 'references') AND length(t) < 30 THEN 'heading' WHEN regexp_matches(t, '(?i)^(fig(ure)?\.?\s*[0-9]|table\s*[0-9])') THEN 'caption' ELSE 'paragraph' END AS block_type FROM (SELECT *, regexp_replace(block, '^[\s\x0b\x1c-\x1f\x85\pZ]+|[\s\x0b\x1c-\x1f\x85\pZ]+$', '', 'g') AS t FROM ({_BLOCKS}) WHERE NOT {v.is_empty('block', D)}))",
     "caption_asof": f"SELECT pdf_id, figure_no, min(CASE WHEN fig THEN reading_order END) AS figure_order, coalesce(min(CASE WHEN cap THEN reading_order END), -1) AS caption_order FROM (SELECT *, count(*) FILTER (WHERE fig) OVER (PARTITION BY pdf_id ORDER BY reading_order ROWS UNBOUNDED PRECEDING) AS figure_no FROM (SELECT pdf_id, reading_order, bool_or(chunk_type = 'section') AS fig, bool_or(chunk_type = 'caption') AS cap FROM {_C} GROUP BY 1, 2)) WHERE figure_no > 0 GROUP BY 1, 2",
     "quote_located": _LOC,
     "anchor_audit": _AUDIT,

@@ -130,16 +130,34 @@ QUERIES = {
 }
 
 D = v.DUCK
-_V = f"(SELECT DISTINCT proposal_id, pdf_id, proposed_value FROM proposals WHERE proposal_status = 'value_proposed' AND length(trim({tk.token_text('proposed_value', D)})) >= 4)"
-_vt, _qt = tk.token_text("proposed_value", D), tk.token_text("quote_text", D)
+_plain = lambda x: rf"trim(regexp_replace(lower({x}), '[^0-9a-z]+', ' ', 'g'))"
+_NUM = r"[-+]?(?:[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+_SUPPORT = rf"""WITH p AS (SELECT DISTINCT proposal_id, field_type, proposed_value, trim(regexp_replace(proposed_value, '\s+', ' ', 'g')) AS t FROM proposals WHERE proposal_status = 'value_proposed'),
+  n AS (SELECT *, field_type IN ('number', 'numeric') AS numeric, field_type = 'boolean' AS truth, regexp_replace(lower(t), '^(~|≈|approximately|approx\.|approx|about) *', '') AS bare, regexp_matches(lower(t), '^(~|≈|about([^0-9a-z_]|$)|approx(\.|imately)?([^0-9a-z_]|$))') AS near FROM p),
+  o AS (SELECT *, CASE WHEN near THEN bare ELSE lower(t) END AS b FROM n),
+  q AS (SELECT *, regexp_extract(b, '^({_NUM}) *(?:to|-|–|—) *({_NUM})$', 1) AS l, regexp_extract(b, '^({_NUM}) *(?:to|-|–|—) *({_NUM})$', 2) AS r, regexp_extract(b, '^({_NUM})$', 1) AS one FROM o),
+  a AS (SELECT *, try_cast(replace(CASE WHEN l <> '' THEN l ELSE one END, ',', '') AS DOUBLE) AS x, try_cast(replace(CASE WHEN l <> '' THEN r ELSE one END, ',', '') AS DOUBLE) AS y, CASE WHEN lower(t) IN ('true', 'yes', 'present', 'positive', '1') THEN true WHEN lower(t) IN ('false', 'no', 'absent', 'negative', '0') THEN false END AS said, nullif(lower(t), '') AS raw, {_plain('t')} AS word FROM q),
+  c AS (SELECT *, coalesce(CASE WHEN numeric THEN x IS NOT NULL AND y IS NOT NULL WHEN truth THEN said IS NOT NULL ELSE raw IS NOT NULL END, false) AS parsed FROM a),
+  e AS (SELECT proposal_id, quote_text AS body, true AS quoted, bool_or(coalesce(evidence_id, '') <> '') AS named FROM evidence WHERE quote_text IS NOT NULL GROUP BY 1, 2),
+  g AS (SELECT DISTINCT ON (proposal_id, pdf_id, page_number) proposal_id, pdf_id, page_number, bool_or(coalesce(evidence_id, '') <> '') OVER (PARTITION BY proposal_id, pdf_id, page_number) AS named FROM evidence WHERE pdf_id IS NOT NULL AND page_number IS NOT NULL),
+  h AS (SELECT pdf_id, page_number, string_agg(display_text, chr(10) ORDER BY reading_order, chunk_id) AS body FROM {passages._C} WHERE display_text IS NOT NULL GROUP BY 1, 2),
+  u AS (SELECT * FROM e UNION ALL SELECT proposal_id, body, false, named FROM g JOIN h USING (pdf_id, page_number)),
+  f AS (SELECT *, {_plain('body')} AS plain, list_transform(regexp_extract_all(translate(body, '０１２３４５６７８９', '0123456789'), '{_NUM}'), lambda i: try_cast(replace(i, ',', '') AS DOUBLE)) AS numbers FROM u WHERE trim(regexp_replace(body, '\s+', ' ', 'g')) <> ''),
+  j AS (SELECT c.*, f.quoted, parsed AND coalesce(named, false) AND coalesce(CASE WHEN numeric THEN len(list_filter(numbers, lambda i: i >= least(x, y) AND i <= greatest(x, y))) > 0
+      WHEN truth THEN len(list_intersect(string_split(plain, ' '), CASE WHEN said THEN ['true', 'yes', 'present', 'positive'] ELSE ['false', 'no', 'absent', 'negative'] END)) > 0
+      WHEN word <> '' THEN contains(plain, word) ELSE contains(lower(trim(regexp_replace(body, '\s+', ' ', 'g'))), raw) END, false) AS hit FROM c LEFT JOIN f USING (proposal_id)),
+  k AS (SELECT proposal_id, field_type, count(*) FILTER (WHERE quoted) AS n_quotes, count(*) FILTER (WHERE NOT quoted) AS n_pages, count(*) FILTER (WHERE hit) AS n_supporting, bool_or(parsed) AS parsed FROM j GROUP BY 1, 2)
+  SELECT proposal_id, field_type, n_quotes, n_pages, n_supporting, n_supporting > 0 AS supported, CASE WHEN field_type NOT IN ('boolean', 'categorical', 'number', 'numeric') OR field_type IS NULL THEN 'not_applicable' WHEN NOT parsed OR n_quotes + n_pages = 0 THEN 'unvalidated' WHEN n_supporting > 0 THEN 'supported' ELSE 'unsupported' END AS status FROM k"""
+_both = "concat_ws(' ', display_text, retrieval_text)"
+_V = f"(SELECT DISTINCT proposal_id, pdf_id, proposed_value FROM proposals WHERE proposal_status = 'value_proposed' AND length({_plain('proposed_value')}) >= 4)"
 _k = v.plain_text("title", D)
 _kinds = ("text_model_id", "comparison_kind", "join_status", "judge_model_id")
 ORACLES = {
     "run_statistics": "SELECT run_id, column_name, grouping(run_id, column_name)::INTEGER AS level, sum(n)::BIGINT AS judgements, count(*) AS judged, sum(greatest(n - 1, 0))::BIGINT AS repeated, sum(tokens)::BIGINT AS tokens, sum(truncated)::BIGINT AS truncated FROM (SELECT run_id, row_id, column_name, judge_label, count(*) AS n, sum(request_tokens) AS tokens, count(*) FILTER (WHERE input_was_truncated) AS truncated FROM judge_records GROUP BY 1, 2, 3, 4) GROUP BY GROUPING SETS ((run_id, column_name), (run_id), ())",
     "value_sets": f"SELECT benchmark_id, attribute, string_agg(value, ', ' ORDER BY value) AS values, count(*) AS n FROM ({' UNION '.join(f'SELECT benchmark_id, {chr(39)}{c}{chr(39)} AS attribute, {c} AS value FROM scored_cells WHERE {c} IS NOT NULL' for c in _kinds)}) GROUP BY 1, 2",
     "page_tail_text": f"SELECT pdf_id, page_number, left(string_agg(display_text, chr(10) ORDER BY reading_order, chunk_id), {TAIL_CHARS}) AS tail FROM (SELECT *, row_number() OVER (PARTITION BY pdf_id, page_number ORDER BY reading_order DESC, chunk_id DESC) AS k FROM {passages._C} WHERE display_text IS NOT NULL) WHERE k <= {TAIL} GROUP BY 1, 2",
-    "value_mentioned": f"SELECT proposal_id, count(DISTINCT chunk_id) AS n_passages FROM (SELECT *, {_vt} AS q FROM {_V}) p JOIN (SELECT pdf_id, chunk_id, {tk.token_text('display_text', D)} AS t FROM {passages._C}) c USING (pdf_id) WHERE contains(t, q) GROUP BY 1",
-    "support_proxy": f"SELECT *, n_supporting > 0 AS supported FROM (SELECT proposal_id, count(quote_text) AS n_quotes, count(*) FILTER (WHERE quote_text IS NOT NULL AND contains({_qt}, {_vt})) AS n_supporting FROM {_V} LEFT JOIN (SELECT DISTINCT proposal_id, quote_text FROM evidence WHERE quote_text IS NOT NULL) USING (proposal_id) GROUP BY 1)",
+    "value_mentioned": f"SELECT proposal_id, count(DISTINCT chunk_id) AS n_passages FROM (SELECT *, {_plain('proposed_value')} AS q FROM {_V}) p JOIN (SELECT pdf_id, chunk_id, {_plain(_both)} AS t FROM {passages._C}) c USING (pdf_id) WHERE contains(t, q) GROUP BY 1",
+    "support_proxy": _SUPPORT,
     "front_matter": f"SELECT doc_id, CASE WHEN dois = 1 THEN 'found' WHEN dois > 1 THEN 'ambiguous' ELSE 'missing' END AS doi_state, CASE WHEN dois = 1 THEN doi END AS doi, CASE WHEN years = 1 THEN 'found' WHEN years > 1 THEN 'ambiguous' ELSE 'missing' END AS year_state, CASE WHEN years = 1 THEN year END AS year FROM (SELECT doc_id, count(DISTINCT doi) AS dois, min(doi) AS doi, count(DISTINCT year) AS years, min(year) AS year FROM (SELECT doc_id, {v.doi_of('block', D)} AS doi, nullif({D.part('block', '[(]((?:19|20)[0-9][0-9])[)]')}, '') AS year FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order) AS k FROM ({passages._BLOCKS}) WHERE NOT {v.is_empty('block', D)}) WHERE k <= {FRONT_BLOCKS}) GROUP BY 1)",
     "row_identity_match": f"WITH t AS (SELECT row_id, i, {_k} AS k FROM (SELECT row_id, max(title) AS title, max(row_index) AS i FROM genome_editing_tools_filled WHERE row_id IS NOT NULL GROUP BY 1)), m AS (SELECT CASE WHEN i % 2 = 0 THEN row_id ELSE 'new_' || row_id END AS row_id, k FROM t), n AS (SELECT k, min(row_id) AS by_title, count(*) AS n FROM t WHERE k IS NOT NULL GROUP BY 1) SELECT m.row_id, coalesce(t.row_id, CASE WHEN n = 1 THEN by_title END) AS matched_id, CASE WHEN t.row_id IS NOT NULL THEN 'row_id' WHEN n = 1 THEN 'title' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how FROM m LEFT JOIN t ON t.row_id = m.row_id LEFT JOIN n ON n.k = m.k",
     "first_source_wins": "WITH u AS (SELECT column_name, field_type, 0 AS source_priority FROM schema_columns UNION ALL SELECT column_name, max(field_type), 1 FROM proposals GROUP BY 1 UNION ALL SELECT column_name || CASE WHEN join_status = 'excluded_proposal' THEN ' (excluded)' ELSE '' END, max(field_type), 2 FROM scored_cells GROUP BY 1) SELECT column_name, source_priority, field_type FROM u QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY source_priority, field_type) = 1",

@@ -47,7 +47,10 @@ def test_neighbours_blocks_and_captions(spark):
     assert {(r.chunk, r.is_neighbour) for r in near} == {("c1", True), ("c2", False), ("c3", True)}
     docs = spark.createDataFrame([(1, "Methods\r\nWe cut the sections. They were fixed.\n\nFigure 2. A map\n- item"), (2, None), (3, "")], "doc int, text string")
     got = rt.blocks(docs, "doc", "text").orderBy("reading_order").collect()
-    assert [(r.block_type, r.section) for r in got] == [("heading", "Methods"), ("paragraph", "Methods"), ("caption", "Methods"), ("list_item", "Methods")]
+    assert [(r.block_type, r.section) for r in got] == [("section_heading", "Methods"), ("paragraph", "Methods"), ("caption", "Methods"), ("paragraph", "Methods")]
+    kinds = {"RESULTS": "heading", "4. DISCUSSION": "section_heading", "2 Cell culture": "section_heading", "REFERENCES": "heading", "references (cont.)": "heading", "Abstract: we cut": "abstract", "figure 3 shows": "caption", "TABLE 2. Genes": "caption", "Figures of it.": "paragraph", "PCR-1": "paragraph"}
+    typed = spark.createDataFrame([(k,) for k in kinds], "block string").select("block", rt.block_type("block").alias("kind"))
+    assert {r.block: r.kind for r in typed.collect()} == kinds
     items = spark.createDataFrame([("p", 0, False, True), ("p", 1, True, False), ("p", 2, False, True), ("p", 3, False, True), ("p", 4, True, False)], "doc string, ord int, fig boolean, cap boolean")
     got = rt.attach_captions(items, "doc", "ord", F.col("fig"), F.col("cap")).collect()
     assert {(r.figure_order, r.caption_order) for r in got} == {(1, 2), (4, None)}
@@ -65,16 +68,74 @@ def test_matching_outcomes(spark):
     rows = spark.createDataFrame([("r1", "a map of the kidney cortex", "Lee, Ann", "2020", "10.1000/a"), ("r2", "a map of the liver lobule", "Ray, Bo", "2021", None), ("r3", "unrelated", None, None, None)], schema)
     papers = spark.createDataFrame([("p1", "A map of the kidney cortex", "Ann Lee", "2020", "doi:10.1000/A."), ("p2", "a map of the kidney cortex!", "X", None, "10.1000/a"), ("p3", "nothing alike here at all", None, None, None), ("p4", "A Map of the Liver Lobule", "Bo Ray", "2022", None)], schema)
     p, r = mt.features(papers, "id", "title", "authors", "year", "doi", "p"), mt.features(rows, "id", "title", "authors", "year", "doi", "r")
-    out = {x.p_id: (x.r_id, x.outcome) for x in mt.outcomes(p, mt.score_pairs(p, r)).collect()}
+    out = {x.p_id: (x.r_id, x.outcome) for x in mt.outcomes(p, r).collect()}
     assert out == {"p1": ("r1", "conflict"), "p2": ("r1", "conflict"), "p3": (None, "unmatched"), "p4": ("r2", "matched")}
-    assert [x.row_index for x in mt.append_unmatched(mt.outcomes(p, mt.score_pairs(p, r)), 7).collect()] == [8]
+    assert [x.row_index for x in mt.append_unmatched(mt.outcomes(p, r), 7).collect()] == [8]
+
+
+@pytest.mark.parametrize(
+    "paper,row,score",
+    [
+        (("a map of the kidney", "Lee, Ann", "2020", None), ("a map of the kidney", None, None, None), 0.62),  # same title alone
+        (("a map of the kidney", "Lee, Ann", "2020", None), ("a map of the kidney", None, "2021", None), 0.66), (("a map of the kidney", "X", "2020", None), ("a map of the kidney", "Y", "2020", None), 0.70),
+        (("a map of the kidney", "Ann Lee", "2020", None), ("a map of the kidney", "Lee, Ann; Ray, Bo", "2020", None), 0.8),  # 0.30 + 0.15 + 0.15 + 0.10 + 0.10
+        (("one two", "X", "2020", "10.1000/a"), ("one two three four", "Y", "2019", "https://doi.org/10.1000/A."), 0.95), (("alpha beta gamma", None, None, "10.1000/a"), ("one two three", None, None, "10.1000/a"), 0.45),  # titles contradict the DOI
+        (("a b c d e f g", None, None, None), ("a b c d e f g h i j k", None, None, None), 0.68), (("a b c d", None, "2020", None), ("a b c d e", None, "2020", None), 0.60), (("a b c d", None, None, None), ("a b c e", None, None, None), 0.18),
+    ],
+)
+def test_matching_score(spark, paper, row, score):
+    schema = "id string, title string, authors string, year string, doi string"
+    p = mt.features(spark.createDataFrame([("p", *paper)], schema), "id", "title", "authors", "year", "doi", "p")
+    r = mt.features(spark.createDataFrame([("r", *row)], schema), "id", "title", "authors", "year", "doi", "r")
+    assert [x.score for x in mt.score_pairs(p, r).collect()] == [score]
+
+
+def test_papers_without_fields_meet_nothing(spark):
+    blank = spark.createDataFrame([(i, None, None, None, None) for i in range(50)], "id int, title string, authors string, year string, doi string")
+    p, r = (mt.features(blank, "id", "title", "authors", "year", "doi", x) for x in "pr")
+    assert mt.candidate_pairs(p, r).count() == 0 and {x.outcome for x in mt.outcomes(p, r).collect()} == {"unmatched"}
+
+
+def test_rows_alike_are_no_rivals_but_near_ones_are(spark):
+    schema = "id string, title string, authors string, year string, doi string"
+    rows = [("r1", "a map of the kidney cortex", "Lee, Ann", "2020", None), ("r2", "a map of the kidney cortex", "Lee, Ann", "2020", None), ("r3", "two kinds of liver", None, None, None), ("r4", "two kinds of liver cell", None, None, None)]
+    papers = [("p1", "a map of the kidney cortex", "Lee, Ann", "2020", None), ("p2", "two kinds of liver cells", None, None, None)]
+    p, r = mt.features(spark.createDataFrame(papers, schema), "id", "title", "authors", "year", "doi", "p"), mt.features(spark.createDataFrame(rows, schema), "id", "title", "authors", "year", "doi", "r")
+    assert {x.p_id: (x.r_id, x.outcome) for x in mt.outcomes(p, r).collect()} == {"p1": ("r1", "matched"), "p2": (None, "unmatched")}
+
+
+def test_derangement_moves_every_value(spark):
+    cells = [(f"r{i}", c, x) for i in range(20) for c, x in (("a", f"v{i % 5}"), ("b", "same"), ("c", None), ("d", " "))]
+    df = spark.createDataFrame(cells, "id string, col string, val string")
+    out = ig.deranged(df.where("col <> 'b' or id < 'r14'"), "col", "id", "val", 3).collect()
+    assert out and not any(r.unchanged for r in out) and sorted(r.val for r in out) == sorted(r.control_value for r in out) and {r.col for r in out} == {"a", "b"}
+    most = ig.deranged(df.where("col = 'b'"), "col", "id", "val", 3).collect()
+    assert len(most) == 20 and all(r.unchanged for r in most)
+    assert ig.deranged(df.limit(0), "col", "id", "val").collect() == []
+
+
+def test_full_ranking_and_boosts(spark):
+    chunks = spark.createDataFrame([("p", "c1", "paragraph", "the length was 5 mm", ""), ("p", "c2", "caption", "a picture", ""), ("p", "c3", "abstract", "nothing here", ""), ("p", "c4", "table_region", "ABC-1 only", "")], "doc string, chunk string, kind string, show string, text string")
+    queries = spark.createDataFrame([("num", "the length"), ("fig", "which figure"), ("id", "vector name"), ("none", "tissue")], "query string, query_text string")
+    scored = spark.createDataFrame([("p", "num", "c3", 0.05)], "doc string, query string, chunk string, s double")
+    signs = rt.passage_signs(chunks, "doc", "chunk", "kind", "show", "text")
+    got = {(r.query, r["rank"]): (r.chunk, r.boosted) for r in rt.ranking(scored, signs, queries, doc="doc", query="query", chunk="chunk", score="s", k=2, boosted=True).collect()}
+    assert got[("num", 1)] == ("c4", 0.22) and got[("num", 2)] == ("c1", 0.12) and got[("fig", 1)] == ("c2", 0.1) and got[("id", 1)] == ("c1", 0.05) and got[("none", 1)] == ("c1", 0.0)
+    plain = [r.chunk for r in rt.ranking(scored, signs, queries, doc="doc", query="query", chunk="chunk", score="s", k=6).where("query = 'num'").orderBy("rank").collect()]
+    assert plain == ["c3", "c1", "c2", "c4"]
+
+
+def test_first_balanced_object_is_taken(spark):
+    cases = {'x {"a": {"b": "}"}} {"c": 1}': '{"a": {"b": "}"}}', '{"a": "\\\\"} {"b": 2}': '{"a": "\\\\"}', '{"a": 1': None, '{"q": "say \\"}\\" now"} tail}': '{"q": "say \\"}\\" now"}'}
+    df = spark.createDataFrame([(k,) for k in cases], "x string").select("x", F.expr(ig.repaired_json("x")).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == cases
 
 
 def test_controls_keep_the_values(spark):
     long = spark.createDataFrame([(f"r{i}", "c", f"w{i} x y z") for i in range(50)], "row string, col string, val string")
     shuffled = long.selectExpr("val", f"{ig.shuffled_words('val', '3')} as new").collect()
     assert all(sorted(r.val.split()) == sorted(r.new.split()) and r.val != r.new for r in shuffled)
-    out = ig.deranged(long, "col", "row", "val", buckets=4).collect()
+    out = ig.deranged(long, "col", "row", "val").collect()
     assert sorted(r.control_value for r in out) == sorted(r.val for r in out) and not any(r.unchanged for r in out)
 
 
