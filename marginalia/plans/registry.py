@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import evaluation, extraction, grounding, intake, passages, problems, reviewing, streams, studies, summaries
+from marginalia.plans import evaluation, extraction, grounding, intake, passages, problems, reviewing, scorecards, streams, studies, summaries
 
-MODULES = (problems, evaluation, reviewing, studies, passages, intake, streams, extraction, summaries, grounding)
+MODULES = (problems, evaluation, reviewing, studies, passages, intake, streams, extraction, summaries, grounding, scorecards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
