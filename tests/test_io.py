@@ -38,17 +38,71 @@ def test_description_row_and_schema(spark, tmp_path):
     assert [(r.column_name, r.description, r.field_type, r.allowed_values) for r in schema] == [("a", "better", "numeric", []), ("b", "plain", None, ["x", "y, z"]), ("c", "d", "text", ["u", "v"])]
 
 
+def test_encoding_is_told_by_every_byte_of_every_file(spark, tmp_path):
+    write(tmp_path / "mixed" / "a.csv", ("Note\n" + "plain line\n" * 20_000 + "Größe –\n").encode("cp1252"))
+    write(tmp_path / "mixed" / "b.csv", "Note\nGröße – b\n".encode())
+    rows = {r.Note for r in tb.read_csv(spark, str(tmp_path / "mixed")).collect()}
+    assert rows == {"plain line", "Größe –", "Größe – b"}
+    plain, western, quoted = tb.file_facts(spark, str(tmp_path / "mixed"))
+    assert len(plain) == len(western) == 1 and not quoted
+    assert tb.file_facts(spark, write(tmp_path / "q.csv", 'a\n"x\ny"\n'))[2]
+
+
 def test_json_lines_and_runs(spark, tmp_path):
-    run = tmp_path / "runs" / "r1"
-    write(run / "run.json", json.dumps({"run_id": "r1", "artifact_schema_version": "2"}))
-    write(run / "proposals" / "proposals.jsonl", json.dumps({"run_id": "r1", "row_id": "a", "column_name": "c", "proposed_value": "v"}) + "\n{broken\n" + json.dumps({"run_id": "r1", "row_id": None, "column_name": "c"}) + "\n")
-    found = tb.run_directories(root=str(tmp_path / "runs"))
+    line = lambda **kw: json.dumps({"run_id": "r1", "row_id": "a", "column_name": "c"} | kw) + "\n"
+    for name, version, mode in (("r1", "main_run_bundle", "normal"), ("r2", "9", "normal"), ("r3", "main_run_bundle", "eval"), ("r4", "main_run_bundle", "eval")):
+        run = tmp_path / "runs" / name
+        more = {"eval": {"gold_table_hash": "h", "gold_snapshot_path": "p"}, "masked_table_hash": "m", "masked_table_snapshot_path": "s"} if name == "r4" else {}
+        write(run / "run.json", json.dumps({"run_id": name, "artifact_schema_version": version, "run_mode": mode} | more))
+        write(run / "proposals" / "proposals.jsonl", line(run_id=name, proposed_value="v") + ("{broken\n" + line(row_id=None) if name == "r1" else ""))
+    write(tmp_path / "runs" / "no_run" / "x.txt", "x")
+    found = tb.run_directories(spark, root=str(tmp_path / "runs"))
     proposals, errors = tb.read_runs(spark, found)
-    assert proposals.count() == 2 and sorted(r.rule for r in errors.collect()) == ["join field missing", "malformed line"]
+    assert len(found) == 4 and {r.run_id for r in proposals.collect()} == {"r1", "r4"}
+    rules = [r.rule for r in errors.collect()]
+    assert {x: rules.count(x) for x in set(rules)} == {"optional file missing": 16, "unknown version": 1, "provenance missing": 1, "join field missing": 1, "malformed line": 1}
     with pytest.raises(ValueError):
-        tb.run_directories(["x"], "y")
+        tb.run_directories(spark, ["x"], "y")
     with pytest.raises(FileNotFoundError):
-        tb.run_directories([str(tmp_path)])
+        tb.run_directories(spark, [str(tmp_path / "nowhere")])
+    lost, why = tb.read_runs(spark, [str(tmp_path / "runs" / "no_run")])
+    assert lost.count() == 0 and why.where("rule = 'required file missing'").count() == 2
+
+
+def test_side_cars(spark, tmp_path):
+    run = tmp_path / "runs" / "r1"
+    e = {"evidence_schema_version": "main_evidence"}
+    write(run / "evidence" / "evidence.jsonl", "\n".join(json.dumps(e | x) for x in ({"evidence_id": "e1", "quote": "a", "page_number": 2}, {"id": "e2", "page": 1, "source_text": "whole"}, {"page": 3})) + "\n{bad\n" + json.dumps({"evidence_id": "e3"}))
+    write(run / "evidence" / "evidence.json", json.dumps([e | {"evidence_id": "e1", "quote_text": "listed", "page": 4}]))
+    write(run / "evidence" / "page_text.json", json.dumps({"1": "first", "2": " ", "x": "no"}))
+    write(run / "run_summary.json", json.dumps({"metrics": {"a": 1, "b": [1, 2]}, "run_id": "r1", "none": None}))
+    evidence, bad = tb.read_evidence(spark, [str(run)])
+    assert {(r.evidence_id, r.page, r.quote_text, r.page_text) for r in evidence.collect()} == {("e1", 4, "listed", None), ("e2", 1, None, "whole")}
+    assert sorted(r.rule for r in bad.collect()) == ["malformed record", "no id", "unknown version"]
+    assert [(r.page, r.page_text) for r in tb.read_page_texts(spark, [str(run)]).collect()] == [(1, "first")]
+    assert {(r.key, r.value) for r in tb.read_summaries(spark, str(tmp_path / "runs")).collect()} == {("metrics.a", "1"), ("metrics.b", "[1, 2]"), ("run_id", "r1")}
+    embedded = spark.createDataFrame([("p", "e1", 9)], "proposal_id string, evidence_id string, page int")
+    refs = spark.createDataFrame([("p", "e1"), ("p", "e2"), ("p", "e2"), ("q", "e1"), ("q", "gone")], "proposal_id string, evidence_id string")
+    got = tb.joined_evidence(embedded, evidence, refs).collect()
+    assert {(r.proposal_id, r.evidence_id, r.page, r.is_embedded) for r in got} == {("p", "e1", 9, True), ("p", "e2", 1, False), ("q", "e1", 4, False)}
+    write(tmp_path / "runtimes.json", "{}")
+    assert tb.find_upwards(spark, str(run), "runtimes.json") == str(tmp_path / "runtimes.json") and tb.find_upwards(spark, str(run), "other.json") is None and tb.find_upwards(spark, str(run), "x", explicit=str(run)) == str(run)
+    write(tmp_path / "deep" / "er" / "a_filled.csv", "x\n1\n")
+    assert [p.rsplit("/", 1)[1] for p in tb.find_tables(spark, str(tmp_path))] == ["a_filled.csv"]
+
+
+def test_evaluator_schema(spark, tmp_path):
+    listed = {"columns": [{"name": "score", "field_type": "Number", "numeric_tolerance": {"abs": 0.5}}, {"name": "kind", "field_type": "categorical", "aliases": {"a": "b"}, "allowed_values": ["b"]}], "global_numeric_tolerance": {"abs_tol": 0.1}, "excluded_columns": ["notes"]}
+    table, settings = tb.read_eval_schema(spark, write(tmp_path / "s.json", json.dumps(listed)))
+    assert {(r.column_name, r.field_type, r.abs_tol) for r in table.collect()} == {("score", "numeric", 0.5), ("kind", "categorical", None)} and settings["abs_tol"] == 0.1 and settings["excluded"][-1] == "notes"
+    names = spark.createDataFrame([("notes",), ("Title",), ("score",)], "c string")
+    assert [r.c for r in names.where(tb.is_scored(F.col("c"), settings)).collect()] == ["score"]
+    keyed, settings = tb.read_eval_schema(spark, write(tmp_path / "k.json", json.dumps({"columns": {"score": {}}, "target_columns": ["Title"]})))
+    assert [r.column_name for r in keyed.collect()] == ["score"] and [r.c for r in names.where(tb.is_scored(F.col("c"), settings)).collect()] == ["Title"]
+    assert tb.read_eval_schema(spark, None)[0].count() == 0
+    for bad in ([{"name": " "}], [{"name": "x", "field_type": "colour"}]):
+        with pytest.raises(ValueError):
+            tb.read_eval_schema(spark, write(tmp_path / "b.json", json.dumps({"columns": bad})))
 
 
 def test_gold_wide_and_long(spark, tmp_path):
