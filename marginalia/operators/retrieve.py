@@ -158,3 +158,72 @@ def attach_captions(items: DataFrame, doc: str, order: str, is_figure, is_captio
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     marked = items.withColumn("figure_no", F.count_if(is_figure).over(w))
     return marked.where("figure_no > 0").groupBy(doc, "figure_no").agg(F.min(F.when(is_figure, F.col(order))).alias("figure_order"), F.min(F.when(is_caption, F.col(order))).alias("caption_order"))
+
+
+# Kinds of block and the kind of passage each becomes, and the passages an index holds.
+PASSAGE_KINDS = {"paragraph": "paragraph", "heading": "section", "section_heading": "section", "caption": "caption", "table_region": "table_region", "abstract": "abstract", "list_item": "list_item", "reference": "paragraph", "unknown": "paragraph"}
+ALWAYS_INDEXED = ("paragraph", "section", "abstract", "list_item", "figure")
+# What a request is about, the pattern that tells, and the terms that papers use for it.
+HINTS = (
+    ("count_like", r"(?iU)(^\s*#)|\b(how many|number|count|total|sample size|n\s*=)\b", ("count", "total", "number", "pairs", "pair", "combinations", "constructed", "tested", "included", "coverage")),
+    ("variant_or_sequence", r"(?U)\b(variant|variants|sequence|sequences|pair|pairs|barcode|barcodes|construct|constructs|plasmid|plasmids|element|elements)\b", ("sequences", "pairs", "combinations", "plasmids", "barcodes")),
+    ("vector_or_backbone", r"(?U)\b(episomal|ori|origin of replication|backbone|vector)\b", ("episomal", "plasmid", "vector", "backbone", "origin", "replication", "polya")),
+    ("methods_or_library", r"(?U)\b(clon|library|design|construct|assay format|readout)\b", ("methods", "design", "library", "cloning", "construct")),
+)
+
+
+def expanded_queries(columns: DataFrame, column: str, description: str) -> DataFrame:
+    """``columns`` with ``tags`` of what is asked for, ``hint_terms`` in first-seen order, and ``query_text`` with the hints behind it."""
+    asked = F.lower(F.concat_ws(" ", F.col(column), F.coalesce(F.col(description), F.lit(""))))
+    none = F.array().cast("array<string>")
+    tags = F.array_compact(F.array(*[F.when(asked.rlike(p), F.lit(tag)) for tag, p, _ in HINTS]))
+    terms = none
+    for _, p, words in HINTS:
+        terms = F.array_union(terms, F.when(asked.rlike(p), F.array(*map(F.lit, words))).otherwise(none))
+    base = F.trim(F.concat(F.col(column), F.lit(": "), F.coalesce(F.col(description), F.lit(""))))
+    out = columns.withColumn("tags", tags).withColumn("hint_terms", terms)
+    return out.withColumn("query_text", F.when(F.size("hint_terms") > 0, F.concat(base, F.lit("\nRetrieval hints: "), F.array_join("hint_terms", " "))).otherwise(base))
+
+
+def passages_of_blocks(typed: DataFrame, doc: str, order: str, text: str, kind: str, section: str) -> DataFrame:
+    """Passages of typed blocks: ``chunk_type``, ``display_text``, ``retrieval_text`` with its kind and section before it. Blank blocks give none."""
+    shown = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
+    to = F.coalesce(F.create_map(*[F.lit(x) for kv in PASSAGE_KINDS.items() for x in kv])[F.col(kind)], F.lit("paragraph"))
+    heading = F.col(kind).isin("heading", "section_heading")
+    inner = F.when(F.col(section).isNotNull() & ~heading, F.concat(F.lit("[Section: "), F.col(section), F.lit("] "), shown)).otherwise(shown)
+    marks = F.concat_ws(" ", F.concat(F.lit("[Chunk type: "), to, F.lit("]")), F.when(F.col(section).isNotNull(), F.concat(F.lit("[Section: "), F.col(section), F.lit("]"))), F.when(to == "table_region", F.lit("[Table]")))
+    return typed.where(shown != "").select(doc, order, to.alias("chunk_type"), shown.alias("display_text"), F.trim(F.concat(marks, F.lit(" "), inner)).alias("retrieval_text"), F.col(section).alias("section_context"))
+
+
+def figure_passages(figures: DataFrame, captions: DataFrame, doc: str) -> DataFrame:
+    """A passage for each figure, its caption its own or that of its caption block; figures without caption and id give none.
+
+    ``figures``: doc, figure_id, caption_text, caption_block_id, nearby_text; ``captions``: doc, block_id, text.
+    """
+    c = captions.groupBy(doc, F.col("block_id").alias("caption_block_id")).agg(F.min("text").alias("__block"))
+    joined = figures.join(c, [doc, "caption_block_id"], "left")
+    caption = F.coalesce(F.nullif(F.trim("caption_text"), F.lit("")), F.nullif(F.trim("__block"), F.lit("")))
+    ref = F.nullif(F.trim("figure_id"), F.lit(""))
+    mark = F.concat(F.lit("[Figure: "), ref, F.lit("]"))
+    text = F.concat_ws(" ", F.lit("[Chunk type: figure]"), mark, F.coalesce(mark, F.lit("[Figure: ]")), caption, F.nullif(F.trim("nearby_text"), F.lit("")))
+    return joined.where(caption.isNotNull() | ref.isNotNull()).select(doc, ref.alias("figure_ref"), F.lit("figure").alias("chunk_type"), F.coalesce(caption, ref).alias("display_text"), text.alias("retrieval_text"), caption.alias("caption_text"))
+
+
+def fingerprints(passages: DataFrame, doc: str, *parts: str) -> DataFrame:
+    """One fingerprint per document over its passages in any order: their number and two sums of hashes, so nothing is gathered."""
+    row = F.struct(*parts)
+    h = F.conv(F.substring(F.sha2(F.to_json(row), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return passages.groupBy(doc).agg(F.count("*").alias("n"), F.sum(h).alias("s"), F.bit_xor(F.xxhash64(row)).alias("x")).select(doc, F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"), F.col("x").cast("string")), 256).alias("fingerprint"))
+
+
+def index_plan(current: DataFrame, indexed: DataFrame, doc: str) -> DataFrame:
+    """What an index needs: documents to ``reuse`` (same fingerprint), to ``build`` (new or changed) and to ``drop`` (gone)."""
+    old = indexed.select(doc, F.col("fingerprint").alias("__old"))
+    joined = current.select(doc, F.col("fingerprint").alias("__new")).join(old, doc, "full_outer")
+    return joined.select(doc, F.when(F.col("__new").isNull(), "drop").when(F.col("__new").eqNullSafe(F.col("__old")), "reuse").otherwise("build").alias("action"))
+
+
+def indexed_passages(chunks: DataFrame, kind: str, *, captions: bool = True, tables: bool = True) -> DataFrame:
+    """Passages an index holds; captions and tables may be left out."""
+    kinds = [*ALWAYS_INDEXED, *(["caption"] if captions else []), *(["table_region"] if tables else [])]
+    return chunks.where(F.coalesce(F.col(kind).isin(*kinds), F.lit(False)))
