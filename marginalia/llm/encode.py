@@ -288,6 +288,20 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str | None = No
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, T.StructType(fields))
 
 
+def decode_ids(df: DataFrame, key: str, ids: str, vocabulary: str | None = None, *, text_col: str = "text") -> DataFrame:
+    """``key``, ``ids`` and the text they stand for; null ids give null. Bytes that are no UTF-8 become replacement characters."""
+    path = vocabulary or default_vocabulary()
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(ids, df.schema[ids].dataType), T.StructField(text_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            texts = [None if x is None else enc.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=schema.names)
+
+    return df.select(F.col(f"`{key}`"), F.col(f"`{ids}`")).mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, text: str, vocabulary: str | None = None, *, count_col: str = "n_tokens") -> DataFrame:
     """``df`` without ``text``, with the number of tokens of each text (0 for null and empty)."""
     path = vocabulary or default_vocabulary()

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from marginalia.llm.canonical import map_to_list
 from marginalia.llm.consensus import consensus
-from marginalia.llm.encode import encode_texts
+from marginalia.llm.encode import decode_ids, encode_texts
 from marginalia.llm.mixture import mix_sources
 from marginalia.llm.spam import find_spam
 from marginalia.llm.split import split_texts
@@ -81,6 +81,18 @@ def p6_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consensus(spark, sf_dir)[1]
 
 
+def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes and agreement of each cell: what of the consensus follows without a model."""
+    return _consensus(spark, sf_dir)[0].select(*CELL, "n_votes", F.floor(F.col("agreement") * 1000000 + 0.5).alias("agreement_ppm"))
+
+
+def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the ids of each text lead back to it, character for character."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = decode_ids(encode_texts(docs, "doc_id", "text"), "doc_id", "ids")
+    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("own")).join(back.select("doc_id", F.md5("text").alias("back"), F.size("ids").alias("n_ids")), "doc_id").select("doc_id", (F.col("own") == F.col("back")).alias("text_kept"), (F.col("n_ids") == 0).alias("no_ids"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
@@ -114,11 +126,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_audit": p4_audit, "p6_found": p6_found, "p6_cells": p6_cells,
+    "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_audit": p4_audit, "p6_found": p6_found, "p6_cells": p6_cells, "p6_agreement": p6_agreement, "p7_roundtrip": p7_roundtrip,
     "p6_judges": p6_judges, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_audit": p8_audit, "p9_found": p9_found,
 }
 
+_USABLE = "(SELECT run_id, row_id, column_name, judge_label, vd FROM (SELECT *, regexp_replace(lower(judge_verdict), '[^a-z]+', '', 'g') AS vd FROM judge_records) WHERE vd IN ('correct', 'incorrect', 'unclear') QUALIFY row_number() OVER (PARTITION BY run_id, row_id, column_name, judge_label ORDER BY judged_at DESC NULLS LAST, vd = 'unclear' DESC, vd = 'incorrect' DESC) = 1)"
 ORACLES = {
+    "p6_agreement": f"WITH c AS (SELECT run_id, row_id, column_name, count(*) AS n, count(*) FILTER (WHERE vd = 'correct') AS a, count(*) FILTER (WHERE vd = 'incorrect') AS b, count(*) FILTER (WHERE vd = 'unclear') AS c FROM {_USABLE} GROUP BY 1, 2, 3) SELECT run_id, row_id, column_name, n::INTEGER AS n_votes, CASE WHEN n > 1 THEN floor((a * (a - 1) + b * (b - 1) + c * (c - 1)) / (n * (n - 1))::DOUBLE * 1000000 + 0.5)::BIGINT END AS agreement_ppm FROM c",
+    "p7_roundtrip": "SELECT doc_id, true AS text_kept, coalesce(text, '') = '' AS no_ids FROM documents",
     "p8_audit": "SELECT t.source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0) AS has_documents, true AS within_repeats, true AS share_met FROM mix_targets t",
     "p4_audit": "SELECT DISTINCT c.chunk_id, true AS within_budget, true AS overlap_kept, true AS text_kept FROM chunks c JOIN text_models m ON c.text_model_id = m.model_id WHERE length(c.retrieval_text) > m.working_context_budget",
     "p4_found": "SELECT DISTINCT c.chunk_id FROM chunks c JOIN text_models m ON c.text_model_id = m.model_id WHERE length(c.retrieval_text) > m.working_context_budget",
