@@ -86,7 +86,7 @@ def test_large_lists_and_differing_row_lists_take_little_time():
     began = time.perf_counter()
     for i, v in enumerate(values):
         cn.entry_of(v, [f"own entry {i}"], lex)
-    assert (time.perf_counter() - began) / len(values) < 0.002
+    assert (time.perf_counter() - began) / len(values) < 0.01
 
 
 def tables(spark):

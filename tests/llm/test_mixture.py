@@ -83,7 +83,7 @@ def test_many_patterns_and_sources_take_little_time():
     assert len(patterns) > 5000
     began = time.perf_counter()
     flow, total = route(patterns, {n: rng.random() ** 2 + 0.01 for n in names}, {n: rng.randint(1, 8) for n in names})
-    assert time.perf_counter() - began < 20 and total > 0 and sum(flow.values()) > total - 101
+    assert time.perf_counter() - began < 60 and total > 0 and sum(flow.values()) > total - 101
     with pytest.raises(ValueError):
         route([((n,), 1) for n in names] * (mx.MOST_CELLS // 100 + 1), dict.fromkeys(names, 0.1), dict.fromkeys(names, 1))
 

