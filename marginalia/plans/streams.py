@@ -17,22 +17,23 @@ def _utc(c: str):
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    return lg.events_stream(spark, d, "events*.parquet", schema).withColumn("at", F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)")).withColumn("amount", F.floor(F.col("value")).cast("bigint"))
+    """The events as a stream of several files, in the order they came in; one file is one batch."""
+    events = table(spark, d, "events")
+    return lg.events_stream(spark, lg.split_by_time(events, "ts", 5), "*.parquet", events.schema).withColumn("at", F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)")).withColumn("amount", F.floor(F.col("value")).cast("bigint"))
 
 
 def latest(spark: SparkSession, d: str) -> DataFrame:
     s = _events(spark, d).where("user_id is not null").selectExpr("user_id as proposal_id", "ts as decided_at", "event_id as seq", "event_type as decision")
-    return lg.run_to_table(lg.latest_by_key(s, "proposal_id", "decided_at", "seq", "decision"), "complete").withColumn("decided_at", F.date_format("decided_at", _TEXT))
+    return lg.run_to_table(lg.latest_by_key(s, "proposal_id", "decided_at", "seq", "decision"), "update", ["proposal_id"]).withColumn("decided_at", F.date_format("decided_at", _TEXT))
 
 
 def tumbling(spark: SparkSession, d: str) -> DataFrame:
-    out = lg.run_to_table(lg.windowed_counts(_events(spark, d), "at", "1 day", "1 day", None, "event_type"), "complete")
+    out = lg.run_to_table(lg.windowed_counts(_events(spark, d), "at", "1 day", "1 day", None, "event_type"), "update", ["window_start", "event_type"])
     return out.withColumn("window_start", _utc("window_start"))
 
 
 def sliding(spark: SparkSession, d: str) -> DataFrame:
-    out = lg.run_to_table(lg.windowed_counts(_events(spark, d), "at", "1 day", "2 hours", "1 hour"), "complete")
+    out = lg.run_to_table(lg.windowed_counts(_events(spark, d), "at", "1 day", "2 hours", "1 hour"), "update", ["window_start"])
     return out.withColumn("window_start", _utc("window_start"))
 
 

@@ -197,7 +197,7 @@ def find_upwards(spark: SparkSession, start: str, name: str, levels: int = 3, ex
 
 def whole_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``directory`` and ``text`` of small files read whole."""
-    text = spark.read.option("wholetext", True).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    text = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return text.select("file", F.regexp_replace("file", "^file:(//)?(?=/)", "").alias("path"), "text")
 
 

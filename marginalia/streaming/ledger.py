@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +40,19 @@ def sessions(stream: DataFrame, at: str, late: str, gap: str, key: str) -> DataF
     return s.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
     """All input there is now, run through the stream into files of the shared folder; the result as a batch table.
 
-    ``complete`` and ``update`` results are upserts: of each batch the last one wins (complete) or rows are
-    written by batch (append). Checkpoint and output live in the shared folder, so a lost executor costs a retry.
+    ``append``: every row is written once. ``update``: each batch writes only the rows it changed, and of each of
+    ``keys`` the row of the last batch counts, so a batch costs what it changes. ``complete``: the last batch counts.
+    Checkpoint and output live in the shared folder, so a lost executor costs a retry, and a batch that is run again
+    replaces itself.
     """
     spark = stream.sparkSession
     base = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
     out = f"{base}/out"
+    if mode == "update" and not keys:
+        raise ValueError("updates need the keys by which they replace each other")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -55,7 +60,20 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     table = spark.read.option("basePath", out).schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*[F.col(c) if c in keys else F.col(f"x.{c}").alias(c) for c in stream.columns])
     if mode == "complete":
         last = table.agg(F.max("batch")).first()[0]
         table = table.where(F.col("batch") == F.lit(last))
     return table.drop("batch")
+
+
+def split_by_time(table: DataFrame, at: str, parts: int) -> str:
+    """The rows written as files in the order of their time, one after the other, as they would come in; the folder they are in."""
+    base = os.path.join(shared_dir(table.sparkSession), f"arrivals-{uuid.uuid4().hex}")
+    cuts = table.agg(F.percentile_approx(F.unix_micros(F.col(at).cast("timestamp")), [i / parts for i in range(1, parts)])).first()[0] or []
+    place = F.coalesce(F.aggregate(F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>"), F.lit(0), lambda n, c: n + F.when(F.unix_micros(F.col(at).cast("timestamp")) > c, 1).otherwise(0)), F.lit(0))
+    for i in range(len(cuts) + 1):
+        table.where(place == i).coalesce(1).write.mode("append").parquet(base)
+    return base
