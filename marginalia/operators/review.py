@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from marginalia.operators.order import numbered
 
 
 def latest_decisions(ledger: DataFrame, key: str, at: str, seq: str) -> DataFrame:
@@ -54,7 +55,7 @@ def to_long(wide: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> Data
 def grouped_queue(items: DataFrame, group: str, pending: Column, order: str) -> DataFrame:
     """Items with the pending count of their group; groups are ranked by it. Counts are joined, no group is gathered."""
     totals = items.groupBy(group).agg(F.count_if(pending).alias("pending_in_group"), F.count("*").alias("in_group"))
-    ranked = totals.withColumn("group_rank", F.dense_rank().over(Window.orderBy(F.desc("pending_in_group"), group)))  # one row per group
+    ranked = numbered(totals, F.desc("pending_in_group"), F.asc(group), number="group_rank", start=1).withColumn("group_rank", F.col("group_rank").cast("int"))
     return items.join(ranked, group)
 
 

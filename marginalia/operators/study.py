@@ -194,3 +194,10 @@ def deep_merged(base: str, overlay: str):
     b, o = F.col(base), F.col(overlay)
     clash = lambda k: F.exists(F.map_keys(o), lambda x: (x == k) | F.startswith(x, F.concat(k, F.lit("."))) | F.startswith(k, F.concat(x, F.lit("."))))
     return F.map_concat(F.map_filter(F.coalesce(b, F.create_map().cast("map<string,string>")), lambda k, _: ~F.coalesce(clash(k), F.lit(False))), F.coalesce(o, F.create_map().cast("map<string,string>")))
+
+
+def steps(least: float, most: float, step: float) -> list[float]:
+    """Values from ``least`` to ``most`` by ``step``, both ends included where they are met; a step of 0 or against the direction raises ``ValueError``."""
+    if step <= 0 or most < least:
+        raise ValueError("a range needs a positive step and ends in order")
+    return [round(least + i * step, 10) for i in range(int((most - least) / step + 1e-9) + 1)]

@@ -29,7 +29,16 @@ def request_policies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_models").select("model_id", policy.alias("policy"))
 
 
-QUERIES = {"extract_cells": extracted, "judge_default": judged, "model_policies": request_policies}
+def grounded(spark: SparkSession, d: str) -> DataFrame:
+    """Whether what was extracted stands in the passages it was extracted from."""
+    made = contexts(spark, d).select("pdf_id", "column_name", "passages")
+    return extracted(spark, d).join(made, ["pdf_id", "column_name"]).select("pdf_id", "column_name", (F.col("proposed_value").isNull() | F.contains(F.col("passages"), F.col("proposed_value"))).alias("grounded"), F.col("extraction_error").isNull().alias("without_error"))
+
+
+QUERIES = {"extract_cells": extracted, "extract_grounded": grounded, "judge_default": judged, "model_policies": request_policies}
+_words = lambda c: f"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[0-9a-z]+'))"
 ORACLES = {
+    "extract_grounded": f"SELECT pdf_id, column_name, true AS grounded, true AS without_error FROM (SELECT DISTINCT pdf_id FROM {passages._C}) CROSS JOIN (SELECT DISTINCT column_name FROM {passages._Q})",
+    "judge_default": f"WITH c AS (SELECT {_words('gold_value')} AS g, {_words('proposed_value')} AS p FROM {evaluation.LATEST} WHERE field_type = 'text'), s AS (SELECT CASE WHEN len(list_distinct(list_concat(g, p))) > 0 THEN len(list_intersect(g, p)) / len(list_distinct(list_concat(g, p))) ELSE 0 END AS s FROM c) SELECT 'overlap' AS judge_label, CASE WHEN s >= 0.5 THEN 'correct' WHEN s < 0.2 THEN 'incorrect' ELSE 'unclear' END AS judge_verdict, count(*) AS n FROM s GROUP BY 2",
     "model_policies": "SELECT model_id, CASE WHEN regexp_matches(model_id, '-q[0-9]+$') THEN 'quantised' WHEN regexp_matches(model_id, '-(long|beta)$') THEN 'long_context' WHEN regexp_matches(model_id, '^ormond') THEN 'small' ELSE 'standard' END AS policy FROM text_models",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import building, evaluation, extraction, files, grounding, intake, passages, problems, reviewing, scorecards, streams, studies, summaries
+from marginalia.plans import assembling, building, evaluation, extraction, files, grounding, intake, passages, problems, reviewing, scorecards, streams, studies, summaries
 
-MODULES = (problems, evaluation, reviewing, studies, passages, intake, streams, extraction, summaries, grounding, scorecards, building, files)
+MODULES = (problems, evaluation, reviewing, studies, passages, intake, streams, extraction, summaries, grounding, scorecards, building, files, assembling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

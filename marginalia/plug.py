@@ -7,6 +7,7 @@ how many calls run at once is the number of partitions the caller gives the inpu
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -95,3 +96,27 @@ def first_match(col: Column, policies: Mapping[str, str], default: str) -> Colum
     for pattern, policy in reversed(list(policies.items())):
         out = F.when(col.rlike(pattern), F.lit(policy)).otherwise(out)
     return out
+
+
+def with_retries(step: Callable, *, attempts: int = 3, retry_on: tuple[type[Exception], ...] = (Exception,), wait: float = 0.0, probe: Callable[[], bool] | None = None) -> Callable:
+    """A step tried again when it raises; ``probe`` is asked once per worker whether the service can be used at all.
+
+    What the last attempt raises is raised with the number of attempts, and recorded with the row like any error.
+    """
+    state: dict[str, bool] = {}
+
+    def run(*args):
+        if probe is not None and "usable" not in state:
+            state["usable"] = bool(probe())
+        if not state.get("usable", True):
+            raise RuntimeError("the service cannot be used")
+        for i in range(attempts):
+            try:
+                return step(*args)
+            except retry_on as e:
+                if i + 1 == attempts:
+                    raise RuntimeError(f"after {attempts} attempts: {e}") from e
+                time.sleep(wait * 2**i)
+        raise ValueError("at least one attempt")
+
+    return run
