@@ -122,7 +122,9 @@ QUERIES = {
 D = v.DUCK
 _F = f"(SELECT row_id, {', '.join(f'max({c}) AS {c}' for c in ('row_index', *META, *TARGETS))} FROM genome_editing_tools_filled GROUP BY 1)"
 _long = lambda cols: " UNION ALL ".join(f"SELECT row_id, '{c}' AS column_name, {c} AS current_value FROM {_F}" for c in cols)
-_CELLS = f"(SELECT *, {ig.eligibility_sql('current_value', D)} AS eligibility FROM ({_long(TARGETS)}))"
+_tidy = lambda x: rf"trim(regexp_replace(coalesce({x}, ''), '[ \t\n\r\f\x0b]+', ' ', 'g'))"
+_kind = f"CASE lower({_tidy('current_value')}) WHEN '' THEN 'blank' " + " ".join(f"WHEN '{w}' THEN 'placeholder'" for w in ("n/a", "na", "tbd", "tba", "unknown", "-", "--", "none", "?")) + " ELSE 'filled' END"
+_CELLS = f"(SELECT *, {_kind} AS eligibility FROM ({_long(TARGETS)}))"
 
 
 _P = f"(SELECT row_id AS paper_id, CASE WHEN row_index % 7 = 0 THEN reverse(title) WHEN row_index % 5 = 0 THEN regexp_replace(title, ' [^ ]+$', '') ELSE title END AS title, CASE WHEN row_index % 7 <> 0 THEN authors END AS authors, CASE WHEN row_index % 4 = 0 THEN cast(try_cast(regexp_extract(publication_year, '([0-9]{{4}})', 1) AS INTEGER) + 1 AS VARCHAR) ELSE publication_year END AS publication_year, CASE WHEN row_index % 3 <> 0 AND row_index % 7 <> 0 THEN 'https://doi.org/' || upper(doi) END AS doi FROM {_F})"
@@ -154,12 +156,13 @@ _OUT = f"""{_MATCH}, b AS (SELECT *, sum(r_n) OVER (PARTITION BY p_id) AS n, row
 _verdict = v.plain_text("judge_verdict", D)
 _n = lambda cond: f"count(*) FILTER (WHERE {cond})"
 _H = "sha256(concat_ws('|', '7', row_id, column_name))"
+_numeric = r"regexp_matches(lower(trim(regexp_replace(current_value, '\s+', ' ', 'g'))), '^(~|≈|about|approx\.|approximately|approx)? *[-+]?([0-9]+(,[0-9]{3})*(\.[0-9]+)?|\.[0-9]+)(e[-+]?[0-9]+)?( *(to|-|–|—) *[-+]?([0-9]+(,[0-9]{3})*(\.[0-9]+)?|\.[0-9]+)(e[-+]?[0-9]+)?)?$')"
 ORACLES = {
     "ingest_cells": f"SELECT * FROM {_CELLS}",
     "ingest_masked": f"SELECT row_id, title, {' + '.join(f'CASE WHEN {v.is_empty(c, D)} THEN 0 ELSE 1 END' for c in TARGETS)} AS n_masked, {', '.join(f'{chr(39)}{chr(39)} AS {c}' for c in TARGETS)} FROM {_F}",
-    "column_profiles": f"SELECT column_name, filled, distinct_values, {v.ratio('numbers', 'filled')} AS number_share, {v.ratio('chars', 'filled')} AS mean_length, CASE WHEN numbers >= 0.6 * filled THEN 'numeric' WHEN chars <= 20 * filled THEN 'short' WHEN chars <= 80 * filled THEN 'phrase' ELSE 'long' END AS profile FROM (SELECT column_name, count(*) AS filled, count(DISTINCT current_value) AS distinct_values, {_n(f'({v.number_bounds(chr(99) + "urrent_value", D)[0]}) IS NOT NULL')} AS numbers, sum(length(current_value)) AS chars FROM {_CELLS} WHERE NOT {v.is_empty('current_value', D)} GROUP BY 1)",
-    "metadata_coverage": f"SELECT column_name, eligibility, count(*) AS n FROM (SELECT *, {ig.eligibility_sql('current_value', D)} AS eligibility FROM ({_long(META)})) GROUP BY 1, 2",
-    "listed_values": f"""SELECT column_name, raw, array_to_string({ig.listed_values('raw', D)}, '~') AS items, len({ig.listed_values('raw', D)}) AS n FROM (SELECT column_name, unnest([to_json(allowed_values)::VARCHAR, array_to_string(allowed_values, ' | '), array_to_string(allowed_values, ';') || ';;', ', ' || array_to_string(allowed_values, ', ')]) AS raw FROM schema_columns WHERE allowed_values IS NOT NULL)""",
+    "column_profiles": f"SELECT column_name, filled, distinct_values, {v.ratio('numbers', 'filled')} AS number_share, {v.ratio('chars', 'filled')} AS mean_length, CASE WHEN numbers >= 0.6 * filled THEN 'numeric' WHEN chars <= 20 * filled THEN 'short' WHEN chars <= 80 * filled THEN 'phrase' ELSE 'long' END AS profile FROM (SELECT column_name, count(*) AS filled, count(DISTINCT current_value) AS distinct_values, {_n(_numeric)} AS numbers, sum(length(current_value)) AS chars FROM {_CELLS} WHERE eligibility <> 'blank' GROUP BY 1)",
+    "metadata_coverage": f"SELECT column_name, eligibility, count(*) AS n FROM (SELECT *, {_kind} AS eligibility FROM ({_long(META)})) GROUP BY 1, 2",
+    "listed_values": "WITH r AS (SELECT column_name, allowed_values AS v, unnest([to_json(allowed_values)::VARCHAR, array_to_string(allowed_values, ' | '), array_to_string(allowed_values, ';') || ';;', ', ' || array_to_string(allowed_values, ', ')]) AS raw FROM schema_columns WHERE allowed_values IS NOT NULL) SELECT column_name, raw, array_to_string(v, '~') AS items, len(v) AS n FROM r",
     "control_word_shuffle": f"SELECT row_id, column_name, {ig.shuffled_words('coalesce(current_value, ' + chr(39) * 2 + ')', '7', D)} AS control_value FROM {_CELLS}",
     "control_derangement": f"WITH c AS (SELECT *, row_number() OVER (ORDER BY trim(current_value), {_H}) - 1 AS i, count(*) OVER () AS n FROM {_CELLS} WHERE eligibility = 'filled'), m AS (SELECT max(k) AS most FROM (SELECT count(*) AS k FROM c GROUP BY trim(current_value))) SELECT a.row_id, a.column_name, a.current_value, b.current_value AS control_value, trim(a.current_value) = trim(b.current_value) AS unchanged FROM c a JOIN m ON true JOIN c b ON b.i = (a.i + most) % a.n",
     "blank_columns": "SELECT unnest([" + ", ".join(f"'{c}'" for c in TARGETS) + "]) AS column_name",

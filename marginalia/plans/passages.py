@@ -104,6 +104,7 @@ def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("proposal_id").agg(
         F.count("*").alias("n_evidence"), F.count_if(F.col("outcome") == "anchor_valid").alias("n_valid"), F.count_if(F.col("outcome").startswith("anchor_invalid")).alias("n_invalid"),
         F.max(F.when(F.col("outcome") == "anchor_valid", 3).when(F.col("outcome") == "evidence_present_but_unvalidated", 2).otherwise(1)).alias("best"),
+        F.min(F.when(F.col("outcome") == "anchor_valid", 3).when(F.col("outcome") == "evidence_present_but_unvalidated", 2).otherwise(1)).alias("worst"),
     )
 
 
@@ -180,7 +181,7 @@ ORACLES = {
     "caption_asof": f"SELECT pdf_id, figure_no, min(CASE WHEN fig THEN reading_order END) AS figure_order, coalesce(min(CASE WHEN cap THEN reading_order END), -1) AS caption_order FROM (SELECT *, count(*) FILTER (WHERE fig) OVER (PARTITION BY pdf_id ORDER BY reading_order ROWS UNBOUNDED PRECEDING) AS figure_no FROM (SELECT pdf_id, reading_order, bool_or(chunk_type = 'section') AS fig, bool_or(chunk_type = 'caption') AS cap FROM {_C} GROUP BY 1, 2)) WHERE figure_no > 0 GROUP BY 1, 2",
     "quote_located": _LOC,
     "anchor_audit": _AUDIT,
-    "evidence_outcomes": f"SELECT proposal_id, count(*) AS n_evidence, count(*) FILTER (WHERE outcome = 'anchor_valid') AS n_valid, count(*) FILTER (WHERE starts_with(outcome, 'anchor_invalid')) AS n_invalid, max(CASE outcome WHEN 'anchor_valid' THEN 3 WHEN 'evidence_present_but_unvalidated' THEN 2 ELSE 1 END)::INTEGER AS best FROM ({_AUDIT}) GROUP BY 1",
+    "evidence_outcomes": f"SELECT proposal_id, count(*) AS n_evidence, count(*) FILTER (WHERE outcome = 'anchor_valid') AS n_valid, count(*) FILTER (WHERE starts_with(outcome, 'anchor_invalid')) AS n_invalid, max(CASE outcome WHEN 'anchor_valid' THEN 3 WHEN 'evidence_present_but_unvalidated' THEN 2 ELSE 1 END)::INTEGER AS best, min(CASE outcome WHEN 'anchor_valid' THEN 3 WHEN 'evidence_present_but_unvalidated' THEN 2 ELSE 1 END)::INTEGER AS worst FROM ({_AUDIT}) GROUP BY 1",
     "evidence_rank": f"SELECT *, new_rank = 1 AS is_first FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY {_auth}, evidence_rank NULLS LAST, evidence_id)::INTEGER AS new_rank FROM (SELECT DISTINCT proposal_id, evidence_id, source_type, evidence_rank FROM evidence))",
     "evidence_reused": "WITH s AS (SELECT proposal_id, list_sort(list(DISTINCT quote_text)) AS q FROM evidence WHERE trim(quote_text) <> '' GROUP BY 1) SELECT len(q) AS n, q[1] AS first_piece, q[-1] AS last_piece, count(DISTINCT column_name) AS n_columns, count(DISTINCT proposal_id) AS n_proposals FROM s JOIN (SELECT DISTINCT proposal_id, column_name FROM proposals) USING (proposal_id) GROUP BY q HAVING count(DISTINCT column_name) > 1",
     "figure_references": r"SELECT doc_id, figure, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?:Figure|Fig\.) ([0-9]+[a-z]?)', 1)) AS figure FROM documents) GROUP BY 1, 2",

@@ -91,7 +91,7 @@ _JC = f"{_BASE}, o AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE is_c
 ORACLES = {
     "run_scorecard": f"WITH {_BASE}, n AS (SELECT run_id, count(*) AS cell_count, {', '.join(f'count(*) FILTER (WHERE {c}) AS {k}' for k, c in _is.items())} FROM c GROUP BY 1) SELECT *, {', '.join(f'CASE WHEN {b} > 0 THEN floor({a}::DOUBLE / {b} * 1000000 + 0.5) / 1000000 END AS {k}' for k, (a, b) in _of.items())}, CASE WHEN scored_cell_count > 0 THEN NULL WHEN gold_present_cell_count = 0 THEN 'missing_required_eval_inputs' WHEN judge_request_failed_count > 0 THEN 'judge_failure' WHEN join_failure_count > 0 THEN 'no_joinable_predictions' ELSE 'missing_required_eval_inputs' END AS unscored_reason FROM n",
     "judge_correctness": f"WITH {_JC} SELECT * FROM jc",
-    "judge_delta": f"WITH {_JC}, a AS (SELECT run_id, max(CASE WHEN judge_label = 'judge_a' THEN correctness END) AS x, max(CASE WHEN judge_label = 'judge_b' THEN correctness END) AS y, avg(correctness) AS m FROM jc GROUP BY 1) SELECT run_id, x AS correctness_judge_a, y AS correctness_judge_b, floor(m * 1000000 + 0.5) / 1000000 AS correctness_mean, floor(abs(x - y) * 1000000 + 0.5) / 1000000 AS correctness_abs_delta FROM a",
+    "judge_delta": f"WITH {_JC}, a AS (SELECT run_id, max(CASE WHEN judge_label = 'judge_a' THEN correctness END) AS x, max(CASE WHEN judge_label = 'judge_b' THEN correctness END) AS y, sum(floor(correctness * 1000000 + 0.5)::BIGINT)::DOUBLE / 1000000 / count(correctness) AS m FROM jc GROUP BY 1) SELECT run_id, x AS correctness_judge_a, y AS correctness_judge_b, floor(m * 1000000 + 0.5) / 1000000 AS correctness_mean, floor(abs(x - y) * 1000000 + 0.5) / 1000000 AS correctness_abs_delta FROM a",
     "metadata_summary": f"WITH {_BASE}, m AS (SELECT *, CASE WHEN join_status = 'missing_proposal' THEN 'missing_proposal' WHEN is_correct THEN 'found' ELSE 'unclear' END AS status FROM c WHERE p AND NOT content), f AS (SELECT benchmark_id, column_name, string_agg(failure_attribution || '=' || n, ',' ORDER BY failure_attribution) AS failures FROM (SELECT benchmark_id, column_name, failure_attribution, count(*) AS n FROM m WHERE failure_attribution IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2), t AS (SELECT benchmark_id, column_name, count(*) AS total, count(*) FILTER (WHERE status = 'found') AS found, count(*) FILTER (WHERE status = 'unclear') AS unclear, count(*) FILTER (WHERE status = 'missing_proposal') AS missing_proposal FROM m GROUP BY 1, 2) SELECT t.*, coalesce(failures, '') AS failures, floor(found::DOUBLE / total * 1000000 + 0.5) / 1000000 AS found_rate, floor(unclear::DOUBLE / total * 1000000 + 0.5) / 1000000 AS unclear_rate, floor(missing_proposal::DOUBLE / total * 1000000 + 0.5) / 1000000 AS missing_proposal_rate FROM t LEFT JOIN f USING (benchmark_id, column_name)",
     "metadata_kinds": "SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'Publication  Year' WHEN 1 THEN 'DOI' WHEN 2 THEN 'Author-List' WHEN 3 THEN 'Web address' ELSE p_name END AS name, CASE p_partkey % 9 WHEN 0 THEN 'year' WHEN 1 THEN 'doi' WHEN 2 THEN 'authors' WHEN 3 THEN 'link' ELSE CASE p_partkey % 4 WHEN 0 THEN 'pmid' WHEN 1 THEN 'journal' END END AS kind FROM part",
 }

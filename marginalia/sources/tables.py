@@ -80,6 +80,14 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> D
     return spark.createDataFrame(body, T.StructType([T.StructField("row_index", T.LongType()), *(T.StructField(h, T.StringType()) for h in header)]))
 
 
+def read_any(spark: SparkSession, path: str, *, sheet: str | None = None, indexed: bool = True) -> DataFrame:
+    """A workbook by its suffix, else CSV."""
+    if path.lower().endswith((".xlsx", ".xlsm")):
+        df = read_workbook(spark, path, sheet)
+        return df if indexed else df.drop("row_index")
+    return read_csv(spark, path, indexed=indexed)
+
+
 def is_description_row(headers: Sequence[str], values: Sequence[str]) -> bool:
     """The row under the header describes the columns: most cells are filled, long, and of several words."""
     cells = [x for h, x in zip(headers, values) if h and x and x.strip()]
@@ -97,10 +105,21 @@ def split_description_row(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def read_schema(spark: SparkSession, path: str) -> DataFrame:
-    """Extraction schema: ``column_name``, ``description``, ``field_type``, ``allowed_values``."""
+    """Extraction schema of a CSV, or of the sheet ``Schema`` of a workbook."""
+    workbook = path.lower().endswith((".xlsx", ".xlsm"))
+    return schema_columns(read_any(spark, path, sheet="Schema" if workbook else None, indexed=False))
+
+
+def inline_schema(spark: SparkSession, descriptions: dict[str, str]) -> DataFrame:
+    """The schema that the description row of a table is (see :func:`split_description_row`)."""
+    raw = spark.createDataFrame([(c, d or "") for c, d in descriptions.items()], "column_name string, description string")
+    return schema_columns(raw)
+
+
+def schema_columns(raw: DataFrame) -> DataFrame:
+    """``column_name``, ``description`` (the first of its columns that is filled), ``field_type``, ``allowed_values`` of a table of text."""
     from marginalia.operators.ingest import listed_values
 
-    raw = read_csv(spark, path, indexed=False)
     have = [F.expr(f"nullif(`{c}`, '')") for c in DESCRIPTION_COLUMNS if c in raw.columns]
     kind = F.expr("nullif(lower(trim(field_type)), '')") if "field_type" in raw.columns else F.lit(None).cast("string")
     allowed = F.expr(listed_values("allowed_values")) if "allowed_values" in raw.columns else F.array().cast("array<string>")
@@ -127,7 +146,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tup
 def read_gold(spark: SparkSession, path: str, *, columns: Sequence[str] | None = None) -> DataFrame:
     """Gold cells (``row_id``, ``column_name``, ``gold_value``, ``cell_id``) of a long table, or of a wide one with
     ``<column>__cell_id`` companions. Missing ids are made from the place of the row and its title."""
-    df = read_csv(spark, path)
+    df = read_any(spark, path)
     title = next((c for c in df.columns if c.lower() == "title"), None)
     if "row_id" not in df.columns:
         df = df.withColumn("row_id", F.expr(v.stable_id("row", "row_index", f"`{title}`" if title else "''")))

@@ -34,6 +34,8 @@ def test_description_row_and_schema(spark, tmp_path):
     df = tb.read_csv(spark, write(tmp_path / "t.csv", "Species,Tissue\nthe species of the animal,the tissue it came from\nmouse,liver\n"))
     data, described = tb.split_description_row(df)
     assert [r.Species for r in data.collect()] == ["mouse"] and described["Tissue"] == "the tissue it came from"
+    inline = tb.inline_schema(spark, described).collect()
+    assert {(r.column_name, r.description, r.field_type) for r in inline} == {("Species", "the species of the animal", None), ("Tissue", "the tissue it came from", None)}
     schema = tb.read_schema(spark, write(tmp_path / "s.csv", 'column_name,description,improved_description,field_type,allowed_values\na,,better,Number,\nb,plain,,,"[""x"", ""y, z""]"\nc,d,,text,u|v\n')).collect()
     assert [(r.column_name, r.description, r.field_type, r.allowed_values) for r in schema] == [("a", "better", "numeric", []), ("b", "plain", None, ["x", "y, z"]), ("c", "d", "text", ["u", "v"])]
 
