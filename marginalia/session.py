@@ -34,14 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables written by :func:`saved` in this process and not yet discarded.
+_written: list[str] = []
+
+
 def saved(df: DataFrame, label: str = "stage") -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage and survives a lost executor."""
+    """``df`` written once to the shared folder and read back: cuts the lineage and survives a lost executor.
+
+    The table stays until :func:`discard_saved`, as results that were not yet computed still read it.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_saved(spark: SparkSession) -> int:
+    """Deletes the tables :func:`saved` wrote; to be called when all results that read them are stored. How many there were."""
+    done = 0
+    while _written:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return int(done)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Over at least as many partitions as there are cores; a scan that already has them stays as it is.
 

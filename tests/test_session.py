@@ -22,3 +22,14 @@ def test_small_scans_are_spread_and_large_ones_left(spark):
 
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
+
+
+def test_saved_tables_are_discarded_on_request(spark):
+    import os
+
+    from marginalia import session
+
+    df = session.saved(spark.range(5).toDF("x"), "test")
+    path = session._written[-1]
+    assert df.count() == 5 and os.path.isdir(path)
+    assert session.discard_saved(spark) >= 1 and not os.path.exists(path) and session.discard_saved(spark) == 0
