@@ -83,11 +83,37 @@ class Transducer:
         )
         hidden, blank, marks = group(UNSEEN), group(BLANK), group(MARK)
         self.pattern = re.compile(f"[^{hidden}{blank}{marks}](?:[{hidden}]*[{marks}])+|[{hidden}{blank}]+|[{group(ONE, MANY)}]")
+        self._compile_pairs()
         self.memo: dict[str, str] = {}
         for c, out in [*self.many.items(), *((chr(i), chr(self.to[i])) for i in np.flatnonzero(self.kind == ONE))]:
             if self.fold(out) != out:
                 raise ValueError(f"{c!r} leads to {out!r}, which is not stable")
 
+    def _compile_pairs(self) -> None:
+        """Tables of what whole batches do with clusters of one letter and one mark, and with letters of several images.
+
+        A letter without marks of its own and a mark that stands for itself become the letter they compose, or stay.
+        """
+        pairs: dict[int, int] = {}
+        for i in (*range(0xC0, 0xD800), *range(0xF900, 0x32400)):
+            parts = unicodedata.decomposition(chr(i))
+            if parts and parts[0] != "<" and " " in parts:
+                a, b = (int(x, 16) for x in parts.split())
+                out = self.letters(chr(a) + chr(b))
+                if self.kind[b] == MARK and len(out) == 1:
+                    pairs[int(self.to[a]) << 21 | b] = ord(out)
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.pair_to = np.array([pairs[k] for k in self.pair.tolist()], np.uint32)
+        # Hangul composes by rule, of up to three letters; decomposed letters and marks would need reordering
+        self.simple = np.ones(0x110000, bool)
+        for i in (*range(0xA0, 0xD800), *range(0xE000, 0x32400)):
+            if unicodedata.decomposition(chr(i)) or 0x1100 <= i < 0x1200 or 0xAC00 <= i < 0xD7A4:
+                self.simple[i] = False
+        several = sorted(self.many)
+        self.many_at = np.array([ord(c) for c in several], np.uint32)
+        self.many_flat = np.array([ord(x) for c in several for x in self.many[c]], np.uint32)
+        self.many_size = np.array([len(self.many[c]) for c in several], np.int64)
+
     def letters(self, text: str) -> str:
         """The mapping of one letter or cluster without blanks."""
         out = []
@@ -130,7 +156,8 @@ class Transducer:
         return out + self._fold_group(texts[begin:])
 
     def _fold_group(self, texts: list[str]) -> list[str]:
-        """Texts whose clusters all are single characters of single images are taken together."""
+        """Texts are taken together by the compiled tables, longest cluster first; those with clusters of several marks,
+        or of marks that reorder, go cluster by cluster."""
         if not texts:
             return []
         if len(texts) == 1 and len(texts[0]) > GROUP_CHARS:
@@ -138,10 +165,36 @@ class Transducer:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = self.kind[points]
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        hard = np.bincount(owner[kind >= MANY], minlength=len(texts)) > 0
         keep = kind != UNSEEN
-        image, owner = self.to[points[keep]], owner[keep]
+        owner = np.repeat(np.arange(len(texts)), lengths)[keep]
+        points, kind = points[keep], kind[keep]
+        image = self.to[points]
+        hard = np.zeros(len(texts), bool)
+        mark = kind == MARK
+        if mark.any():
+            at = np.flatnonzero(mark)
+            before, after = np.maximum(at - 1, 0), np.minimum(at + 1, len(points) - 1)
+            alone = (at > 0) & (owner[before] == owner[at]) & (kind[before] <= ONE) & ~((after > at) & mark[after] & (owner[after] == owner[at]))
+            plain = alone & self.simple[image[before]] & self.simple[points[at]]
+            hard[owner[at[~plain]]] = True
+            at, before = at[plain], before[plain]
+            key = image[before].astype(np.int64) << 21 | points[at]
+            entry = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            hit = self.pair[entry] == key
+            image[before[hit]] = self.pair_to[entry[hit]]
+            left = np.ones(len(points), bool)
+            left[at[hit]] = False
+            owner, kind, image, points = owner[left], kind[left], image[left], points[left]
+        many = np.flatnonzero(kind == MANY)
+        if len(many):
+            entry = np.searchsorted(self.many_at, points[many])
+            size = np.ones(len(points), np.int64)
+            size[many] = self.many_size[entry]
+            start = np.cumsum(size) - size
+            first = (np.cumsum(self.many_size) - self.many_size)[entry]
+            inner = np.arange(int(size[many].sum())) - np.repeat(np.cumsum(size[many]) - size[many], size[many])
+            image, owner = np.repeat(image, size), np.repeat(owner, size)
+            image[np.repeat(start[many], size[many]) + inner] = self.many_flat[np.repeat(first, size[many]) + inner]
         blank = image == 0x20
         again = blank.copy()
         again[:1] = False

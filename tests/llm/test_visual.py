@@ -40,6 +40,19 @@ def test_batches_equal_single_texts_and_are_stable():
     assert vs.transducer().fold_all(together) == together
 
 
+def test_compiled_tables_equal_clusters_over_all_letters_and_marks():
+    t = vs.transducer()
+    rng = random.Random(9)
+    letters = [chr(i) for i in range(0x20, 0x32000) if not 0xD800 <= i < 0xE000 and t.kind[i] in (vs.PLAIN, vs.ONE, vs.MANY)]
+    marks = [chr(i) for i in range(0x300, 0x32000) if t.kind[i] == vs.MARK]
+    texts = [rng.choice(letters) + rng.choice(marks) for _ in range(20_000)] + [x + "\u0301" for x in letters[:3000]] + [x for x in letters if t.kind[ord(x)] == vs.MANY]
+    texts += ["".join(rng.choice((rng.choice(letters), rng.choice(marks), "e\u0301", "\u200b", " ")) for _ in range(6)) for _ in range(5000)]
+    together = t.fold_all(texts)
+    assert together == [fold(x) for x in texts]
+    often = ["e\u0301", "а\u0301", "ﬁ", "x\u0323"]
+    assert [fold(x) for x in often] == t.fold_all(often) == ["é", "á", "fi", "x\u0323"]
+
+
 def test_groups_do_not_matter(monkeypatch):
     texts = ["a  b", "ﬁ" * 30, "", "x" * 40, "рау"]
     whole = vs.transducer().fold_all(texts)
