@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +25,42 @@ PENALTY = (0.0, 1.0, 2.0, 8.0, 16.0, 64.0)
 #: Weight of the squared difference between a piece's share of the limit and the even share.
 BALANCE = 6.0
 #: Layers with at most so many pairs of ends are solved by one matrix.
-DENSE = 1 << 14
+DENSE = 1 << 16
 
 PARAGRAPH = re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*")
 LINE = re.compile("\r\n?|[\n\x0b\x0c\x85  ]")
 SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？｡][”’」』）]*\s*")
 CLAUSE = re.compile(r"[,;:]\s+|[，；：、]\s*|\t|\s[–—-]\s+")
-WORD = re.compile(r"\s+|(?<=\w)-(?=\w)|/")
 UNCUTTABLE = re.compile("(?<=\r)\n|(?<=‍).|[̀-ͯ᪰-᫿⃐-⃿︀-️‍\U0001f3fb-\U0001f3ff]", re.S)
 
 
+@lru_cache(1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """(code points that are white space, that are of words) of the patterns above."""
+    every = np.arange(0x110000, dtype=np.uint32)
+    every[0xD800:0xE000] = 0x2E
+    every = every.tobytes().decode("utf-32-le")
+    tables = []
+    for kind in (r"\s", r"\w"):
+        table = np.zeros(0x110000, bool)
+        for m in re.finditer(f"{kind}+", every):
+            table[m.start() : m.end()] = True
+        tables.append(table)
+    return tables[0], tables[1]
+
+
 def boundaries(text: str, rank: int) -> np.ndarray:
-    """Places behind which a cut of ``rank`` may be made."""
-    pattern = (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD)[rank]
-    return np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
+    """Places behind which a cut of ``rank`` may be made; of words: behind white space, a slash, a hyphen within a word."""
+    if rank < 4:
+        pattern = (PARAGRAPH, LINE, SENTENCE, CLAUSE)[rank]
+        return np.array([m.end() for m in pattern.finditer(text)], np.int64)
+    space, word = _classes()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = space[points]
+    cut = blank & ~np.append(blank[1:], False) | (points == 0x2F)
+    inner = np.flatnonzero(points[1:-1] == 0x2D) + 1
+    cut[inner[word[points[inner - 1]] & word[points[inner + 1]]]] = True
+    return np.flatnonzero(cut) + 1
 
 
 def candidates(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:

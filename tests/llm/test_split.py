@@ -1,3 +1,4 @@
+import re
 import time
 import tracemalloc
 from itertools import combinations
@@ -112,6 +113,13 @@ def test_division_is_the_cheapest_of_all():
             assert fewest is None or k >= fewest or np.isinf(best)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab -/_\n\x1c\xa0\u2003é中1.", max_size=40))
+def test_word_boundaries_equal_the_pattern(text):
+    pattern = re.compile(r"\s+|(?<=\w)-(?=\w)|/")
+    assert sp.boundaries(text, 4).tolist() == [m.end() for m in pattern.finditer(text)]
+
+
 def test_hard_cuts_stay_even_and_never_part_a_cluster():
     assert len(sp.split_text("A" * 10_000, 900, 60)) == 12
     text = "é" * 500
