@@ -181,3 +181,30 @@ def covered_rows(gold: DataFrame, matches: DataFrame, index: str) -> DataFrame:
     """Gold cells of rows that a paper was matched to and that are not blocked."""
     usable = matches.where((F.col("outcome") == "matched") & ~F.coalesce("blocked", F.lit(False))).select(F.col("matched_row_index").cast("long").alias(index)).where(F.col(index).isNotNull()).distinct()
     return gold.join(usable, index, "left_semi")
+
+
+def valid_region(x0: str, y0: str, x1: str, y1: str, page: str) -> Column:
+    """A box of finite numbers with its corners in order, on a page that exists."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return F.coalesce(finite(x0) & finite(y0) & finite(x1) & finite(y1) & (F.col(x0) < F.col(x1)) & (F.col(y0) < F.col(y1)) & (F.col(page) > 0), F.lit(False))
+
+
+def package_errors(proposals: DataFrame, evidence: DataFrame, rows: DataFrame, columns: DataFrame, allowed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Rules a package of proposals breaks: ``rule``, ``key``; one row per rule and record.
+
+    Proposals of rows and columns that are not there, ids used twice with different contents, values of listed fields
+    (``allowed``) that are none of them, evidence of unknown proposals, evidence on no page, values without any evidence.
+    """
+    p = proposals.distinct()
+    ids = p.groupBy("proposal_id").agg(F.count("*").alias("n"))
+    rule = lambda df, name, key: df.select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))
+    parts = [
+        rule(p.join(rows.select("row_id").distinct(), "row_id", "left_anti"), "unknown row", "proposal_id"), rule(p.join(columns.select("column_name").distinct(), "column_name", "left_anti"), "unknown column", "proposal_id"), rule(ids.where("n > 1"), "id used twice", "proposal_id"),
+        *[rule(p.where(F.col(c).isNotNull() & ~F.col(c).isin(*values)), f"unknown {c}", "proposal_id") for c, values in allowed.items()],
+        rule(evidence.distinct().join(p.select("proposal_id").distinct(), "proposal_id", "left_anti"), "evidence of unknown proposal", "evidence_id"), rule(evidence.where(~F.coalesce(F.col("page_number") > 0, F.lit(False))), "evidence on no page", "evidence_id"),
+        rule(p.where("proposal_status = 'value_proposed'").join(evidence.select("proposal_id").distinct(), "proposal_id", "left_anti"), "value without evidence", "proposal_id"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.distinct()

@@ -162,3 +162,11 @@ def export_gate(proposals: DataFrame, by: Sequence[str]) -> DataFrame:
     n = lambda cond: F.count_if(F.expr(cond))
     out = proposals.groupBy(*by).agg(n("coalesce(review_bucket <> 'diagnostic', true) and decision is null").alias("undecided"), n("decision in ('accepted', 'accepted_with_edit')").alias("to_write"), n("decision = 'rejected'").alias("left_out"), n("decision = 'accepted_with_edit' and trim(coalesce(edited_value, '')) = ''").alias("edits_without_value"))
     return out.withColumn("blocked", F.col("undecided") > 0)
+
+
+def record_of(proposals: DataFrame, ledger: DataFrame, evidence: DataFrame, key: str, value: str, *, at: Sequence[str], rank: str) -> DataFrame:
+    """One proposal with its whole history of decisions, oldest first, and its evidence by rank. Filters come before the joins."""
+    one = lambda df: df.where(F.col(key) == value)
+    listed = lambda df, order, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in (key, *order)]))).alias(name))
+    found = one(proposals).limit(1)
+    return found.join(listed(one(ledger).distinct(), list(at), "history"), key, "left").join(listed(one(evidence).distinct(), [rank], "evidence"), key, "left")

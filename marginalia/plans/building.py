@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import checks as ck
 from marginalia.operators import retrieve as rt
+from marginalia.operators import review as rv
 from marginalia.plans import passages
 from marginalia.session import spread, table
 
@@ -70,7 +71,30 @@ def types(spark: SparkSession, d: str) -> DataFrame:
     return typed.groupBy("field_type", ck.inferred_type("gold_value", "proposed_value", "declared", "allowed").alias("compared_as")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {"expanded_queries": expanded, "passages_built": built, "figure_passages": figures, "index_plan": index_plan, "json_answers": answers, "schema_errors": schema_errors, "generic_reasons": generic, "inferred_types": types}
+STATUSES = ("value_proposed", "no_data", "unresolved", "error")
+
+
+def package_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that the proposals break as a package (V5)."""
+    p = table(spark, d, "proposals").select("proposal_id", "row_id", "column_name", "proposal_status", "review_bucket")
+    e = table(spark, d, "evidence").select("evidence_id", "proposal_id", "page_number")
+    rows = table(spark, d, "genome_editing_tools_filled").select("row_id").where("row_id is not null")
+    columns = table(spark, d, "schema_columns").where("field_type <> 'text'").select("column_name")
+    out = ck.package_errors(p, e, rows, columns, {"proposal_status": STATUSES, "review_bucket": ("review", "attention")})
+    return out.groupBy("rule").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+
+
+def one_record(spark: SparkSession, d: str) -> DataFrame:
+    """The first proposal that has most evidence, with its decisions and evidence."""
+    e = table(spark, d, "evidence").select("proposal_id", "evidence_rank", "evidence_id")
+    top = e.distinct().groupBy("proposal_id").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("o"), "proposal_id"))["proposal_id"]).first()[0]
+    p = table(spark, d, "proposals").select("proposal_id", "column_name")
+    ledger = table(spark, d, "proposals").select("proposal_id", "created_at", "proposal_status")
+    r = rv.record_of(p, ledger, e, "proposal_id", top or "", at=["created_at"], rank="evidence_rank")
+    return r.select("proposal_id", "column_name", F.size("history").alias("n_history"), F.array_join(F.transform("evidence", lambda x: x["evidence_id"]), ",").alias("evidence_ids"))
+
+
+QUERIES = {"package_errors": package_errors, "one_record": one_record, "expanded_queries": expanded, "passages_built": built, "figure_passages": figures, "index_plan": index_plan, "json_answers": answers, "schema_errors": schema_errors, "generic_reasons": generic, "inferred_types": types}
 
 _C = passages._C
 _sp = r"[\s\x0b\x1c-\x1f\x85\pZ]"
@@ -90,4 +114,10 @@ ORACLES = {
     "schema_errors": "WITH s AS (SELECT column_name AS c, CASE WHEN length(column_name) % 3 = 0 THEN 'missing description' END AS a, CASE WHEN length(column_name) % 5 = 0 OR field_type NOT IN ('text', 'number', 'categorical', 'boolean') THEN 'invalid field_type' END AS b, CASE WHEN length(column_name) % 2 = 0 AND (length(column_name) % 5 = 0 OR field_type IS DISTINCT FROM 'categorical') THEN 'allowed_values need categorical' END AS d FROM schema_columns) SELECT c AS column_name, concat_ws(',', a, b, d) AS errors FROM s",
     "generic_reasons": "SELECT p_partkey AS k, p_partkey % 5 IN (0, 1) AS generic FROM part",
     "inferred_types": rf"WITH s AS (SELECT DISTINCT run_id, row_id, column_name, gold_value, proposed_value, field_type FROM scored_cells), n AS (SELECT *, regexp_matches(lower(trim(regexp_replace(gold_value, '\s+', ' ', 'g'))), '{{P}}') AS g, regexp_matches(lower(trim(regexp_replace(proposed_value, '\s+', ' ', 'g'))), '{{P}}') AS p FROM s) SELECT field_type, CASE WHEN field_type = 'text' THEN 'text' WHEN field_type = 'categorical' THEN 'categorical' WHEN g AND p THEN 'numeric' ELSE 'text' END AS compared_as, count(*) AS n FROM n GROUP BY 1, 2".replace("{P}", r"^(~|≈|about|approx\.|approximately|approx)? *[-+]?([0-9]+(,[0-9]{3})*(\.[0-9]+)?|\.[0-9]+)(e[-+]?[0-9]+)?( *(to|-|–|—) *[-+]?([0-9]+(,[0-9]{3})*(\.[0-9]+)?|\.[0-9]+)(e[-+]?[0-9]+)?)?$"),
+    "package_errors": """WITH p AS (SELECT DISTINCT proposal_id, row_id, column_name, proposal_status, review_bucket FROM proposals), r AS (
+        SELECT 'unknown row' AS rule, proposal_id AS key FROM p WHERE row_id IS NULL OR row_id NOT IN (SELECT row_id FROM genome_editing_tools_filled WHERE row_id IS NOT NULL) UNION SELECT 'unknown column', proposal_id FROM p WHERE column_name IS NULL OR column_name NOT IN (SELECT column_name FROM schema_columns WHERE field_type <> 'text')
+        UNION SELECT 'id used twice', proposal_id FROM p GROUP BY proposal_id HAVING count(*) > 1 UNION SELECT 'unknown proposal_status', proposal_id FROM p WHERE proposal_status NOT IN ('value_proposed', 'no_data', 'unresolved', 'error') UNION SELECT 'unknown review_bucket', proposal_id FROM p WHERE review_bucket NOT IN ('review', 'attention')
+        UNION SELECT 'evidence of unknown proposal', evidence_id FROM evidence WHERE proposal_id IS NULL OR proposal_id NOT IN (SELECT proposal_id FROM p) UNION SELECT 'evidence on no page', evidence_id FROM evidence WHERE page_number IS NULL OR page_number <= 0 UNION SELECT 'value without evidence', proposal_id FROM p WHERE proposal_status = 'value_proposed' AND proposal_id NOT IN (SELECT proposal_id FROM evidence WHERE proposal_id IS NOT NULL))
+        SELECT rule, count(*) AS n, min(key) AS first_key FROM r GROUP BY 1""",
+    "one_record": "WITH e AS (SELECT DISTINCT proposal_id, evidence_rank, evidence_id FROM evidence), t AS (SELECT proposal_id FROM e GROUP BY 1 ORDER BY count(*) DESC, proposal_id LIMIT 1) SELECT proposal_id, min(column_name) AS column_name, count(DISTINCT (created_at, proposal_status))::INTEGER AS n_history, (SELECT string_agg(evidence_id, ',' ORDER BY evidence_rank NULLS FIRST, evidence_id) FROM e WHERE e.proposal_id = (SELECT proposal_id FROM t)) AS evidence_ids FROM proposals WHERE proposal_id = (SELECT proposal_id FROM t) GROUP BY 1",
 }

@@ -147,3 +147,16 @@ def test_small_files_and_snapshots(spark, tmp_path):
     assert back.count() == 4 and set(back.columns) == {"i", "s", "more", "experiment"}
     sinks.write_evaluation(df, df, df, str(tmp_path / "ev"))
     assert spark.read.json(str(tmp_path / "ev" / "errors")).count() == 2
+
+
+def test_package_rules_and_one_record(spark):
+    p = spark.createDataFrame([("p1", "r1", "c", "ok"), ("p1", "r1", "c", "ok"), ("p2", "r9", "x", "odd"), ("p2", "r1", "c", "ok"), (None, None, None, None)], "proposal_id string, row_id string, column_name string, proposal_status string")
+    e = spark.createDataFrame([("e1", "p1", 1), ("e2", "gone", 0), ("e3", None, None)], "evidence_id string, proposal_id string, page_number int")
+    rows, columns = spark.createDataFrame([("r1",)], "row_id string"), spark.createDataFrame([("c",)], "column_name string")
+    got = {(r.rule, r.key) for r in ck.package_errors(p, e, rows, columns, {"proposal_status": ["ok"]}).collect()}
+    assert got == {("unknown row", "p2"), ("unknown row", None), ("unknown column", "p2"), ("unknown column", None), ("id used twice", "p2"), ("unknown proposal_status", "p2"), ("evidence of unknown proposal", "e2"), ("evidence of unknown proposal", "e3"), ("evidence on no page", "e2"), ("evidence on no page", "e3")}
+    boxes = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0, 1), (1.0, 0.0, 0.0, 1.0, 1), (0.0, 0.0, float("nan"), 1.0, 1), (0.0, 0.0, 1.0, 1.0, 0), (None, 0.0, 1.0, 1.0, 1)], "a double, b double, c double, d double, p int")
+    assert [r[0] for r in boxes.select(ck.valid_region("a", "b", "c", "d", "p")).collect()] == [True, False, False, False, False]
+    ledger = spark.createDataFrame([("p1", 2, "x"), ("p1", 1, "y"), ("p1", 1, "y")], "proposal_id string, at int, decision string")
+    r = rv.record_of(p, ledger, e, "proposal_id", "p1", at=["at"], rank="page_number").first()
+    assert [h.decision for h in r.history] == ["y", "x"] and [x.evidence_id for x in r.evidence] == ["e1"] and rv.record_of(p, ledger, e, "proposal_id", "no", at=["at"], rank="page_number").count() == 0
