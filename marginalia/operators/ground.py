@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from marginalia.functions import tokens as tk
 from marginalia.functions import values as v
 from marginalia.operators.anchor import contained_quotes
+from marginalia.session import saved
 
 #: Least share of the words of a quote in a passage that only comes near it.
 NEAR = 0.3
@@ -32,14 +33,18 @@ def anchor_chain(quotes: DataFrame, passages: DataFrame, *, quote_id: str, doc:
 
     A quote meets passages by its rarest tokens only, so many that a passage with a share of 0.3 holds one of them.
     """
-    q = quotes.select(F.col(quote_id).alias("qid"), F.col(doc).alias("doc"), F.when(F.col(page) > 0, F.col(page)).otherwise(ANY_PAGE).cast("long").alias("page"), F.col(quote).alias("quote")).distinct()
-    own = passages.select(F.col(doc).alias("doc"), F.col(page).cast("long").alias("page"), F.col(passage_id).alias("pid"), F.col(order).alias("ord"), F.col(passage).alias("text")).distinct()
+    # Texts are brought to their tokens once, and read as such from then on
+    q = quotes.select(F.col(quote_id).alias("qid"), F.col(doc).alias("doc"), F.when(F.col(page) > 0, F.col(page)).otherwise(ANY_PAGE).cast("long").alias("page"), F.col(quote).alias("quote"))
+    q = saved(token_line(q, "quote").distinct(), "chain-quotes")
+    own = passages.select(F.col(doc).alias("doc"), F.col(page).cast("long").alias("page"), F.col(passage_id).alias("pid"), F.col(order).alias("ord"), F.col(passage).alias("text"))
+    own = saved(token_line(own, "text").distinct(), "chain-passages")
+    bag = lambda c: F.expr(f"array_distinct(filter(split({c}, ' '), w -> w <> ''))")
     paged = q.where(F.col("page") == ANY_PAGE).select("doc").distinct()
     p = own.where("page is not null").unionByName(own.join(paged, "doc", "left_semi").withColumn("page", F.lit(ANY_PAGE).cast("long")))
-    exact = contained_quotes(q.where("doc is not null"), p, keys=["doc", "page"], quote_id="qid", quote="quote", passage_id="pid", passage="text", fold=token_line)
+    exact = contained_quotes(q.where("doc is not null"), p, keys=["doc", "page"], quote_id="qid", quote="quote", passage_id="pid", passage="text", fold=lambda df, _: df)
     first = exact.join(p.select("doc", "page", "pid", "ord"), ["doc", "page", "pid"]).groupBy("qid").agg(F.min(F.struct("ord", "pid"))["pid"].alias("exact_id"))
-    left = q.join(first, "qid", "left_anti").withColumn("tokens", F.array_distinct(F.expr(tk.tokens("quote")))).where("size(tokens) > 0")
-    bags = p.withColumn("bag", F.array_distinct(F.expr(tk.tokens("text")))).select("doc", "page", "pid", "ord", "bag")
+    left = q.join(first, "qid", "left_anti").withColumn("tokens", bag("quote")).where("size(tokens) > 0")
+    bags = p.withColumn("bag", bag("text")).select("doc", "page", "pid", "ord", "bag")
     words = bags.select("doc", "page", "pid", F.explode("bag").alias("word"))
     df = words.groupBy("doc", "page", "word").agg(F.count("*").alias("df"))
     asked = left.select("qid", "doc", "page", F.size("tokens").alias("n"), F.explode("tokens").alias("word")).join(df, ["doc", "page", "word"], "left")

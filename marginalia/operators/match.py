@@ -113,6 +113,7 @@ def outcomes(papers: DataFrame, rows: DataFrame, least: float = LEAST, gap: floa
     a near duplicate and so no rival (the least id is taken) unless title or year is missing. A paper without a
     candidate has score 0; without a rival its runner-up is 0. Only the two best candidates are kept, before the shuffle.
     """
+    papers, rows = saved(papers, "papers"), saved(rows, "rows")  # names and titles are taken apart once
     scored = saved(score_pairs(papers, rows), "match-scores")  # used twice below: scored once
     w = Window.partitionBy("p_id").orderBy(F.desc("score"), "r_id")
     two = scored.withColumn("place", F.row_number().over(w)).where("place <= 2")

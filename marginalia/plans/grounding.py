@@ -72,23 +72,23 @@ def figure_mentions(spark: SparkSession, d: str) -> DataFrame:
     return gr.figure_references(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
 
 
-def _figures(spark: SparkSession, d: str) -> DataFrame:
+def _figures(chunks: DataFrame) -> DataFrame:
     """Captions that name a figure stand for it; what is nearby is the section they stand in."""
-    c = passages.chunks(spark, d).where("chunk_type = 'caption'").withColumn("figure_no", F.expr(r"try_cast(regexp_extract(display_text, r'(?i)fig(?:ure)?[^0-9]*([0-9]+)', 1) as int)")).where("figure_no is not null")
+    c = chunks.where("chunk_type = 'caption'").withColumn("figure_no", F.expr(r"try_cast(regexp_extract(display_text, r'(?i)fig(?:ure)?[^0-9]*([0-9]+)', 1) as int)")).where("figure_no is not null")
     return c.select(F.col("pdf_id").alias("doc"), F.col("chunk_id").alias("figure_id"), "figure_no", F.col("display_text").alias("caption"), F.col("section_context").alias("nearby"))
 
 
 def _figure_scores(spark: SparkSession, d: str) -> DataFrame:
-    ranked = passages.bm25(spark, d).select("pdf_id", "column_name", "chunk_id", "bm25", "rank")
+    c = saved(passages.chunks(spark, d), "chunks")  # looked at from several sides
+    ranked = passages.bm25(spark, d, c).select("pdf_id", "column_name", "chunk_id", "bm25", "rank")
     ranked = saved(ranked.where("bm25 > 0"), "ranked")
-    c = passages.chunks(spark, d)
     asked = ranked.select("pdf_id", "column_name").distinct().join(passages.queries_of(spark, d), "column_name").select(F.col("pdf_id").alias("doc"), F.col("column_name").alias("query"), "query_text")
     texts = c.where("chunk_type in ('paragraph', 'caption', 'section')").select(F.col("pdf_id").alias("doc"), "chunk_id", "display_text")
     whole = gr.figure_references(texts, ["doc", "chunk_id"], "display_text").select("doc", F.lit(None).cast("string").alias("query"), "figure_no")
     top = ranked.join(c.select("chunk_id", "display_text"), "chunk_id").select(F.col("pdf_id").alias("doc"), F.col("column_name").alias("query"), "chunk_id", "display_text")
     own = gr.figure_references(top, ["doc", "query", "chunk_id"], "display_text").select("doc", "query", "figure_no")
-    got = ranked.join(_figures(spark, d).select(F.col("figure_id").alias("chunk_id"), "figure_no"), "chunk_id").select(F.col("pdf_id").alias("doc"), F.col("column_name").alias("query"), "figure_no")
-    return gr.score_figures(_figures(spark, d), asked, whole.unionByName(own), got)
+    got = ranked.join(_figures(c).select(F.col("figure_id").alias("chunk_id"), "figure_no"), "chunk_id").select(F.col("pdf_id").alias("doc"), F.col("column_name").alias("query"), "figure_no")
+    return gr.score_figures(_figures(c), asked, whole.unionByName(own), got)
 
 
 def figure_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -101,8 +101,8 @@ def figure_selection(spark: SparkSession, d: str) -> DataFrame:
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     """Everything the triggers and diagnoses of a proposal look at."""
-    c = passages.chunks(spark, d)
-    ranked = passages.bm25(spark, d)
+    c = saved(passages.chunks(spark, d), "chunks")
+    ranked = saved(passages.bm25(spark, d, c), "ranked")
     retrieved = gr.retrieval_facts(ranked, c, doc="pdf_id", query="column_name", passage="chunk_id", kind="chunk_type", text="display_text")
     e = _evidence(spark, d)
     of = lambda *kinds: F.count_if(F.col("source_type").isin(*kinds))
@@ -110,17 +110,16 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
         of("direct_quote").alias("n_exact"), of("approximate_highlight").alias("n_approximate"), of("quote_plus_page").alias("n_fallback"), of("caption_grounded_figure_evidence", "visual_interpretation_figure_evidence").alias("n_figure"),
         F.bool_or(F.coalesce(F.trim("quote_text") != "", F.lit(False))).alias("has_quote"),
     )
-    signals = c.groupBy("pdf_id").agg(F.lit(True).alias("has_text"), F.bool_or(F.coalesce(F.col("provenance") == "unknown", F.lit(False))).alias("fallback"), F.bool_or(F.coalesce(F.col("provenance") == "ocr", F.lit(False))).alias("ocr")) if "provenance" in c.columns else None
-    if signals is None:
-        own = table(spark, d, "chunks").groupBy("pdf_id").agg(F.lit(True).alias("has_text"), F.coalesce(F.bool_or(F.col("provenance") == "unknown"), F.lit(False)).alias("fallback"), F.coalesce(F.bool_or(F.col("provenance") == "ocr"), F.lit(False)).alias("ocr"))
-        signals = own
+    signals = table(spark, d, "chunks").groupBy("pdf_id").agg(F.lit(True).alias("has_text"), F.coalesce(F.bool_or(F.col("provenance") == "unknown"), F.lit(False)).alias("fallback"), F.coalesce(F.bool_or(F.col("provenance") == "ocr"), F.lit(False)).alias("ocr"))
     p = _labelled(spark, d).withColumn("needs_more", F.coalesce("needs_more_evidence", F.lit(False))).withColumn("missing", F.expr(f"{v.is_empty('proposed_value')}")).withColumn("visual", F.col("column_name").rlike(gr.VISUAL_REQUEST))
+    p = saved(p, "labelled")
     full = p.join(retrieved, ["pdf_id", "column_name"], "left").join(counts, "proposal_id", "left").join(gr.numbers_conflict(e, "proposal_id", "quote_text"), "proposal_id", "left").join(signals, "pdf_id", "left")
     both = ranked.join(c.select("chunk_id", F.concat_ws(" ", "display_text", "retrieval_text").alias("both_texts")), "chunk_id").select("pdf_id", "column_name", "chunk_id", "both_texts")
+    both = saved(an.plain_words(both, "both_texts"), "both-texts")
     asked = p.where(f"length({v.plain_text('proposed_value')}) >= 4").select("proposal_id", "pdf_id", "column_name", "proposed_value")
-    seen = an.contained_quotes(asked, both, keys=["pdf_id", "column_name"], quote_id="proposal_id", quote="proposed_value", passage_id="chunk_id", passage="both_texts", fold=an.plain_words).select("proposal_id").distinct().withColumn("value_seen", F.lit(True))
+    seen = an.contained_quotes(asked, both, keys=["pdf_id", "column_name"], quote_id="proposal_id", quote="proposed_value", passage_id="chunk_id", passage="both_texts", fold=lambda df, column: df if column == "__p" else an.plain_words(df, column)).select("proposal_id").distinct().withColumn("value_seen", F.lit(True))
     quotes = e.join(p.select("proposal_id", "column_name").distinct(), "proposal_id").where(f"length({v.plain_text('quote_text')}) >= 4").select("proposal_id", "pdf_id", "column_name", "quote_text")
-    quoted = an.contained_quotes(quotes, both, keys=["pdf_id", "column_name"], quote_id="proposal_id", quote="quote_text", passage_id="chunk_id", passage="both_texts", fold=an.plain_words).select("proposal_id").distinct().withColumn("quote_seen", F.lit(True))
+    quoted = an.contained_quotes(quotes, both, keys=["pdf_id", "column_name"], quote_id="proposal_id", quote="quote_text", passage_id="chunk_id", passage="both_texts", fold=lambda df, column: df if column == "__p" else an.plain_words(df, column)).select("proposal_id").distinct().withColumn("quote_seen", F.lit(True))
     full = full.join(seen, "proposal_id", "left").join(quoted, "proposal_id", "left")
     zero = ["n_exact", "n_approximate", "n_fallback", "n_figure", "n_retrieved"]
     full = full.na.fill(0, zero).na.fill(False, ["has_quote", "conflict", "has_figure", "promises_figure", "has_text", "fallback", "ocr", "value_seen", "quote_seen"])

@@ -31,20 +31,20 @@ def idf(spark: SparkSession, d: str) -> DataFrame:
     return rt.term_statistics(chunks(spark, d), "pdf_id", "chunk_id", "retrieval_text")
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return rt.score_passages(chunks(spark, d), queries_of(spark, d), doc="pdf_id", chunk="chunk_id", text="retrieval_text", query="column_name", query_text="query_text")
+def _scored(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    return rt.score_passages(chunks(spark, d) if c is None else c, queries_of(spark, d), doc="pdf_id", chunk="chunk_id", text="retrieval_text", query="column_name", query_text="query_text")
 
 
-def _signs(spark: SparkSession, d: str) -> DataFrame:
-    return rt.passage_signs(chunks(spark, d), "pdf_id", "chunk_id", "chunk_type", "display_text", "retrieval_text")
+def _signs(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    return rt.passage_signs(chunks(spark, d) if c is None else c, "pdf_id", "chunk_id", "chunk_type", "display_text", "retrieval_text")
 
 
-def _ranking(spark: SparkSession, d: str, scored: DataFrame, score: str, boosted: bool = False) -> DataFrame:
-    return rt.ranking(scored, _signs(spark, d), queries_of(spark, d), doc="pdf_id", query="column_name", chunk="chunk_id", score=score, k=TOP_K, boosted=boosted)
+def _ranking(spark: SparkSession, d: str, scored: DataFrame, score: str, boosted: bool = False, c: DataFrame | None = None) -> DataFrame:
+    return rt.ranking(scored, _signs(spark, d, c), queries_of(spark, d), doc="pdf_id", query="column_name", chunk="chunk_id", score=score, k=TOP_K, boosted=boosted)
 
 
-def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _ranking(spark, d, _scored(spark, d), "bm25").drop("boosted")
+def bm25(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    return _ranking(spark, d, _scored(spark, d, c), "bm25", c=c).drop("boosted")
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
