@@ -110,14 +110,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each target source has documents, keeps its repeats, and reaches its share of those that have."""
+    """Whether each target source has documents, keeps its repeats, and reaches its share of those that have, to within as
+    many of the largest documents as there are sources."""
     mixture, report = _mixture(spark, sf_dir)
-    most = mixture.groupBy("source").agg(F.max("n_repeats").alias("most"))
-    whole = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy(F.lit(1)))  # one row per target source
-    report = report.withColumn("whole", whole)
-    off = F.abs(F.col("reached_share") - F.when(F.col("tokens") > 0, F.col("target_share") / F.col("whole")).otherwise(F.lit(0.0)))
-    return report.drop("most_repeats").join(most, "source", "left").select(
-        "source", (F.col("tokens") > 0).alias("has_documents"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (off < 0.02).alias("share_met")
+    most = mixture.groupBy("source").agg(F.max("n_repeats").alias("most"), F.max("n_tokens").alias("largest"))
+    every = Window.partitionBy(F.lit(1))  # one row per target source
+    report = report.drop("most_repeats").join(most, "source", "left").withColumns({
+        "whole": F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(every), "total": F.sum("tokens").over(every), "largest": F.max("largest").over(every), "sources": F.count("*").over(every),
+    })
+    off = F.abs(F.col("tokens") - F.when(F.col("tokens") > 0, F.col("target_share") / F.col("whole")).otherwise(F.lit(0.0)) * F.col("total"))
+    return report.select(
+        "source", (F.col("tokens") > 0).alias("has_documents"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (off <= F.col("sources") * F.coalesce("largest", F.lit(0))).alias("share_met")
     )
 
 
