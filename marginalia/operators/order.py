@@ -16,11 +16,9 @@ def numbered(df: DataFrame, *order, number: str = "n", start: int = 0) -> DataFr
     """
     placed = saved(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
     sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
-    base, offsets = start, {}
-    for part in sorted(sizes):
-        offsets[part] = base
-        base += sizes[part]
-    spark = df.sparkSession
-    table = spark.createDataFrame([(p, b) for p, b in offsets.items()], "__part int, __base long")
+    base, bases = start, [F.lit(start).cast("long")]
+    for part in range(max(sizes, default=0)):
+        base += sizes.get(part, 0)
+        bases.append(F.lit(base).cast("long"))
     inside = Window.partitionBy("__part").orderBy(*order)
-    return placed.withColumn("__in", F.row_number().over(inside)).join(F.broadcast(table), "__part").withColumn(number, F.col("__base") + F.col("__in") - 1).drop("__part", "__in", "__base")
+    return placed.withColumn("__in", F.row_number().over(inside)).withColumn(number, F.get(F.array(*bases), F.col("__part")) + F.col("__in") - 1).drop("__part", "__in")
